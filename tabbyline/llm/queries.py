@@ -7,14 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabbyline.llm.encode import encode_corpus
+from tabbyline.llm.split import oversized, split_documents
 from tabbyline.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized(table(spark, sf_dir, "source_documents"))
+
+
+def p1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_documents(table(spark, sf_dir, "source_documents"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_chunks": p1_chunks,
     "p8_ids": p8_ids,
 }
 
