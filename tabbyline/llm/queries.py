@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabbyline.llm.encode import encode_corpus
+from tabbyline.llm.lookalike import lookalike_pairs, normalize_documents
 from tabbyline.llm.split import oversized, split_documents
 from tabbyline.session import table
 
@@ -23,10 +24,20 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(table(spark, sf_dir, "documents"))
+
+
+def p10_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_chunks": p1_chunks,
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_normalized": p10_normalized,
 }
 
 #: None of these can be given as SQL over whole tables; the tests hold them against brute force.
