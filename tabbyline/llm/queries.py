@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabbyline.llm.encode import encode_corpus
 from tabbyline.llm.lookalike import lookalike_pairs, normalize_documents
+from tabbyline.llm.pack import pack_documents, too_large
 from tabbyline.llm.split import oversized, split_documents
 from tabbyline.session import table
 
@@ -24,6 +25,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return too_large(table(spark, sf_dir, "documents"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents"))
 
@@ -36,6 +45,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_chunks": p1_chunks,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_containers": p9_containers,
     "p10_found": p10_found,
     "p10_normalized": p10_normalized,
 }
