@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabbyline.llm.budget import miscounted, token_budget
 from tabbyline.llm.encode import encode_corpus
 from tabbyline.llm.lookalike import lookalike_pairs, normalize_documents
 from tabbyline.llm.pack import pack_documents, too_large
@@ -21,6 +22,14 @@ def p1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "source_documents"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return miscounted(table(spark, sf_dir, "chunks"))
+
+
+def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_budget(table(spark, sf_dir, "chunks"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -44,6 +53,8 @@ def p10_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_chunks": p1_chunks,
+    "p4_found": p4_found,
+    "p4_totals": p4_totals,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_containers": p9_containers,
