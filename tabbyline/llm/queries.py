@@ -10,6 +10,7 @@ from tabbyline.llm.budget import miscounted, token_budget
 from tabbyline.llm.encode import encode_corpus
 from tabbyline.llm.lookalike import lookalike_pairs, normalize_documents
 from tabbyline.llm.pack import pack_documents, too_large
+from tabbyline.llm.repeated import repeated_lines, without_repeated_lines
 from tabbyline.llm.split import oversized, split_documents
 from tabbyline.session import table
 
@@ -22,6 +23,14 @@ def p1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "source_documents"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(table(spark, sf_dir, "source_documents"))
+
+
+def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(table(spark, sf_dir, "source_documents"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return miscounted(table(spark, sf_dir, "chunks"))
 
@@ -53,6 +62,8 @@ def p10_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_chunks": p1_chunks,
+    "p3_found": p3_found,
+    "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_totals": p4_totals,
     "p8_ids": p8_ids,
