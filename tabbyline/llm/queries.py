@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabbyline.llm.budget import miscounted, token_budget
 from tabbyline.llm.encode import encode_corpus
+from tabbyline.llm.furniture import furniture_lines, main_body
 from tabbyline.llm.lookalike import lookalike_pairs, normalize_documents
 from tabbyline.llm.pack import pack_documents, too_large
 from tabbyline.llm.repeated import repeated_lines, without_repeated_lines
@@ -39,6 +40,14 @@ def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget(table(spark, sf_dir, "chunks"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture_lines(table(spark, sf_dir, "source_documents"))
+
+
+def p7_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_body(table(spark, sf_dir, "source_documents"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -66,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_totals": p4_totals,
+    "p7_found": p7_found,
+    "p7_bodies": p7_bodies,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_containers": p9_containers,
