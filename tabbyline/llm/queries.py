@@ -12,6 +12,7 @@ from tabbyline.llm.furniture import furniture_lines, main_body
 from tabbyline.llm.lookalike import lookalike_pairs, normalize_documents
 from tabbyline.llm.pack import pack_documents, too_large
 from tabbyline.llm.repeated import repeated_lines, without_repeated_lines
+from tabbyline.llm.residue import residue_documents, without_residue
 from tabbyline.llm.split import oversized, split_documents
 from tabbyline.session import table
 
@@ -40,6 +41,14 @@ def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget(table(spark, sf_dir, "chunks"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_documents(table(spark, sf_dir, "source_documents"))
+
+
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_residue(table(spark, sf_dir, "source_documents")).select("id", "source", "content")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture_lines(table(spark, sf_dir, "source_documents"))
 
@@ -75,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_totals": p4_totals,
+    "p6_found": p6_found,
+    "p6_kept": p6_kept,
     "p7_found": p7_found,
     "p7_bodies": p7_bodies,
     "p8_ids": p8_ids,
