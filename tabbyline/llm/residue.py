@@ -34,7 +34,7 @@ PHRASES = (
     r"|\bverify (?:that )?you are (?:a )?(?:human|not a robot)\b|\bcomplete the captcha\b"
     r"|\b(?:enable|turn on|activate|allow|switch on) (?:java)?scripts?\b|\b(?:needs|requires) (?:java)?scripts?\b(?: to| in| for|\.|$)|\bjavascript (?:is|must be|has to be) (?:disabled|required|enabled|turned|switched|not)"
     r"|\berror establishing a database connection\b|\bfatal error: |\bstack trace: ?#|\buncaught \w*error\b|\bsomething went wrong while\b|\bis down for maintenance\b"
-    r"|\btoo many requests\b|\bsession\b.{0,120}\bhas expired\b|\bwe could(?: not|n.t) find [“"«]|^oops\b.{0,20}\bcould(?: not|n't|n’t) find\b"
+    r"|\btoo many requests\b|\bsession\b.{0,120}\bhas expired\b|\bwe could(?: not|n.t) find [“\"«]|^oops\b.{0,20}\bcould(?: not|n't|n’t) find\b"
     r"|\bpage introuvable\b|\bactivez (?:les scripts|javascript)\b|\bpágina\b.{0,160}\bno (?:existe|se encuentra|se encontró|encontrada)\b|\bactive (?:los scripts|javascript)\b"
     r"|\bseite\b.{0,160}\bnicht gefunden\b|\b(?:aktivieren sie|bitte aktivieren) .{0,20}(?:javascript|skripte)|страниц\w* .{0,160}не (?:найдена|существует)|включите (?:javascript|скрипты)"
     r"|ページ.{0,80}(?:見つかりません|存在しません)|javascript.{0,12}(?:有効|オン)"
