@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabbyline.llm.budget import miscounted, token_budget
 from tabbyline.llm.encode import encode_corpus
@@ -13,6 +14,7 @@ from tabbyline.llm.lookalike import lookalike_pairs, normalize_documents
 from tabbyline.llm.pack import pack_documents, too_large
 from tabbyline.llm.repeated import repeated_lines, without_repeated_lines
 from tabbyline.llm.residue import residue_documents, without_residue
+from tabbyline.llm.similar import SimilarityIndex, similar_pairs
 from tabbyline.llm.split import oversized, split_documents
 from tabbyline.session import table
 
@@ -41,6 +43,16 @@ def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget(table(spark, sf_dir, "chunks"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, sf_dir, "chunks"))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth chunk (by the hash of its id, ids being strings), against all."""
+    found = SimilarityIndex(table(spark, sf_dir, "chunks")).nearest(F.pmod(F.xxhash64("k"), 100) == 0)
+    return found.withColumnsRenamed({"k_a": "id", "k_b": "neighbour_id"})
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(table(spark, sf_dir, "source_documents"))
 
@@ -84,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_totals": p4_totals,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
     "p6_kept": p6_kept,
     "p7_found": p7_found,
