@@ -1,7 +1,7 @@
 """Problem 5: the most similar vectors for every vector.
 
 Method: score-aware (anisotropic) product quantisation. Unit vectors are coded with four bits for each
-group of four dimensions, by codebooks whose loss weighs the part of the residual that is parallel to the
+group of two dimensions, by codebooks whose loss weighs the part of the residual that is parallel to the
 vector, which changes inner products, above the part across it, which hardly does. A search sends each
 query to cells of a coarse clustering, scans the codes there with tables of partial inner products, two
 codes to a look-up, and reranks what passes by exact cosines.
@@ -27,7 +27,7 @@ SAMPLE_ROWS = 32_768
 #: Aimed-at rows per cell, and the most cells.
 CELL_ROWS, MOST_CELLS = 1_024, 4_096
 QUERY_BLOCK, CODE_BLOCK = 8_192, 32_768
-SUB, CENTERS = 4, 16
+SUB, CENTERS = 2, 16
 #: Weight of the parallel part of the residual against the part across.
 PARALLEL = 4.0
 
@@ -220,7 +220,7 @@ class SimilarityIndex:
 
         return both.groupBy("cell", "qb", "cb").applyInPandas(block, schema)
 
-    def pairs(self, least: float = 0.9, probes: int = 8, slack: float = 0.25) -> DataFrame:
+    def pairs(self, least: float = 0.9, probes: int = 8, slack: float = 0.2) -> DataFrame:
         """`(k_a, k_b, cosine)`, k_a < k_b, of all keys whose cosine is at least `least`, as far as found.
 
         Each vector asks in its nearest cell and is found in its `probes` nearest ones, so that a pair
@@ -262,7 +262,7 @@ class SimilarityIndex:
         met = met.filter(F.col("k_a") != F.col("k_b"))
         return met.groupBy(F.least("k_a", "k_b").alias("k_a"), F.greatest("k_a", "k_b").alias("k_b")).agg(F.max("cosine").alias("cosine"))
 
-    def nearest(self, queries: Column, k: int = 10, share: float = 0.5, keep: int = 8) -> DataFrame:
+    def nearest(self, queries: Column, k: int = 10, share: float = 0.4, keep: int = 16) -> DataFrame:
         """`(k_a, k_b, rank, cosine)`: the `k` keys most similar to each key for which `queries` (over `k`) holds.
 
         share: of the cells in which each query is asked. keep: `keep * k` candidates by approximate score
