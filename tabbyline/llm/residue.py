@@ -5,14 +5,23 @@ addresses, paths and dates - and grouped by the exact hash of what remains, acro
 message is judged once. Placeholders and wordings that only such texts have are enough by themselves;
 wordings that ordinary text may have too count only if the same short masked message recurs widely.
 
-Everything runs inside the JVM; a message in a third of all documents is one group, counted before the
-shuffle and joined back as one row of a small table of judged messages.
+Texts are read once, by an automaton of all telling words; the few messages it finds are masked and
+judged inside the JVM. A message in a third of all documents is one group, counted before the shuffle.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tabbyline.session import ensure_shipped, materialise
 
 #: Placeholders that a template engine or an editor left behind. Case matters where it tells.
 PLACEHOLDERS = (
@@ -44,13 +53,47 @@ WEAK_PHRASES = (
     r"\bnot found\b|\bunavailable\b|\bunder (?:construction|maintenance)\b|\bcoming soon\b|\baccess (?:is|was|has been)? ?(?:denied|blocked)\b|\bforbidden\b"
     r"|\bwent wrong\b|\btry again later\b|^oops\b|\bplaceholder\b|\bjavascript\b|\bscripts?\b|\bplease (?:reload|refresh)\b|\bexpired\b|\bundefined\b"
 )
-#: Signs and words without which a line is not looked at any further.
+#: Signs and words, in lower case, without one of which a message is not looked at any further.
 HINTS = (
-    r"\{\{|\{%|\$\{|<%|%%|__|#if|#foreach|#set|\$[a-z]|\[(?i:object|insert|your|enter|replace|add)|NaN"
-    r"|(?i:ipsum|sit amet|placeholder|(?:sample|dummy|filler) text|before publishing|headline|\bhere\b|to edit|todo|tbd|fixme|undefined|null|\bnan\b"
-    r"|[45]\d\d |error|not found|the (?:page|url|document|resource) you|\burls?\b|support number|permission|access|verify|captcha|script|went wrong|maintenance"
-    r"|too many|could not find|expired|oops|stack trace|introuvable|página|seite|страниц|скрипт|ページ|unavailable|construction|coming soon|forbidden|try again|reload|refresh)"
-)
+    "{{", "{%", "${", "<%", "%%", "__", "#if", "#foreach", "#set", "$", "[object", "[insert", "[your", "[enter", "[replace", "[add", " nan",
+    "ipsum", "sit amet", "placeholder", "sample text", "dummy text", "filler text", "before publishing", "your headline", "your title", "your text", "your content",
+    "your logo", "your tagline", "to edit", "text about", "todo",
+    "tbd", "fixme", "undefined", "null", "error", "not found", "page you", "url you", "document you", "resource you", "requested url", "support number",
+    "permission to", "access denied", "access is", "access was", "access has", "access blocked", "verify", "captcha", "script", "went wrong",
+    "maintenance", "too many", "could not find", "couldn", "expired", "oops", "stack trace", "introuvable", "página", "seite", "страниц", "скрипт",
+    "ページ", "unavailable", "unauthorized", "bad request", "bad gateway", "time-out", "timeout", "construction", "coming soon", "forbidden",
+    "try again", "reload", "refresh",
+)
+_SENTENCE = re.compile(r"(?<=[.!?。])\s+")
+
+
+@lru_cache(maxsize=1)
+def _hints() -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for hint in HINTS:
+        automaton.add_word(hint, len(hint))
+    automaton.make_automaton()
+    return automaton
+
+
+def hinted_messages(text: str | None) -> list[str]:
+    """The sentences of the lines of `text` that hold a hint, found in one pass over the text."""
+    if not text:
+        return []
+    low, hints, out = text.lower(), _hints(), []
+    if len(low) != len(text):  # a letter whose lower case is longer: places differ, so go by lines
+        lines = [line for line in text.split("\n") if next(hints.iter(line.lower()), None)]
+    else:
+        lines, done = [], -1
+        for end, _ in hints.iter(low):
+            if end > done:
+                start = text.rfind("\n", 0, end) + 1
+                done = text.find("\n", end)
+                done = len(text) if done < 0 else done
+                lines.append(text[start:done])
+    for line in lines:
+        out += [m for m in _SENTENCE.split(line.strip()) if next(hints.iter(m.lower()), None)]
+    return out
 
 
 def masked(message: Column) -> Column:
@@ -65,12 +108,21 @@ def masked(message: Column) -> Column:
 
 
 def messages(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """`(k, s, message)` of the sentences of all lines that hold a hint."""
-    lines = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("k"), F.col(source).alias("s"), F.explode(F.split(text, "\n", -1)).alias("line")
+    """`(k, s, message)` of the sentences of all lines that hold a hint. Narrow."""
+    ensure_shipped(df.sparkSession)
+    chosen = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).alias("k"), F.col(source).cast("string").alias("s"), F.col(text).cast("string").alias("t")
     )
-    lines = lines.filter(F.col("line").rlike(HINTS))
-    return lines.select("k", "s", F.explode(F.split("line", r"(?<=[.!?。])\s+", -1)).alias("message")).filter(F.col("message").rlike(HINTS))
+    schema = StructType([*chosen.schema.fields[:2], StructField("message", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hinted_messages(t.as_py()) for t in batch.column(2)]
+            rows = pa.array([n for n, m in enumerate(found) for _ in m], pa.int32())
+            told = pa.array([m for ms in found for m in ms], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), told], schema.names)
+
+    return chosen.mapInArrow(run, schema)
 
 
 def residue_documents(
@@ -82,12 +134,13 @@ def residue_documents(
     to recur for a weak wording to count. Null keys and texts are no case; rows repeated under a key count
     once, also in the groups.
     """
-    found = messages(df, key, source, text).select("k", "s", F.trim("message").alias("message"))
+    found = messages(df, key, source, text)
     found = found.withColumn("mask", masked(F.col("message")))
     sure = F.col("message").rlike(PLACEHOLDERS) | F.col("mask").rlike(PHRASES)
     weak = F.col("mask").rlike(WEAK_PHRASES) & (F.length("mask") <= longest)
     # the wordings are tried on one message for each hash
     judged = found.select("k", "s", F.xxhash64("mask").alias("h"), sure.alias("sure"), weak.alias("weak")).filter("sure or weak")
+    judged = materialise(judged, "residue")
     certain = judged.filter("sure").select("k")
     once = judged.filter("weak and not sure").select("k", "s", "h").distinct()
     wide = once.groupBy("h").agg(F.count("*").alias("n"), F.approx_count_distinct("s").alias("sources"))
