@@ -12,6 +12,7 @@ from tabbyline.llm.encode import encode_corpus
 from tabbyline.llm.furniture import furniture_lines, main_body
 from tabbyline.llm.lookalike import lookalike_pairs, normalize_documents
 from tabbyline.llm.pack import pack_documents, too_large
+from tabbyline.llm.quality import not_prose, quality_table
 from tabbyline.llm.repeated import repeated_lines, without_repeated_lines
 from tabbyline.llm.residue import residue_documents, without_residue
 from tabbyline.llm.similar import SimilarityIndex, similar_pairs
@@ -27,6 +28,14 @@ def p1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "source_documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_prose(table(spark, sf_dir, "source_documents"))
+
+
+def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_table(table(spark, sf_dir, "source_documents"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "source_documents"))
 
@@ -92,6 +101,8 @@ def p10_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_chunks": p1_chunks,
+    "p2_found": p2_found,
+    "p2_statistics": p2_statistics,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
