@@ -151,9 +151,10 @@ class SimilarityIndex:
         #: keys of each distinct vector
         self.members = rows.select("h", "h2", "k").distinct()
         self.vectors = materialise(rows.groupBy("h", "h2").agg(F.first("v").alias("v")), "vectors")
-        # the fingerprint orders rows at random, and alike on every run
-        drawn = self.vectors.select("h", "v").orderBy("h").limit(sample_rows).toPandas()
+        # the fingerprint draws rows at random, and alike on every run; no more leave the executors than wanted
         self.rows = self.vectors.count()
+        near = F.pmod("h", F.lit(1 << 31)) < int(min(1.0, 1.2 * sample_rows / max(1, self.rows)) * (1 << 31))
+        drawn = self.vectors.select("h", "v").filter(near).orderBy("h").limit(sample_rows).toPandas()
         if not len(drawn):
             self.quantiser = None
             return
