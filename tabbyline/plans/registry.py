@@ -1,10 +1,6 @@
 """All queries of the core, with the SQL that gives the same rows."""
 
-from __future__ import annotations
+from tabbyline.plans import chunks, corpus, pages, retrieval  # noqa: F401  (they register their queries)
+from tabbyline.plans.base import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
