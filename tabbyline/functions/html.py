@@ -20,6 +20,7 @@ COMMENT = r"(?s)<!--.*?-->"
 FURNITURE = r"(?is)<(nav|footer|aside|header|form)\b[^>]*>.*?</(nav|footer|aside|header|form)\s*>"
 ARTICLE = r"(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)\s*>"
 BODY = r"(?is)<body\b[^>]*>(.*)"
+HEAD = r"(?is)<head\b[^>]*>.*?</head\s*>|<!doctype[^>]*>"
 BLOCK = r"(?i)</?(p|br|div|h1|h2|h3|h4|li|ul|ol|tr|table|section|article)\b[^>]*>"
 CELL = r"(?i)</(td|th)\s*>"
 TAG = r"(?s)<[^>]+>"
@@ -45,10 +46,11 @@ def main_text(page: Column) -> Column:
     """The main text of a page; null if it has none.
 
     Scripts and comments go first, as scripts may hold tags; then the article if there is one, else the body
-    without navigation, footer and the like; block tags end lines, cells are divided by tabs."""
+    (the whole but for its head where no body is opened) without navigation, footer and the like; block tags end lines, cells are divided by tabs."""
     bare = F.regexp_replace(F.regexp_replace(page, DROPPED, ""), COMMENT, "")
     article = F.regexp_extract(bare, ARTICLE, 1)
-    body = F.regexp_replace(F.regexp_extract(bare, BODY, 1), FURNITURE, "")
+    body = F.regexp_extract(bare, BODY, 1)
+    body = F.regexp_replace(F.when(body != "", body).otherwise(F.regexp_replace(bare, HEAD, "")), FURNITURE, "")
     chosen = F.when(article != "", article).otherwise(body)
     lined = F.regexp_replace(F.regexp_replace(chosen, BLOCK, "\n"), CELL, "\t")
     text = py_strip(F.regexp_replace(inner_text(lined), r"[ \t]*\n\s*", "\n"))

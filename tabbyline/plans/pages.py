@@ -20,7 +20,9 @@ def _tagless(x: str) -> str:
     return decode_sql(f"regexp_replace({x}, '(?s)<[^>]+>', '', 'g')")
 
 
-_BODY = rf"regexp_replace(regexp_extract({_BARE}, '(?is)<body\b[^>]*>(.*)', 1), '(?is)<(nav|footer|aside|header|form)\b[^>]*>.*?</(nav|footer|aside|header|form)\s*>', '', 'g')"
+_INNER = rf"regexp_extract({_BARE}, '(?is)<body\b[^>]*>(.*)', 1)"
+_WHOLE = rf"regexp_replace({_BARE}, '(?is)<head\b[^>]*>.*?</head\s*>|<!doctype[^>]*>', '', 'g')"
+_BODY = rf"regexp_replace(CASE WHEN {_INNER} <> '' THEN {_INNER} ELSE {_WHOLE} END, '(?is)<(nav|footer|aside|header|form)\b[^>]*>.*?</(nav|footer|aside|header|form)\s*>', '', 'g')"
 _ARTICLE = rf"regexp_extract({_BARE}, '(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)\s*>', 1)"
 _CHOSEN = f"CASE WHEN {_ARTICLE} <> '' THEN {_ARTICLE} ELSE {_BODY} END"
 _LINED = (

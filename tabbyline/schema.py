@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from tabbyline.functions.text import py_strip
 
@@ -13,27 +13,36 @@ PIPELINE_VERSION = "0.1.0"
 DATA_SOURCES = ("cornell_feline_health", "wikipedia_cat_breeds", "cfa_breed_profiles", "aspca_toxicology", "merck_vet_manual")
 CONTENT_TYPES = ("article", "breed_profile", "toxicology", "nutrition", "disease", "behavior")
 
-_META = "word_count INT, char_count INT, original_url STRING, was_redirect BOOLEAN, breed_name STRING, registry STRING"
-DOCUMENT = StructType.fromDDL(
-    "id STRING NOT NULL, source STRING NOT NULL, url STRING NOT NULL, title STRING NOT NULL, content STRING NOT NULL,"
-    f" content_type STRING NOT NULL, scraped_at TIMESTAMP, metadata STRUCT<{_META.replace(' ', ':').replace(',:', ', ')}>"
-)
-CHUNK = StructType.fromDDL(
-    "id STRING, document_id STRING, source STRING, content STRING, content_type STRING, chunk_index INT, token_count INT,"
-    " embedding ARRAY<FLOAT>, embedding_model STRING, pipeline_version STRING, created_at TIMESTAMP,"
-    f" metadata STRUCT<title:STRING, url:STRING, total_chunks:INT, {_META.replace(' ', ':').replace(',:', ', ')}>"
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "vector": T.ArrayType(T.FloatType()),
+}
+
+
+def struct(fields: str, required: str = "", **nested: T.DataType) -> T.StructType:
+    """A schema from `name:type` pairs (string if no type is given); no session is needed for it."""
+    out = []
+    for field in fields.split():
+        name, _, kind = field.partition(":")
+        out.append(T.StructField(name, nested[name] if name in nested else _TYPES[kind or "string"], name not in required.split()))
+    return T.StructType(out)
+
+
+_META = "word_count:int char_count:int original_url was_redirect:boolean breed_name registry"
+DOCUMENT = struct(
+    "id source url title content content_type scraped_at:timestamp metadata", "id source url title content content_type", metadata=struct(_META)
 )
-POINT = StructType.fromDDL(
-    "point_id STRING, vector ARRAY<FLOAT>, chunk_id STRING, document_id STRING, source STRING, content STRING, content_type STRING,"
-    " chunk_index INT, token_count INT, title STRING, url STRING"
+CHUNK = struct(
+    "id document_id source content content_type chunk_index:int token_count:int embedding:vector embedding_model pipeline_version created_at:timestamp metadata",
+    metadata=struct(f"title url total_chunks:int {_META}"),
 )
-PAGE = StructType.fromDDL("url STRING, final_url STRING, html STRING, error STRING")
-QUARANTINE = StructType.fromDDL("source STRING, key STRING, url STRING, final_url STRING, reason STRING")
-METRICS = StructType.fromDDL("run STRING, kind STRING, key STRING, value STRING")
-HIT = StructType.fromDDL("chunk_id STRING, content STRING, source STRING, score DOUBLE, document_title STRING, url STRING")
-RESPONSE = StructType.fromDDL(
-    "answer STRING, retrieved_chunks ARRAY<STRUCT<chunk_id:STRING, content:STRING, source:STRING, score:DOUBLE, document_title:STRING, url:STRING>>,"
-    " query STRING, model_used STRING, latency_ms DOUBLE, config_snapshot STRING, created_at TIMESTAMP, trace_id STRING"
+POINT = struct("point_id vector:vector chunk_id document_id source content content_type chunk_index:int token_count:int title url")
+PAGE = struct("url final_url html error")
+QUARANTINE = struct("source key url final_url reason")
+METRICS = struct("run kind key value")
+HIT = struct("chunk_id content source score:double document_title url")
+RESPONSE = struct(
+    "answer retrieved_chunks query model_used latency_ms:double config_snapshot created_at:timestamp trace_id", retrieved_chunks=T.ArrayType(HIT)
 )
 
 #: Bounds of valid records (fixed values).
