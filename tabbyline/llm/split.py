@@ -16,8 +16,8 @@ until all of them fit.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +25,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tabbyline.llm.bpe import DEFAULT_VOCABULARY, BpeEncoder, encoder, pretokens
+from tabbyline.llm.bpe import DEFAULT_VOCABULARY, BpeEncoder, _Memo, encoder, pretokens, units
 from tabbyline.llm.encode import slices
 from tabbyline.session import ensure_shipped
 
 PARAGRAPH, LINE, SENTENCE, WORD, ANY = 4, 3, 2, 1, 0
 _ATOM = 24
-_SPACE_RUN = re.compile(r"\s+")
-_CLOSED = re.compile(r"[.!?…。！？][\"'”’»)\]」』]*$")
-_WIDE_END = re.compile(r"[。！？]+[」』]*")
+_NEWLINE = 10
+#: Tables over code points up to the ideographic blank and marks.
+_TABLE_SIZE = 0x10000
+
+
+def _table(test) -> np.ndarray:
+    return np.array([test(chr(code)) for code in range(_TABLE_SIZE)], bool)
+
+
+_SPACE = _table(str.isspace)
+_CLOSER = _table("\"'”’»)]」』".__contains__)
+_SENTENCE_END = _table(".!?…。！？".__contains__)
+_WIDE_END = _table("。！？".__contains__)
+
+
+def levels(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of a text how natural a cut there is, and whether it lies behind white space.
+
+    A cut falls before a run of white space: a paragraph if the run has two newlines, a line if it has one,
+    a sentence if what stands before it is closed, else a word. Wide full stops need no white space."""
+    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _TABLE_SIZE - 1)
+    n = len(codes)
+    space = _SPACE[codes]
+    level = np.zeros(n + 1, np.int8)
+    before = np.concatenate([[False], space])  # the character before each place is white space
+    start = np.flatnonzero(space & ~before[:n])
+    end = np.flatnonzero(before & ~np.concatenate([space, [False]]))
+    newlines = np.concatenate([[0], np.cumsum(codes == _NEWLINE)])
+    lines = newlines[end] - newlines[start]
+    last = np.maximum(start - 1, 0)
+    for _ in range(3):
+        last = np.where(_CLOSER[codes[last]] & (last > 0), last - 1, last)
+    closed = _SENTENCE_END[codes[last]] & (start > 0)
+    level[start] = np.where(lines > 1, PARAGRAPH, np.where(lines == 1, LINE, np.where(closed, SENTENCE, WORD)))
+    after = np.flatnonzero(_WIDE_END[codes]) + 1
+    for _ in range(2):
+        inside = after < n
+        after[inside] += _CLOSER[codes[after[inside]]]
+    level[after] = np.maximum(level[after], SENTENCE)
+    level[0] = level[n] = PARAGRAPH
+    before[n] = False
+    return level, before
 
 
 def _atoms(word: str, n: int, enc: BpeEncoder) -> list[str]:
@@ -50,40 +89,34 @@ class Boundaries:
     """Boundaries of one text: character offsets, tokens before each, and their levels."""
 
     def __init__(self, text: str, enc: BpeEncoder):
-        self.text = text
-        words, counts = [], []
-        self.estimated = False
-        for word in pretokens(text):
-            n = len(enc.ids[word])
-            if n > _ATOM:
-                self.estimated = True
-                parts = _atoms(word, n, enc)
-                words += parts
-                counts += [len(enc.ids[part]) for part in parts]
-            else:
-                words.append(word)
-                counts.append(n)
-        self.offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
-        self.tokens = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])
-        level = np.zeros(len(text) + 1, np.int8)
-        closed = np.zeros(len(text) + 1, bool)  # places after white space: no piece may end there
-        for run in _SPACE_RUN.finditer(text):
-            start, end = run.span()
-            newlines = text.count("\n", start, end)
-            if newlines:
-                level[start] = PARAGRAPH if newlines > 1 else LINE
-            else:
-                level[start] = SENTENCE if _CLOSED.search(text, max(0, start - 4), start) else WORD
-            closed[start + 1 : end + 1] = True
-        for mark in _WIDE_END.finditer(text):
-            level[mark.end()] = max(level[mark.end()], SENTENCE)
-        level[0] = level[len(text)] = PARAGRAPH
-        closed[len(text)] = False
-        keep = ~closed[self.offset]
-        self.offset, self.tokens = self.offset[keep], self.tokens[keep]
+        parts = units(text)
+        lengths = list(chain.from_iterable(map(_measures(enc)[0].__getitem__, parts)))
+        counts = list(chain.from_iterable(map(_measures(enc)[1].__getitem__, parts)))
+        self.estimated = max(counts, default=0) > _ATOM
+        if self.estimated:
+            words = []
+            for word in pretokens(text):
+                n = len(enc.ids[word])
+                words += _atoms(word, n, enc) if n > _ATOM else [word]
+            lengths, counts = list(map(len, words)), [len(enc.ids[w]) for w in words]
+        offset = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))])
+        tokens = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])
+        level, behind_space = levels(text)
+        keep = ~behind_space[offset]
+        self.offset, self.tokens = offset[keep], tokens[keep]
         self.level = level[self.offset]
 
 
+def _measures(enc: BpeEncoder) -> tuple[_Memo, _Memo]:
+    """Characters, and tokens, of the pre-tokens of a unit; kept beside the encoder."""
+    if not hasattr(enc, "measures"):
+        enc.measures = (
+            _Memo(lambda unit: tuple(map(len, pretokens(unit)))),
+            _Memo(lambda unit: tuple(len(enc.ids[w]) for w in pretokens(unit))),
+        )
+    return enc.measures
+
+
 def _last_at_level(level: np.ndarray, at_least: int) -> np.ndarray:
     """For each boundary the last one up to it whose level is `at_least`, or -1."""
     return np.maximum.accumulate(np.where(level >= at_least, np.arange(len(level)), -1))
