@@ -142,3 +142,33 @@ def experiment_metrics(spark, d):
 def chunk_document_join(spark, d):
     titles = table(spark, d, "source_documents").groupBy("id").agg(F.min("title").alias("title")).withColumnRenamed("id", "document_id")
     return table(spark, d, "chunks").select("id", "document_id").join(titles, "document_id").select("id", "title")
+
+
+@query("SELECT DISTINCT id, substr(content, 1, 400) AS sample FROM chunks ORDER BY id, sample LIMIT 1")
+def chunk_sample(spark, d):
+    return table(spark, d, "chunks").select("id", F.left("content", F.lit(400)).alias("sample")).orderBy("id", "sample").limit(1)
+
+
+@query("SELECT ceil(count(*) / 100)::BIGINT AS batches, (count(*) - 100 * floor((count(*) - 1) / 100))::BIGINT AS last_batch FROM chunks")
+def upsert_batches(spark, d):
+    """How many batches of a hundred an upsert sends, and the rows of the last."""
+    n = F.col("n")
+    sent = table(spark, d, "chunks").agg(F.count("*").alias("n"))
+    return sent.select(F.ceil(n / 100).alias("batches"), (n - 100 * F.floor((n - 1) / 100)).alias("last_batch"))
+
+
+@query("SELECT id, metadata.title AS title, source, content_type FROM chunks WHERE token_count BETWEEN 1 AND 2048 AND source = 'merck_vet_manual' AND content_type = 'disease'")
+def search_payload(spark, d):
+    chosen = table(spark, d, "chunks").filter(F.col("token_count").between(1, 2048) & (F.col("source") == "merck_vet_manual") & (F.col("content_type") == "disease"))
+    return chosen.select("id", "metadata.title", "source", "content_type")
+
+
+@query(
+    """SELECT s.id, count(c.id) AS chunks FROM (SELECT DISTINCT id FROM source_documents) s LEFT JOIN (SELECT DISTINCT id, document_id FROM chunks) c ON c.document_id = s.id GROUP BY s.id"""
+)
+def chunkless_documents(spark, d):
+    """Distinct chunks of every document, 0 for those without: counted before the join, which then is one to one."""
+    counted = table(spark, d, "chunks").select("id", "document_id").distinct().groupBy("document_id").agg(F.count("*").alias("n"))
+    documents = table(spark, d, "source_documents").select("id").distinct()
+    joined = documents.join(counted, documents["id"] == counted["document_id"], "left")
+    return joined.select("id", F.coalesce("n", F.lit(0).cast("bigint")).alias("chunks"))

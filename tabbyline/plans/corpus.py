@@ -209,3 +209,25 @@ def catalog_coverage(spark, d):
 @query("SELECT unnest(content_types) AS content_type, count(*) AS sources FROM source_catalog GROUP BY 1")
 def catalog_content_types(spark, d):
     return table(spark, d, "source_catalog").select(F.explode("content_types").alias("content_type")).groupBy("content_type").agg(F.count("*").alias("sources"))
+
+
+@query()
+def record_json(spark, d):
+    """Each document as one JSON record, nulls kept, times in ISO form."""
+    return _docs(spark, d).select("id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+
+
+@query("SELECT DISTINCT url FROM source_documents INTERSECT SELECT url FROM pages")
+def urls_with_page(spark, d):
+    return _docs(spark, d).select("url").intersect(table(spark, d, "pages").select("url"))
+
+
+@query("SELECT source, content_type, count(*) AS documents FROM source_documents GROUP BY ROLLUP (source, content_type)")
+def corpus_rollup(spark, d):
+    return _docs(spark, d).rollup("source", "content_type").agg(F.count("*").alias("documents"))
+
+
+@query("SELECT event_type, count(*) AS events, round(sum(value), 4) AS total, date_trunc('hour', ts) AS hour FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    e = table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour"))
+    return e.agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
