@@ -201,7 +201,7 @@ def text_previews(spark, d):
        FROM source_catalog c LEFT JOIN source_documents s ON s.source = c.source GROUP BY ALL"""
 )
 def catalog_coverage(spark, d):
-    catalog = F.broadcast(table(spark, d, "source_catalog").select("source", "host", "estimated_articles"))  # one row a source
+    catalog = table(spark, d, "source_catalog").select("source", "host", "estimated_articles")
     counted = _docs(spark, d).groupBy("source").agg(F.count("id").alias("documents"))
     return catalog.join(counted, "source", "left").select("source", "host", "estimated_articles", F.coalesce("documents", F.lit(0).cast("bigint")).alias("documents"))
 
