@@ -149,7 +149,7 @@ class SimilarityIndex:
         rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v")).filter(F.col("k").isNotNull() & usable("v", dim))
         rows = rows.withColumns({"h": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(7))})
         #: keys of each distinct vector
-        self.members = rows.select("h", "h2", "k").distinct()
+        self.members = materialise(rows.select("h", "h2", "k").distinct(), "members")
         self.vectors = materialise(rows.groupBy("h", "h2").agg(F.first("v").alias("v")), "vectors")
         # the fingerprint draws rows at random, and alike on every run; no more leave the executors than wanted
         self.rows = self.vectors.count()
