@@ -48,19 +48,44 @@ def line_places(df: DataFrame, key: str = "id", source: str = "source", text: st
 
 
 class LineCounts:
-    """The incremental state: merge batches, ask for crossed lines, their places, and cleaned documents."""
+    """The incremental state: merge batches, ask for crossed lines, their places, and cleaned documents.
 
-    def __init__(self, spark: SparkSession, threshold: int = 5):
+    path: a folder that keeps the state between sessions; what it holds is taken up again. A batch is in the
+    state once its counts are written, the last step of a merge; lines of a merge that broke off are
+    written over. Without a path the state lives in the shared folder of the session."""
+
+    def __init__(self, spark: SparkSession, threshold: int = 5, path: str | None = None):
         self.spark = spark
         self.threshold = threshold
+        self.path = path and path.rstrip("/")
         self.lines: DataFrame | None = None
         self.counts: DataFrame | None = None
+        self.batches = 0
+        if self.path:
+            self._take_up()
+
+    def _take_up(self) -> None:
+        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        at = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.path}/counts/{n}/_SUCCESS")
+        files = at(1).getFileSystem(hadoop)
+        while files.exists(at(self.batches + 1)):
+            self.batches += 1
+        if self.batches:
+            self.lines = self.spark.read.parquet(*(f"{self.path}/lines/{n}" for n in range(1, self.batches + 1)))
+            self.counts = self.spark.read.parquet(f"{self.path}/counts/{self.batches}").select(*_KEYS, "n")
+
+    def _keep(self, df: DataFrame, kind: str) -> DataFrame:
+        if not self.path:
+            return materialise(df, f"line-{kind}")
+        at = f"{self.path}/{kind}/{self.batches + 1}"
+        df.write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
 
     def merge(self, batch: DataFrame, **columns: str) -> DataFrame:
         """Add a batch of documents; returns the lines that crossed the threshold with it.
 
         A document seen before adds only lines it didn't have."""
-        new = materialise(line_places(batch, **columns), "lines")
+        new = self._keep(line_places(batch, **columns), "lines")
         added = new
         if self.lines is not None:
             again = self.lines.join(new.select("id").distinct(), "id", "left_semi").select(*_KEYS, "id")
@@ -72,7 +97,8 @@ class LineCounts:
         if old is not None:
             both = old.select(*_KEYS, F.col("n"), "d").unionByName(both)
         merged = both.groupBy(*_KEYS).agg(F.sum("n").alias("was"), (F.sum("n") + F.sum("d")).alias("n"))
-        merged = materialise(merged, "line-counts")
+        merged = self._keep(merged, "counts")
+        self.batches += 1
         self.counts = merged.select(*_KEYS, "n")
         self.lines = new if self.lines is None else self.lines.unionByName(new)
         return merged.filter((F.col("was") < self.threshold) & (F.col("n") >= self.threshold)).select(*_KEYS)

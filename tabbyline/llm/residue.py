@@ -143,7 +143,7 @@ def residue_documents(
     judged = materialise(judged, "residue")
     certain = judged.filter("sure").select("k")
     once = judged.filter("weak and not sure").select("k", "s", "h").distinct()
-    wide = once.groupBy("h").agg(F.count("*").alias("n"), F.approx_count_distinct("s").alias("sources"))
+    wide = once.groupBy("h").agg(F.count("*").alias("n"), F.count_distinct("s").alias("sources"))
     wide = wide.filter((F.col("n") >= least_documents) & (F.col("sources") >= least_sources)).select("h")
     recurring = once.join(wide, "h", "left_semi").select("k")
     return certain.unionByName(recurring).distinct().withColumnRenamed("k", key)

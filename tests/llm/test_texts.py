@@ -148,6 +148,16 @@ def test_deltas(spark):
     assert cleaned == {"a": "y", "d": "x", "n": None}
 
 
+def test_state_is_taken_up_again(spark, tmp_path):
+    mk = lambda rows: spark.createDataFrame(rows, "id string, source string, content string")
+    path = f"file://{tmp_path}/state"
+    assert repeated.LineCounts(spark, 2, path).merge(mk([("a", "s", "x\ny")])).count() == 0
+    again = repeated.LineCounts(spark, 2, path)
+    assert again.batches == 1 and again.merge(mk([("a", "s", "x"), ("b", "s", "x")])).count() == 1
+    last = repeated.LineCounts(spark, 2, path)
+    assert last.batches == 2 and {r["id"] for r in last.places().collect()} == {"a", "b"}
+
+
 def test_statistics_tell_kinds():
     held, truth = quality._holdout()
     model = quality.BoostedTrees().fit(held, truth).calibrate(held, truth)
