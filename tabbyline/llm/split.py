@@ -17,7 +17,6 @@ until all of them fit.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tabbyline.llm.bpe import DEFAULT_VOCABULARY, BpeEncoder, _Memo, encoder, pretokens, units
+from tabbyline.llm.bpe import DEFAULT_VOCABULARY, BpeEncoder, encoder, pretokens, units
 from tabbyline.llm.encode import slices
 from tabbyline.session import ensure_shipped
 
@@ -89,16 +88,23 @@ class Boundaries:
     """Boundaries of one text: character offsets, tokens before each, and their levels."""
 
     def __init__(self, text: str, enc: BpeEncoder):
-        parts = units(text)
-        lengths = list(chain.from_iterable(map(_measures(enc)[0].__getitem__, parts)))
-        counts = list(chain.from_iterable(map(_measures(enc)[1].__getitem__, parts)))
-        self.estimated = max(counts, default=0) > _ATOM
-        if self.estimated:
-            words = []
-            for word in pretokens(text):
-                n = len(enc.ids[word])
-                words += _atoms(word, n, enc) if n > _ATOM else [word]
-            lengths, counts = list(map(len, words)), [len(enc.ids[w]) for w in words]
+        # The seams of units are enough where units are small; a large one has those of its pre-tokens,
+        # and a long pre-token those of its parts.
+        words = units(text)
+        counts = list(map(enc.unit_count.__getitem__, words))
+        self.estimated = False
+        if max(counts, default=0) > _ATOM:
+            fine: list[str] = []
+            for unit, size in zip(words, counts):
+                if size <= _ATOM:
+                    fine.append(unit)
+                    continue
+                for word in pretokens(unit):
+                    n = len(enc.ids[word])
+                    self.estimated |= n > _ATOM
+                    fine += _atoms(word, n, enc) if n > _ATOM else [word]
+            words, counts = fine, [enc.unit_count[w] for w in fine]
+        lengths = list(map(len, words))
         offset = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))])
         tokens = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])
         level, behind_space = levels(text)
@@ -107,16 +113,6 @@ class Boundaries:
         self.level = level[self.offset]
 
 
-def _measures(enc: BpeEncoder) -> tuple[_Memo, _Memo]:
-    """Characters, and tokens, of the pre-tokens of a unit; kept beside the encoder."""
-    if not hasattr(enc, "measures"):
-        enc.measures = (
-            _Memo(lambda unit: tuple(map(len, pretokens(unit)))),
-            _Memo(lambda unit: tuple(len(enc.ids[w]) for w in pretokens(unit))),
-        )
-    return enc.measures
-
-
 def _last_at_level(level: np.ndarray, at_least: int) -> np.ndarray:
     """For each boundary the last one up to it whose level is `at_least`, or -1."""
     return np.maximum.accumulate(np.where(level >= at_least, np.arange(len(level)), -1))
