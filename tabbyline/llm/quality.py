@@ -28,6 +28,8 @@ from tabbyline.session import ensure_shipped, materialise
 SAMPLE_ROWS = 8_192
 #: Bodies under so many characters are too short to be called anything but prose, if they have letters.
 SHORT_BODY = 60
+#: Lines with fields or settings are records up to so many characters; longer ones are judged by their words.
+RECORD_CHARS = 200
 #: What remains of an error page besides its message is at most so long.
 ERROR_REST = 250
 
@@ -38,7 +40,8 @@ COMMON = frozenset(
     " el la los las un una de del que y en no se por con para su es al lo como más o fue ha esta este cuando muy sin sobre entre desde"
     " le les des du et est dans pour qui une sur pas ne au aux ce cette sont avec par plus son sa il elle on ou mais a été à d l"
     " der die das und ist ein eine einen einer den dem des zu von mit für auf nicht sich im am wurde werden wird bei nach aus auch oder als wie man dass ihr"
-    " и в не на что с по это как у из за от к его её но а же был была при для или если до после когда чтобы уже со".split()
+    " и в не на что с по это как у из за от к его её но а же был была при для или если до после когда чтобы уже со он она они их него неё там так ещё только этот эта эти можно надо"
+    " sie er wir hat haben war waren kann wenn ohne unter dann ils elles leur fait peut quand bien son están está han hay puede si porque".split()
 )
 #: Words of the customary filler text (fixed values).
 _FILLER = frozenset(
@@ -82,9 +85,9 @@ def _is_record(line: str) -> bool:
         line[0] in "|[{"
         or "\t" in line
         or line.startswith("http")
-        or line.count("|") > 1
-        or "; " in line and ": " in line and bool(_FIELDS.search(line))
-        or "=" in line and bool(_SETTING.search(line))
+        or line.count("|") > 1 and len(line) <= RECORD_CHARS and not line.endswith(_CLOSED)
+        or len(line) <= RECORD_CHARS and "; " in line and ": " in line and bool(_FIELDS.search(line))
+        or len(line) <= RECORD_CHARS and "=" in line and bool(_SETTING.search(line))
         or line[0].isdigit() and bool(_DATED.match(line))
     )
 
@@ -96,7 +99,13 @@ def _line_is_prose(line: str, words: list[str], record: bool, common: int, damag
         return wide >= 8 and len(_HIRAGANA.findall(line)) >= 0.15 * wide
     if len(words) < 4 or record or damaged and _broken(line) > 0.03 * len(line):
         return False
-    return common >= 2 and common >= (0.3 if _BULLET.match(line) else 0.16) * len(words)
+    if common < 2:
+        return False
+    if _BULLET.match(line):
+        return common >= 0.3 * len(words)
+    # a closed sentence of mostly small letters needs fewer function words: some languages have few
+    closed = line.endswith(_CLOSED) and len(words) >= 8 and sum(t[0].isupper() for t in line.split()) <= 0.35 * len(words)
+    return common >= (0.07 if closed else 0.16) * len(words)
 
 
 def _weight(line: str) -> int:
@@ -320,7 +329,8 @@ def scored(df: DataFrame, key: str = "id", text: str = "content", title: str = "
 def not_prose(df: DataFrame, key: str = "id", least: float = 0.5, **options) -> DataFrame:
     """Keys of texts whose main body is for the most part no running language, each once. Null keys and
     null texts are no case."""
-    found = scored(df, key, **options).filter(F.col("junk_probability") >= least)
+    # the check that follows: a body of which the larger part counts as prose line by line is no case
+    found = scored(df, key, **options).filter((F.col("junk_probability") >= least) & (F.col("stats")[NAMES.index("prose_share")] < 0.5))
     return found.filter(F.col(key).isNotNull()).select(key).distinct()
 
 
