@@ -62,9 +62,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tabbyline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that `materialise` has written in this process; returns how many there were.
+
+    To be called when results that were derived from them have been written: until then they are read."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    count = len(_written)
+    while _written:
+        at = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(hadoop).delete(at, True)
+    return count
+
+
 def ensure_shipped(spark: SparkSession) -> None:
     """Make this package importable in Python workers of a cluster whose PYTHONPATH lacks it."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -188,3 +188,15 @@ def test_streams(spark, tmp_path):
     chunks = spark.readStream.schema(spark.read.parquet(str(tmp_path / "ch")).schema).parquet(str(tmp_path / "ch"))
     S.upsert_stream(chunks, c, str(tmp_path / "cp3")).awaitTermination()
     assert c.points().count() == 1
+
+
+def test_materialised_tables(spark):
+    import os
+
+    from tabbyline import session
+
+    session.release(spark)
+    df = session.materialise(spark.range(5).withColumn("x", F.lit("a")), "t")
+    assert df.count() == 5 and df.schema["x"].dataType.simpleString() == "string"
+    path = session._written[-1].removeprefix("file://")
+    assert os.path.exists(path) and session.release(spark) == 1 and not os.path.exists(path)
