@@ -148,25 +148,36 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.rtrim(host, F.lit(".")), F.lit(""))
 
 
+#: Other spellings of language codes (fixed values).
+_LANGUAGES = {"eng": "en", "spa": "es", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "rus": "ru", "jpn": "ja", "jp": "ja"}
+
+
+def language_of(code: Column) -> Column:
+    """A language code as its first subtag in lower case, other spellings brought to two letters."""
+    first = F.lower(F.regexp_extract(code, r"^\s*([A-Za-z]+)", 1))
+    out = F
+    for other, usual in _LANGUAGES.items():
+        out = out.when(first == other, usual)
+    return F.nullif(out.otherwise(first), F.lit(""))
+
+
 def token_budget(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """Chunks, tokens and stored counts by source, language, content type and host of `metadata.url`.
 
-    Each id counts once. A null in any of the four is a slice of its own; language codes are brought to
-    their first subtag in lower case (`en-US`, `EN` to `en`). Null contents count no tokens.
+    Each id counts once. A null in any of the four is a slice of its own; languages are
+    taken as in `language_of`. Null contents count no tokens.
     """
     columns = [
         F.col("id"),
         F.col("source"),
-        F.lower(F.regexp_extract("lang", r"^\s*([A-Za-z]+)", 1)).alias("lang"),
+        language_of(F.col("lang")).alias("lang"),
         F.col("content_type"),
         host_of(F.col("metadata.url")).alias("host"),
         F.col("token_count").cast("bigint").alias("stored"),
     ]
     counted = once_per_id(with_token_counts(df, columns, "content", "tokens", vocabulary))
-    return (
-        counted.groupBy("source", "lang", "content_type", "host")
-        .agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.sum("stored").alias("stored_tokens"))
-        .withColumn("lang", F.nullif("lang", F.lit("")))
+    return counted.groupBy("source", "lang", "content_type", "host").agg(
+        F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.sum("stored").alias("stored_tokens")
     )
 
 

@@ -143,7 +143,7 @@ def test_budget(spark):
         ("a", "s", "EN", "article", "cats", 1, ("https://H.example/x",)),
         ("b", "s", "en-US", "article", "cats and dogs", 99, ("https://h.example:80/y",)),
         ("c", None, None, None, None, None, None),
-        ("d", "s", "en", "article", "cats and dogs", None, ("https://h.example/y",)),
+        ("d", "s", "eng", "article", "cats and dogs", None, ("https://h.example/y",)),
         ("e", "s", "en", "article", "", 0, ("no url",)),
         ("f", "s", "en", "article", " word" * 10, 5, None),
         ("g", "s", "en", "article", " word" * 10, 20, None),
