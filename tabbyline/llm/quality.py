@@ -50,7 +50,6 @@ _FILLER = frozenset(
     " pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_SYMBOL = re.compile(r"[^\w\s]")
 _DIGIT = re.compile(r"\d")
 _HIRAGANA = re.compile(r"[ぁ-ゟ]")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")

@@ -2,7 +2,6 @@
 
 import base64
 import random
-import sys
 
 import pytest
 import tiktoken
@@ -10,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tabbyline.llm import bpe, budget, encode, split
 
-sys.path.insert(0, "/opt/tokenizers/..")
-
 
 @pytest.fixture(scope="module")
 def reference():
