@@ -26,6 +26,8 @@ from tabbyline.llm.trees import BoostedTrees
 from tabbyline.session import ensure_shipped, materialise
 
 SAMPLE_ROWS = 8_192
+#: With fewer weakly labelled rows of a label than this, the hand-checked texts of it join the fit.
+FEW_EXAMPLES = 50
 #: Bodies under so many characters are too short to be called anything but prose, if they have letters.
 SHORT_BODY = 60
 #: Lines with fields or settings are records up to so many characters; longer ones are judged by their words.
@@ -286,7 +288,8 @@ def document_statistics(df: DataFrame, key: str = "id", text: str = "content", t
 
 def fit(measured: DataFrame, sample_rows: int = SAMPLE_ROWS) -> BoostedTrees:
     """Trees fitted on at most `sample_rows` weakly labelled rows, drawn by the hash of the key, half of
-    them of each label as far as there are such, and calibrated on the holdout."""
+    them of each label as far as there are such, and calibrated on the holdout, which the fit doesn't see unless
+    the table has fewer than `FEW_EXAMPLES` rows of a label."""
     labelled = measured.filter(F.col("label") >= 0).select("label", "stats", F.xxhash64("k").alias("h"))
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     drawn = []
@@ -295,8 +298,12 @@ def fit(measured: DataFrame, sample_rows: int = SAMPLE_ROWS) -> BoostedTrees:
         near = F.pmod("h", F.lit(1 << 31)) < int(min(1.0, 1.2 * (sample_rows // 2) / size) * (1 << 31))
         drawn.append(labelled.filter((F.col("label") == label) & near).orderBy("h").limit(sample_rows // 2).toPandas())
     held, truth = _holdout()
-    rows = [np.stack(d["stats"].to_numpy()) for d in drawn if len(d)] + [held]
-    labels = [d["label"].to_numpy(float) for d in drawn if len(d)] + [truth]
+    rows = [np.stack(d["stats"].to_numpy()) for d in drawn if len(d)]
+    labels = [d["label"].to_numpy(float) for d in drawn if len(d)]
+    for label in (0, 1):
+        if sizes.get(label, 0) < FEW_EXAMPLES:  # a tiny table: the texts checked by hand have to serve twice
+            rows.append(held[truth == label])
+            labels.append(truth[truth == label])
     return BoostedTrees().fit(np.concatenate(rows).astype(np.float32), np.concatenate(labels)).calibrate(held, truth)
 
 
