@@ -44,8 +44,8 @@ PHRASES = (
     r"|\b(?:enable|turn on|activate|allow|switch on) (?:java)?scripts?\b|\b(?:needs|requires) (?:java)?scripts?\b(?: to| in| for|\.|$)|\bjavascript (?:is|must be|has to be) (?:disabled|required|enabled|turned|switched|not)"
     r"|\berror establishing a database connection\b|\bfatal error: |\bstack trace: ?#|\buncaught \w*error\b|\bsomething went wrong while\b|\bis down for maintenance\b"
     r"|\btoo many requests\b|\bsession\b.{0,120}\bhas expired\b|\bwe could(?: not|n.t) find [“\"«]|^oops\b.{0,20}\bcould(?: not|n't|n’t) find\b"
-    r"|\bpage introuvable\b|\bactivez (?:les scripts|javascript)\b|\bpágina\b.{0,160}\bno (?:existe|se encuentra|se encontró|encontrada)\b|\bactive (?:los scripts|javascript)\b"
-    r"|\bseite\b.{0,160}\bnicht gefunden\b|\b(?:aktivieren sie|bitte aktivieren) .{0,20}(?:javascript|skripte)|страниц\w* .{0,160}не (?:найдена|существует)|включите (?:javascript|скрипты)"
+    r"|\bpage introuvable\b|\bactivez (?:les scripts|javascript)\b|\bpágina\b.{0,160}\bno (?:existe|se encuentra|se encontró|encontrada)(?!\w)|\bactive (?:los scripts|javascript)\b"
+    r"|\bseite\b.{0,160}\bnicht gefunden\b|\b(?:aktivieren sie|bitte aktivieren) .{0,20}(?:javascript|skripte)|страниц[а-яё]* .{0,160}не (?:найдена|существует)|включите (?:javascript|скрипты)"
     r"|ページ.{0,80}(?:見つかりません|存在しません)|javascript.{0,12}(?:有効|オン)"
 )
 #: Wordings that ordinary text may have as well.
@@ -53,47 +53,57 @@ WEAK_PHRASES = (
     r"\bnot found\b|\bunavailable\b|\bunder (?:construction|maintenance)\b|\bcoming soon\b|\baccess (?:is|was|has been)? ?(?:denied|blocked)\b|\bforbidden\b"
     r"|\bwent wrong\b|\btry again later\b|^oops\b|\bplaceholder\b|\bjavascript\b|\bscripts?\b|\bplease (?:reload|refresh)\b|\bexpired\b|\bundefined\b"
 )
-#: Signs and words, in lower case, without one of which a message is not looked at any further.
+#: Signs and words, in lower case and with single blanks, without one of which a message is not looked at any further.
+#: Every branch of the patterns above needs one of them (a test has an example of each).
 HINTS = (
-    "{{", "{%", "${", "<%", "%%", "__", "#if", "#foreach", "#set", "$", "[object", "[insert", "[your", "[enter", "[replace", "[add", " nan",
+    "{{", "{%", "${", "<%", "%%", "__", "#if", "#foreach", "#set", "$", "[object", "[insert", "[your", "[enter", "[replace", "[add", "nan",
     "ipsum", "sit amet", "placeholder", "sample text", "dummy text", "filler text", "before publishing", "your headline", "your title", "your text", "your content",
     "your logo", "your tagline", "to edit", "text about", "todo",
     "tbd", "fixme", "undefined", "null", "error", "not found", "page you", "url you", "document you", "resource you", "requested url", "support number",
     "permission to", "access denied", "access is", "access was", "access has", "access blocked", "verify", "captcha", "script", "went wrong",
     "maintenance", "too many", "could not find", "couldn", "expired", "oops", "stack trace", "introuvable", "página", "seite", "страниц", "скрипт",
     "ページ", "unavailable", "unauthorized", "bad request", "bad gateway", "time-out", "timeout", "construction", "coming soon", "forbidden",
-    "try again", "reload", "refresh",
+    "try again", "reload", "refresh", "page cannot be", "skript", *(f"{digit} gone" for digit in range(10)),
 )
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 
 
+#: "nan" counts as a word only: many words have it inside.
+_INSIDE_WORD = re.compile(r"[a-z0-9_]")
+
+
 @lru_cache(maxsize=1)
 def _hints() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for hint in HINTS:
-        automaton.add_word(hint, len(hint))
+        automaton.add_word(hint, hint)
     automaton.make_automaton()
     return automaton
 
 
+def _single(text: str) -> str:
+    """The text in lower case, blanks made single as `masked` does; lines stay lines."""
+    low = text.lower()
+    for blank in "\t\r\x0b\f":
+        low = low.replace(blank, " ")
+    while "  " in low:
+        low = low.replace("  ", " ")
+    return low
+
+
+def _hinted(low: str) -> bool:
+    for end, hint in _hints().iter(low):
+        if hint != "nan" or not (_INSIDE_WORD.match(low, end + 1) or end > 2 and _INSIDE_WORD.match(low, end - 3)):
+            return True
+    return False
+
+
 def hinted_messages(text: str | None) -> list[str]:
-    """The sentences of the lines of `text` that hold a hint, found in one pass over the text."""
-    if not text:
+    """The sentences of the lines of `text` that hold a hint, found in one pass over texts that have none."""
+    if not text or not _hinted(low := _single(text)):
         return []
-    low, hints, out = text.lower(), _hints(), []
-    if len(low) != len(text):  # a letter whose lower case is longer: places differ, so go by lines
-        lines = [line for line in text.split("\n") if next(hints.iter(line.lower()), None)]
-    else:
-        lines, done = [], -1
-        for end, _ in hints.iter(low):
-            if end > done:
-                start = text.rfind("\n", 0, end) + 1
-                done = text.find("\n", end)
-                done = len(text) if done < 0 else done
-                lines.append(text[start:done])
-    for line in lines:
-        out += [m for m in _SENTENCE.split(line.strip()) if next(hints.iter(m.lower()), None)]
-    return out
+    lines = [line for line, lowered in zip(text.split("\n"), low.split("\n"), strict=True) if _hinted(lowered)]
+    return [m for line in lines for m in _SENTENCE.split(line.strip()) if _hinted(_single(m))]
 
 
 def masked(message: Column) -> Column:

@@ -101,6 +101,59 @@ def test_residue(spark):
     assert residue.residue_documents(df.withColumn("content", F.concat(F.lit(PROSE + " "), "content", F.lit("\nİ more")))).count() == len(RESIDUE)
 
 
+#: One example for each branch of PLACEHOLDERS and PHRASES and for their alternatives.
+BRANCHES = [
+    "{{ name }}", "{% if %}", "${owner}", "<%= page %>", "%%TITLE%%", "__MILO_BODY__", "#if (x)", "#foreach(x)", "#set(x)", "$cat.name", "[object Object]", "[Insert name]", "[your name]", "[Enter x]", "[replace x]",
+    "[add x]", "TODO: x", "tbd: x", "FIXME: x", "NaN kg", "Weight\tNaN", "nan %", "weighs undefined", "is null", "lorem ipsum", "dolor sit amet", "placeholder copy", "Sample text", "dummy text", "filler text",
+    "replace this before publishing", "your headline goes here", "Your title here", "your text here", "your content here", "your logo here", "your tagline here", "click to edit", "click here to edit", "text about Milo goes here",
+    "404 Not Found", "403 Forbidden", "401 Unauthorized", "410 Gone", "400 Bad Request", "502 Bad Gateway", "500 Internal Server Error", "503 Service Unavailable", "503 Service Temporarily Unavailable", "504 Gateway Timeout",
+    "504 Gateway Time-out", "429 Too Many Requests", "HTTP error 404", "error code: 500", "Internal server error", "Page not found", "The page cannot be found.", "This page cannot be displayed", "the page you requested",
+    "the URL you requested", "the document you are looking for", "the resource you’re looking for", "The requested URL /x was rejected", "Your support number is 1", "You don't have permission to access x",
+    "you do not have permission to view x", "Access denied", "Verify that you are a human", "verify you are not a robot", "complete the captcha", "enable JavaScript", "turn on scripts", "activate scripts", "allow scripts",
+    "switch on scripts", "needs scripts to run", "requires JavaScript.", "JavaScript is disabled", "Error establishing a database connection", "Fatal error: x", "Stack trace: #0", "Uncaught TypeError", "Something went wrong while x",
+    "is down for maintenance", "Too many requests", "Your session x has expired", "We could not find “x”", "we couldn't find \"x\"", "Oops, we could not find x", "Oops, couldn’t find x", "Page introuvable", "Activez les scripts",
+    "activez JavaScript", "La página x no existe", "la página no se encuentra", "página x no encontrada", "La página x no se encontró.", "Active los scripts", "active JavaScript", "Seite x nicht gefunden", "Bitte aktivieren Sie Skripte in Ihrem Browser.",
+    "Aktivieren Sie bitte JavaScript", "страница x не найдена", "страницы x не существует", "Включите JavaScript", "включите скрипты", "ページは見つかりません", "ページが存在しません", "JavaScriptを有効にする",
+]
+WEAK = [
+    "x not found", "unavailable", "under construction", "under maintenance", "Coming soon", "access denied", "access is blocked", "access was denied", "access has been denied", "forbidden", "went wrong", "try again later",
+    "Oops", "a placeholder", "JavaScript", "a script", "please reload", "please refresh", "expired", "undefined",
+]
+
+
+def branches(pattern):
+    """The alternatives of a pattern outside of all brackets."""
+    parts, depth, n = [""], 0, 0
+    while n < len(pattern):
+        step = pattern[n : n + 2] if pattern[n] == "\\" else pattern[n : pattern.index("]", n + 2) + 1] if pattern[n] == "[" else pattern[n]
+        depth += (step == "(") - (step == ")")
+        if step == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += step
+        n += len(step)
+    return parts
+
+
+def test_no_branch_lacks_a_hint():
+    import re
+
+    for pattern, examples, flags in ((residue.PLACEHOLDERS, BRANCHES, 0), (residue.PHRASES, BRANCHES, re.I), (residue.WEAK_PHRASES, WEAK, re.I)):
+        for branch in branches(pattern):
+            assert any(re.search(branch, e, flags) for e in examples), branch
+    for example in BRANCHES + WEAK:
+        for text in (example, example.replace(" ", "  "), example.replace(" ", " \t"), f"First line\r\n{example}\nlast İ line"):
+            assert residue.hinted_messages(text) == [text.split("\n")[1] if "\n" in text else text], text
+    assert residue.hinted_messages("The banana and the nanny cost 5 cents, the pregnant cat is gone.") == []
+
+
+def test_residue_of_every_branch(spark):
+    blanks = [t.replace(" ", "  ") for t in ("404 Not Found", "Too many requests", "Page not found", "Access denied")]
+    df = spark.createDataFrame([(f"r{n}", "s", t) for n, t in enumerate(BRANCHES + blanks)], "id string, source string, content string")
+    got = {r["id"] for r in residue.residue_documents(df).collect()}
+    assert [t for n, t in enumerate(BRANCHES + blanks) if f"r{n}" not in got] == []
+
+
 def test_recurring_weak_messages(spark):
     rows = [(f"w{n}", f"s{n % 2}", f"Feeder {n} went wrong, id {n}{n}{n}{n}{n}{n}.") for n in range(6)] + [("x", "s0", "Once it went wrong.")]
     df = spark.createDataFrame(rows, "id string, source string, content string")
