@@ -4,7 +4,9 @@ Method: line-block distribution. Markup is stripped, each line gets the length o
 the lengths are summed over a sliding window of lines. Where the sums surge, the main text begins; where
 they dive, it ends. Short lines inside the text that can't be told by themselves are judged by where they
 stand to surge and dive, and lines that name themselves (menus, consents, bylines, sharing, advertisements,
-links to other pages, comments, notices, footers) are taken out wherever they stand.
+links to other pages, comments, notices, footers) are taken out wherever they stand. The page's heading and
+the lines that close a page (tags, comments, lists of other pages, signing up) bound the text: sentences
+outside of these bounds are furniture whatever their wording is.
 
 Every line gets one of these marks:
   blank; body: running text, tables, records; own: the page's heading; short: may be either;
@@ -104,6 +106,10 @@ _HEAD = re.compile(
     r"|you (may|might) (also )?(like|enjoy)\b[^.]{0,20}$|editor(['’]s|s['’]?|ial) (picks?|choices?)$|most (read|popular|viewed|shared)\b[^.:]{0,40}$"
     r"|(what|where) to read next$|read (next|more)$|(también te puede interesar|à lire aussi|das könnte sie auch interessieren|похожие статьи|関連記事)$"
 )
+#: Furniture after which the text of a page doesn't come back.
+_CLOSING = re.compile(r"(\d+|no) comments?\b|leave a (reply|comment)\b|(tags?|topics?|labels?|keywords|categories) ?: |filed under\b")
+#: Furniture that closes a page unless the text surges again below.
+_SIGNING_UP = re.compile(r"follow us\b|(enter|type) your e-?mail\b|subscribe\b|sign up (for|to)\b|become a (member|supporter|patron)\b|join (us|our)\b")
 _ADDRESS = re.compile(r"[^,\d]{3,60}, \d+[a-z]? [^,.\d]{3,40}, [^,.\d]{3,40}$")
 #: Lines longer than this are running text or records; furniture is shorter.
 _LONGEST = 200
@@ -174,12 +180,16 @@ def _plain(raw: str) -> str:
     return " ".join((_MARKUP.sub(" ", raw) if "<" in raw else raw).split())
 
 
+#: Characters of running text in a window of lines from which on the text surges.
+SURGE = 120
+
+
 def blocks(lengths: np.ndarray, width: int = 3) -> np.ndarray:
     """Sums of lengths over a window of `width` lines from each line on."""
     return np.convolve(lengths, np.ones(width, np.int64))[width - 1 :] if len(lengths) >= width else np.full(len(lengths), lengths.sum())
 
 
-def surge_and_dive(lengths: np.ndarray, width: int = 3, surge: int = 120) -> tuple[int, int]:
+def surge_and_dive(lengths: np.ndarray, width: int = 3, surge: int = SURGE) -> tuple[int, int]:
     """First and last line of the main text: from the first line whose block reaches `surge` and that is
     itself of some length, to the last such. (0, -1) if there is none."""
     if not len(lengths):
@@ -190,6 +200,32 @@ def surge_and_dive(lengths: np.ndarray, width: int = 3, surge: int = 120) -> tup
     return (int(inside[0]), int(inside[-1])) if len(inside) else (0, -1)
 
 
+def bounds(raw: list[str], marks: list[int], lengths: np.ndarray) -> tuple[int, int]:
+    """The lines [top, end) where the main text can be: from the page's heading on, up to the line that closes
+    the page. Neither holds if the larger part of the running text would be outside."""
+    before = np.concatenate(([0], np.cumsum(lengths)))  # running text above each line
+    top = next((k for k, m in enumerate(marks) if m == OWN), 0)
+    if 2 * before[top] > before[-1]:
+        top = 0
+    surges = np.flatnonzero(blocks(lengths) >= SURGE)
+    for k in range(top, len(raw)):
+        if marks[k] in (PART, HEAD) and before[k] > before[top] and 2 * before[k] >= before[-1] + before[top]:
+            low = _plain(raw[k]).lower()
+            if _CLOSING.match(low) or (marks[k] == HEAD or _SIGNING_UP.match(low)) and not (len(surges) and surges[-1] >= k):
+                return top, k
+    return top, len(raw)
+
+
+def _unlisted(raw: str, mark: int) -> bool:
+    """A closed sentence or a line of words that isn't an item of a list or a row of a table."""
+    line = _plain(raw)
+    if mark not in (BODY, SHORT) or _TABLE.search(raw.strip(_TRIM)) or _BULLET.match(line):
+        return False
+    if mark == SHORT:
+        return not _NO_ITEM.search(line)
+    return line.rstrip(_CLOSERS).endswith(_ENDS) and (len(_WORD.findall(line)) >= 6 or len(_WIDE.findall(line)) >= 12)
+
+
 def furniture(content: str | None, title: str | None = None) -> list[int]:
     """Numbers of the lines of `content` that are page furniture; none for null and empty contents."""
     if not content:
@@ -213,6 +249,10 @@ def furniture(content: str | None, title: str | None = None) -> list[int]:
             marks[k] = PART
 
     lengths = np.array([running_length(line) if m == BODY else 0 for line, m in zip(raw, marks)], np.int64)
+    top, end = bounds(raw, marks, lengths)
+    for k in filled:
+        if not top <= k < end and _unlisted(raw[k], marks[k]):
+            marks[k], lengths[k] = PART, 0
     start, stop = surge_and_dive(lengths)
     if stop < 0:  # no running text: everything of the page's own is the main part
         rows = [k for k in filled if marks[k] in (BODY, OWN)]

@@ -60,6 +60,17 @@ def test_furniture():
         assert furniture.furniture(body, "Other") == []
 
 
+def test_unlisted_sentences_outside_of_the_text():
+    outside = ["This site keeps tiny data on your machine so that it works well for you.", "Get our letter each week and read what other owners of cats think.", "Nothing shown here may be sold or passed on to others by anyone.", "当サイトの文章は、だれも許可なく売ったり渡したりできません。"]
+    page = ["Home » Ask a vet » Kittens » Shop", outside[0], "Log in", "Why Milo slept", PROSE, "Advertisement", outside[1], PROSE, "| Milo | Home | 3.4 kg |", "Tags: Milo, sleep, York", outside[1], outside[2], outside[3], "| Milo | Home |", "© 2021 Cat Pages"]
+    assert furniture.furniture("\n".join(page), "Why Milo slept") == [0, 1, 2, 5, 9, 10, 11, 12, 14]
+    page = ["Why Milo slept", PROSE, PROSE, "Related pages", "- Is ivy toxic? Lessons from Ann", outside[1]]
+    assert furniture.furniture("\n".join(page), "Why Milo slept") == [3, 4, 5]
+    # text that surges again below a list of pages, and text of which the larger part is above the heading, is kept
+    assert furniture.furniture("\n".join([*page[:5], PROSE]), "Why Milo slept") == [3, 4]
+    assert furniture.furniture("\n".join([PROSE, PROSE, "Why Milo slept", outside[1]]), "Why Milo slept") == []
+
+
 def test_surge_and_dive():
     import numpy as np
 
