@@ -71,10 +71,15 @@ _CLOSED = tuple(".!?…。！？\"”’»」")
 
 NAMES = (
     "log_words", "word_length", "symbol_share", "digit_share", "closed_lines", "common_words", "words_a_line", "bullet_lines", "record_lines",
-    "capital_words", "distinct_words", "long_words", "no_vowel_words", "broken_words", "hiragana_share", "letter_share", "prose_share",
+    "capital_words", "distinct_words", "long_words", "no_vowel_words", "broken_words", "hiragana_share", "letter_share", "closed_share",
+    "prose_share",
 )
 
 
+#: What the trees see: all but the share of lines that the rule of thumb calls prose, as the labels come of it.
+SEEN = [n for n, name in enumerate(NAMES) if name != "prose_share"]
+
+
 def _broken(text: str) -> int:
     """How many signs and digits stand inside of words."""
     return sum(len(p.findall(text)) for p in _BROKEN)
@@ -94,7 +99,7 @@ def _is_record(line: str) -> bool:
 
 
 def _line_is_prose(line: str, words: list[str], record: bool, common: int, damaged: bool) -> bool:
-    """Rule of thumb for one line; it only makes labels and one of the statistics."""
+    """Rule of thumb for one line; it only makes labels and a statistic that the trees don't see."""
     wide = len(_WIDE.findall(line)) if not line.isascii() else 0
     if wide * 2 > len(line):
         return wide >= 8 and len(_HIRAGANA.findall(line)) >= 0.15 * wide
@@ -156,10 +161,12 @@ def statistics(body: str) -> list[float]:
     records = [_is_record(line) for line in lines]
     commons = [sum(map(COMMON.__contains__, ws)) for ws in words_of]
     damaged = broken > 0.005 * solid
-    prose = total = 0
+    prose = closed = total = 0
     for line, ws, record, common in zip(lines, words_of, records, commons):
         weight = _weight(line)
         total += weight
+        if line.endswith(_CLOSED):
+            closed += weight
         if _line_is_prose(line, ws, record, common, damaged):
             prose += weight
     count = sum(map(len, words_of))
@@ -185,6 +192,7 @@ def statistics(body: str) -> list[float]:
         broken / n,
         len(_HIRAGANA.findall(text)) / max(1, wide) if wide else 0.0,
         letters / solid,
+        closed / total,
         prose / total,
     ]
 
@@ -304,7 +312,7 @@ def fit(measured: DataFrame, sample_rows: int = SAMPLE_ROWS) -> BoostedTrees:
         if sizes.get(label, 0) < FEW_EXAMPLES:  # a tiny table: the texts checked by hand have to serve twice
             rows.append(held[truth == label])
             labels.append(truth[truth == label])
-    return BoostedTrees().fit(np.concatenate(rows).astype(np.float32), np.concatenate(labels)).calibrate(held, truth)
+    return BoostedTrees().fit(np.concatenate(rows).astype(np.float32)[:, SEEN], np.concatenate(labels)).calibrate(held[:, SEEN], truth)
 
 
 def scored(df: DataFrame, key: str = "id", text: str = "content", title: str = "title", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -323,7 +331,7 @@ def scored(df: DataFrame, key: str = "id", text: str = "content", title: str = "
                 x = np.stack(batch["stats"][known].to_numpy()).astype(np.float32)
                 letters = x[:, NAMES.index("letter_share")] >= 0.5
                 short = (batch["chars"][known].to_numpy(float) < SHORT_BODY) & (letters | (x[:, 0] == 0))
-                p[known] = np.where(short, 0.0, model.probability(x))
+                p[known] = np.where(short, 0.0, model.probability(x[:, SEEN]))
             out = batch.assign(junk_probability=p)
             out["junk_probability"] = out["junk_probability"].astype(object).where(known, None)
             yield out
@@ -335,8 +343,7 @@ def scored(df: DataFrame, key: str = "id", text: str = "content", title: str = "
 def not_prose(df: DataFrame, key: str = "id", least: float = 0.5, **options) -> DataFrame:
     """Keys of texts whose main body is for the most part no running language, each once. Null keys and
     null texts are no case."""
-    # the check that follows: a body of which the larger part counts as prose line by line is no case
-    found = scored(df, key, **options).filter((F.col("junk_probability") >= least) & (F.col("stats")[NAMES.index("prose_share")] < 0.5))
+    found = scored(df, key, **options).filter(F.col("junk_probability") >= least)
     return found.filter(F.col(key).isNotNull()).select(key).distinct()
 
 
@@ -344,5 +351,5 @@ def quality_table(df: DataFrame, key: str = "id") -> DataFrame:
     """The statistics of each row in columns, beside the stored word count of the metadata."""
     stored = df.select(F.col(key), F.col("metadata.word_count").alias("stored_word_count")).groupBy(key).agg(F.max("stored_word_count").alias("stored_word_count"))
     table = scored(df, key).withColumnRenamed("words", "word_count").dropDuplicates([key])
-    shares = [F.round(F.col("stats")[NAMES.index(n)].cast("double"), 4).alias(n) for n in NAMES[1:]]
+    shares = [F.round(F.col("stats")[NAMES.index(n)].cast("double"), 4).alias(n) for n in NAMES[1:] if n != "closed_share"]
     return table.select(key, "word_count", *shares, F.round("junk_probability", 4).alias("junk_probability")).join(stored, key, "left")

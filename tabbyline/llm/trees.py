@@ -81,12 +81,22 @@ class BoostedTrees:
         hit, miss = y.sum(), len(y) - y.sum()
         target = np.where(y > 0, (hit + 1) / (hit + 2), 1 / (miss + 2))
         a, b = 1.0, 0.0
-        for _ in range(rounds):  # Newton steps, damped, drawn a little towards no change of scale
+
+        def loss(a: float, b: float) -> float:
+            z = a * s + b
+            return float((np.logaddexp(0, z) - target * z).sum() + 0.5 * (a - 1) ** 2 + 0.05 * b * b)
+
+        for _ in range(rounds):  # Newton steps, halved until they gain, drawn a little towards no change of scale
             p = _logistic(a * s + b)
             w = np.maximum(p * (1 - p), 1e-9)
             normal = np.array([[(w * s * s).sum(), (w * s).sum()], [(w * s).sum(), w.sum()]]) + np.diag([1.0, 0.1])
             step = np.linalg.solve(normal, [((target - p) * s).sum() - (a - 1), (target - p).sum() - 0.1 * b])
-            a, b = a + 0.5 * step[0], b + 0.5 * step[1]
+            now, size = loss(a, b), 1.0
+            while size > 1e-9 and loss(a + size * step[0], b + size * step[1]) >= now:
+                size /= 2
+            if size <= 1e-9:
+                break
+            a, b = a + size * step[0], b + size * step[1]
         self.scale, self.shift = float(max(a, 1e-3)), float(b)
         return self
 

@@ -251,3 +251,29 @@ def test_not_prose(spark):
     assert quality.not_prose(df.limit(0)).count() == 0
     table = quality.quality_table(df.withColumn("metadata", F.struct(F.lit(5).alias("word_count"))))
     assert table.filter("id = 'p0'").first()["stored_word_count"] == 5
+
+
+def test_trees_judge_without_the_rule(spark, monkeypatch):
+    assert [quality.NAMES[n] for n in quality.SEEN] == [n for n in quality.NAMES if n != "prose_share"]
+    keywords = "cat food of the best cheap kitten toys buy cat bed online\nbest cat of cat food cheap vet for kitten buy toys cat tree\nthe best cat food buy cheap of kitten toys price cat\n" * 3
+    assert quality.statistics(keywords)[-1] > 0.5  # the rule of thumb takes its lines for prose
+
+    class Sure:
+        def probability(self, x):
+            assert x.shape[1] == 17  # the statistics but for prose_share
+            return x[:, 0] * 0 + 1.0
+
+    monkeypatch.setattr(quality, "fit", lambda *_: Sure())
+    df = spark.createDataFrame([("k", keywords, "T"), ("n", None, "T")], "id string, content string, title string")
+    assert [r["id"] for r in quality.not_prose(df).collect()] == ["k"]
+
+
+def test_calibration_settles():
+    import numpy as np
+
+    x, y = np.array([-9.0] * 8 + [-2.0] * 8 + [6.0] * 8 + [9.0] * 8)[:, None], np.array([0.0] * 16 + [1.0] * 16)
+    model = quality.BoostedTrees()
+    model.score = lambda rows: rows[:, 0]
+    for shift in range(-12, 13, 3):
+        model.calibrate(x * 1.5 + shift / 8, y)
+        assert ((model.probability(x * 1.5 + shift / 8) > 0.5) == y.astype(bool)).all()
