@@ -86,7 +86,9 @@ _FRONT = re.compile(
     )
 )
 #: Words without which no wording below is tried.
-_HINT = re.compile(r"cookie|クッキー|куки|small files|never miss|inbox|a friend|rights reserved|permission|terms|licen[cs]e|registered|replace|substitute")
+_HINTS = (
+    "cookie", "クッキー", "куки", "small files", "never miss", "inbox", "a friend", "rights reserved", "permission", "terms", "licence", "license", "registered", "replace", "substitute",
+)
 #: Wordings that furniture has anywhere.
 _INSIDE = re.compile(
     "|".join(
@@ -111,7 +113,7 @@ _CLOSING = re.compile(r"(\d+|no) comments?\b|leave a (reply|comment)\b|(tags?|to
 #: Furniture that closes a page unless the text surges again below.
 _SIGNING_UP = re.compile(r"follow us\b|(enter|type) your e-?mail\b|subscribe\b|sign up (for|to)\b|become a (member|supporter|patron)\b|join (us|our)\b")
 _ADDRESS = re.compile(r"[^,\d]{3,60}, \d+[a-z]? [^,.\d]{3,40}, [^,.\d]{3,40}$")
-#: Lines longer than this are running text or records; furniture is shorter.
+#: Lines longer than this are running text or records, unless their wording or form tells otherwise.
 _LONGEST = 200
 
 
@@ -135,7 +137,7 @@ def _wording(raw: str) -> int:
         return BLANK
     if _HEAD.match(low):
         return HEAD
-    if _FRONT.match(low) or _HINT.search(low) and _INSIDE.search(low):
+    if _FRONT.match(low) or any(map(low.__contains__, _HINTS)) and _INSIDE.search(low):
         return PART
     if _TABLE.search(raw):
         return BODY
@@ -155,6 +157,15 @@ def _wording(raw: str) -> int:
     return SHORT
 
 
+def _long(raw: str) -> int:
+    """The mark of a long line; these recur seldom, so they aren't remembered."""
+    low = _plain(raw).lower()
+    if _FRONT.match(low) or any(map(low.__contains__, _HINTS)) and _INSIDE.search(low):
+        return PART
+    closed = low.rstrip(_CLOSERS).endswith(_ENDS)
+    return PART if not closed and not _TABLE.search(raw) and _menu(raw) else BODY
+
+
 def _mark(raw: str, title: str) -> int:
     raw = raw.strip(_TRIM)
     if not raw:
@@ -166,7 +177,7 @@ def _mark(raw: str, title: str) -> int:
                 return OWN
             if low[: -len(title)].rstrip().endswith(_STEP):
                 return PART  # a breadcrumb to this page
-    return _wording(raw) if len(raw) <= _LONGEST else BODY
+    return _wording(raw) if len(raw) <= _LONGEST else _long(raw)
 
 
 def running_length(raw: str) -> int:

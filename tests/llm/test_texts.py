@@ -71,6 +71,14 @@ def test_unlisted_sentences_outside_of_the_text():
     assert furniture.furniture("\n".join([PROSE, PROSE, "Why Milo slept", outside[1]]), "Why Milo slept") == []
 
 
+def test_long_furniture():
+    consent = "We value your privacy. " + "Together with the partners named in the list below, we keep data on your device and read it to show what may be of use to you. " * 2
+    notice = "The texts of this site were written for readers at home and were looked through by its editors with care, " * 2 + "all rights reserved."
+    menu = " | ".join(["Home", "Kittens", "Nutrition", "Ask a vet", "Toxic plants"] * 5)
+    assert min(map(len, (consent, notice, menu))) > 200
+    assert furniture.furniture("\n".join([menu, consent, PROSE, PROSE * 3, PROSE, notice]), "Other") == [0, 1, 5]
+
+
 def test_surge_and_dive():
     import numpy as np
 
