@@ -109,6 +109,11 @@ class Boundaries:
         tokens = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])
         level, behind_space = levels(text)
         keep = ~behind_space[offset]
+        # a run of white space of many tokens can be cut inside
+        kept = np.flatnonzero(keep)
+        for n in np.flatnonzero((np.diff(tokens[kept]) > _ATOM) & (np.diff(kept) > 1)):
+            keep[kept[n] : kept[n + 1]] = True
+            self.estimated = True
         self.offset, self.tokens = offset[keep], tokens[keep]
         self.level = level[self.offset]
 
@@ -219,7 +224,7 @@ def split_spans(
     """Pieces of each row's `text` as `(key, chunk_index, start, end, token_count)`, character offsets.
 
     Narrow; only the two columns are read. A text of at most `limit` tokens is one piece; null texts
-    and texts of white space alone have none; rows repeated under one key are cut alike, once each.
+    and texts of white space alone that aren't over the limit have none; rows repeated under one key are cut alike, once each.
     A character of more tokens than `limit` is a piece of its own.
     """
     if overlap >= limit:
@@ -237,11 +242,11 @@ def split_spans(
                 texts = batch.column(1).to_pylist()
                 row, spans, long = [], [], []
                 for n, t in enumerate(texts):
-                    if t and not t.isspace():
+                    if t:
                         count = enc.count(t)
                         if count > limit:
                             long.append(n)
-                        else:
+                        elif not t.isspace():
                             row.append(n)
                             spans.append((0, 0, len(t), count))
                 for n, pieces in zip(long, cut_texts([texts[n] for n in long], enc, limit, overlap, fill)):
@@ -270,12 +275,12 @@ def split_documents(df: DataFrame, key: str = "id", text: str = "content", **opt
         for whole in batches:
             for batch in slices(whole, 1, 4_000_000):
                 texts = batch.column(1).to_pylist()
-                counts = [enc.count(t) if t and not t.isspace() else 0 for t in texts]
+                counts = [enc.count(t) if t else 0 for t in texts]
                 long = [n for n, c in enumerate(counts) if c > limit]
                 cuts = dict(zip(long, cut_texts([texts[n] for n in long], enc, limit, overlap, fill)))
                 row, index, tokens, piece = [], [], [], []
                 for n, t in enumerate(texts):
-                    for i, (a, b, c) in enumerate(cuts.get(n, [(0, len(t), counts[n])] if counts[n] else [])):
+                    for i, (a, b, c) in enumerate(cuts.get(n, [(0, len(t), counts[n])] if counts[n] and not t.isspace() else [])):
                         row.append(n)
                         index.append(i)
                         tokens.append(c)

@@ -152,3 +152,15 @@ def test_budget(spark):
     assert totals[None, None, None] == (1, 0)
     assert {r["id"] for r in budget.miscounted(df).collect()} == {"b", "d", "e"}
     assert budget.miscounted(df.limit(0)).count() == 0 and budget.token_budget(df.limit(0)).count() == 0
+
+
+def test_long_white_space_is_cut(spark, reference):
+    texts = {"blank": " \n\t" * 900, "front": "\n" * 3000 + "a cat", "inside": "cat " + "\t \n" * 900 + "dog", "short": " \n "}
+    assert all(len(reference(t)) > 512 for i, t in texts.items() if i != "short")
+    df = spark.createDataFrame(list(texts.items()), "id string, content string")
+    assert sorted(r["id"] for r in split.oversized(df).collect()) == ["blank", "front", "inside"]
+    for i in ("blank", "front", "inside"):
+        got = split.split_documents(df).filter(f"id = '{i}'").orderBy("chunk_index").collect()
+        assert "".join(r["content"] for r in got) == texts[i] and [r["chunk_index"] for r in got] == list(range(len(got)))
+        assert all(r["token_count"] == len(reference(r["content"])) <= 512 for r in got)
+    assert split.split_documents(df).filter("id = 'short'").count() == 0
