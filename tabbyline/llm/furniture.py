@@ -1,16 +1,16 @@
 """Problem 7: the main body of a page against its furniture.
 
-Method: line-block distribution. Markup is stripped, each line gets the length of its running text, and
-the lengths are summed over a sliding window of lines. Where the sums surge, the main text begins; where
-they dive, it ends. Short lines inside the text that can't be told by themselves are judged by where they
-stand to surge and dive, and lines that name themselves (menus, consents, bylines, sharing, advertisements,
-links to other pages, comments, notices, footers) are taken out wherever they stand. The page's heading and
-the lines that close a page (tags, comments, lists of other pages, signing up) bound the text: sentences
-outside of these bounds are furniture whatever their wording is.
-
-Every line gets one of these marks:
-  blank; body: running text, tables, records; own: the page's heading; short: may be either;
-  head: the heading of a list of other pages; part: furniture by its wording or form.
+Method: line-block distribution. Markup is stripped, each line gets the length of its text, and lengths are
+summed over a sliding window of lines. The first line of text whose window reaches `SURGE` is where the text
+surges, the last one is where it dives. Where a line stands decides on it first: outside of surge and dive it
+is furniture, inside it is text. What it says or looks like corrects that:
+  outside, kept: the page's own heading, rows of a table, messages of problem 6, and what adjoins the text
+    without a break (closed sentences, items, the caption of a list, one stranded heading);
+  at the edges: a line of listed wording (consents, notices, menus) neither surges nor dives;
+  inside, taken out: interruptions (advertisements, sharing, signing up, links to other pages) and lists of
+    other pages under their heading.
+Only pages without running text (records, tables, messages of errors) have no surge; there the wording and form of
+every line decide.
 """
 
 from __future__ import annotations
@@ -26,9 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tabbyline.llm.encode import slices
+from tabbyline.llm.residue import is_residue
 from tabbyline.session import ensure_shipped
 
-BLANK, BODY, OWN, SHORT, HEAD, PART = range(6)
+#: Forms of lines, and marks of lines of a page without running text.
+BLANK, TEXT, ROW, ITEM, SENTENCE, OTHER = range(6)
+BODY, OWN, SHORT, HEAD, PART = range(6, 11)
+#: Characters in a window of lines from which on the text surges, and those of a line that is text by its length alone.
+SURGE, EDGE = 120, 100
 
 _MARKUP = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", re.I)
 _TRIM = " \t\r\n\u3000\xa0"
@@ -42,8 +47,28 @@ _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _CLOSERS = "\"'”’»)]」』"
 _ENDS = tuple(".!?…。！？:;")
 _TABLE = re.compile(r"^\||\t|^[\[{\"<]")
+_RECORD = re.compile(r"^[|\[{\"<]|\t|\w: [^;]+; \w+: |\w=\S|^\d{4}-\d\d-\d\d|^https?://")
+_NUMBERED = re.compile(r"^\d{1,4}[.)] ")
 _NO_ITEM = re.compile(r"[\d.,;:()]")
 
+#: Furniture that interrupts a text: sharing, signing up, advertisements, links to other pages.
+_INTERRUPTIONS = [
+    # sharing
+    r"share (this|on|via|the (page|article|story))\b[^.]*$|print (this|the) (article|page|story)\b[^.]*$",
+    r"(send|e-?mail) (this )?to a friend\b|save for later$|copy link$",
+    r"(share|tweet|pin|send|print|mail|like|post|save)( (share|tweet|pin|send|print|mail|like|post|save))+$",
+    r"(teilen|partager|compartir|поделиться|シェアする?)( [^\s.]+){0,4}$",
+    # signing up
+    r"follow us\b|(enter|type) your e-?mail\b|subscribe( (now|here|today|to (our|the))\b.*)?$",
+    r"sign up (for|to)\b|become a (member|supporter|patron)\b|(download|get) (our|the) app\b|join [\d.,]+\b|join (us|our)\b",
+    # advertisements
+    r"\[? ?(ad|ads|advert|advertisement|anzeige|werbung|publicidad|publicité|реклама|広告|pr) ?\]?$|ad ?: |(sponsored|promoted)\b[^.]{0,30}$",
+    r"(story|article|text) continues (below|after)\b",
+    # links to other pages
+    r"((see|read) also|related|read (more|next)|more on this|lee también|lire aussi|siehe auch|lesen sie auch|читайте также|関連(記事)?) ?[:：]",
+    r">> ",
+]
+_INTERRUPTION = re.compile("|".join(_INTERRUPTIONS))
 #: Wordings with which furniture begins; matched on the lower-case line with single blanks.
 _FRONT = re.compile(
     "|".join(
@@ -60,20 +85,7 @@ _FRONT = re.compile(
             r"[^.|]{3,50} \| (staff|senior|guest)? ?(writer|editor|reporter|author)\b",
             r"\d+ ?(min|minutes?) read\b|reading time\b|\d+ (views|shares)\b",
             r"(por|par|von|автор:?|autor:?|auteur ?:?) [^\d\s.,]+ [^\d\s.,]+$",
-            # sharing
-            r"share (this|on|via|the (page|article|story))\b[^.]*$|print (this|the) (article|page|story)\b[^.]*$",
-            r"(send|e-?mail) (this )?to a friend\b|save for later$|copy link$",
-            r"(share|tweet|pin|send|print|mail|like|post|save)( (share|tweet|pin|send|print|mail|like|post|save))+$",
-            r"(teilen|partager|compartir|поделиться|シェアする?)( [^\s.]+){0,4}$",
-            # signing up
-            r"follow us\b|(enter|type) your e-?mail\b|subscribe( (now|here|today|to (our|the))\b.*)?$",
-            r"sign up (for|to)\b|become a (member|supporter|patron)\b|(download|get) (our|the) app\b|join [\d.,]+\b|join (us|our)\b",
-            # advertisements
-            r"\[? ?(ad|ads|advert|advertisement|anzeige|werbung|publicidad|publicité|реклама|広告|pr) ?\]?$|ad ?: |(sponsored|promoted)\b[^.]{0,30}$",
-            r"(story|article|text) continues (below|after)\b",
-            # links to other pages
-            r"((see|read) also|related|read (more|next)|more on this|lee también|lire aussi|siehe auch|lesen sie auch|читайте также|関連(記事)?) ?[:：]",
-            r">> ",
+            *_INTERRUPTIONS,
             # comments and tags
             r"(\d+|no) comments?\b|leave a (reply|comment)\b|(tags?|topics?|labels?|keywords|categories) ?: |filed under\b|\d+ (readers?|people|users) (found|like)\b",
             # notices
@@ -108,13 +120,7 @@ _HEAD = re.compile(
     r"|you (may|might) (also )?(like|enjoy)\b[^.]{0,20}$|editor(['’]s|s['’]?|ial) (picks?|choices?)$|most (read|popular|viewed|shared)\b[^.:]{0,40}$"
     r"|(what|where) to read next$|read (next|more)$|(también te puede interesar|à lire aussi|das könnte sie auch interessieren|похожие статьи|関連記事)$"
 )
-#: Furniture after which the text of a page doesn't come back.
-_CLOSING = re.compile(r"(\d+|no) comments?\b|leave a (reply|comment)\b|(tags?|topics?|labels?|keywords|categories) ?: |filed under\b")
-#: Furniture that closes a page unless the text surges again below.
-_SIGNING_UP = re.compile(r"follow us\b|(enter|type) your e-?mail\b|subscribe\b|sign up (for|to)\b|become a (member|supporter|patron)\b|join (us|our)\b")
 _ADDRESS = re.compile(r"[^,\d]{3,60}, \d+[a-z]? [^,.\d]{3,40}, [^,.\d]{3,40}$")
-#: Lines longer than this are running text or records, unless their wording or form tells otherwise.
-_LONGEST = 200
 
 
 def _menu(raw: str, least: int = 4) -> bool:
@@ -128,171 +134,212 @@ def _glued(line: str) -> bool:
     return len(line) >= 20 and " " not in line and bool(re.fullmatch(r"[^\W\d_]+(?:[-&][^\W\d_]+)*", line)) and not _WIDE.search(line)
 
 
-@lru_cache(maxsize=100_000)
-def _wording(raw: str) -> int:
-    """The mark of a trimmed line by its wording and form alone."""
-    line = _MARKUP.sub(" ", raw) if "<" in raw else raw
-    low = " ".join(line.split()).lower()
-    if not low:
-        return BLANK
-    if _HEAD.match(low):
-        return HEAD
-    if _FRONT.match(low) or any(map(low.__contains__, _HINTS)) and _INSIDE.search(low):
-        return PART
-    if _TABLE.search(raw):
-        return BODY
-    gaps = low.count(" ")
-    closed = low.rstrip(_CLOSERS).endswith(_ENDS)
-    if closed and gaps >= 6:
-        return BODY
-    if _menu(raw):
-        return PART
-    if not low.isascii() and (wide := len(_WIDE.findall(low))):
-        return BODY if wide >= 12 and closed or wide >= 60 else SHORT
-    if gaps >= 22:
-        return BODY
-    words = len(_WORD.findall(low))
-    if closed and words >= 6 or words <= 1 and not _BULLET.match(low) and not _glued(low):
-        return BODY
-    return SHORT
+def _plain(raw: str) -> str:
+    """The line without markup, with single blanks."""
+    return " ".join((_MARKUP.sub(" ", raw) if "<" in raw else raw).split())
 
 
-def _long(raw: str) -> int:
-    """The mark of a long line; these recur seldom, so they aren't remembered."""
-    low = _plain(raw).lower()
-    if _FRONT.match(low) or any(map(low.__contains__, _HINTS)) and _INSIDE.search(low):
-        return PART
-    closed = low.rstrip(_CLOSERS).endswith(_ENDS)
-    return PART if not closed and not _TABLE.search(raw) and _menu(raw) else BODY
+def _closed(line: str) -> bool:
+    return line.rstrip(_CLOSERS).endswith(_ENDS)
 
 
-def _mark(raw: str, title: str) -> int:
-    raw = raw.strip(_TRIM)
-    if not raw:
-        return BLANK
-    if title and len(raw) <= len(title) + 120:
-        low = " ".join(raw.split()).lower()
-        if low.endswith(title):
-            if len(low) == len(title):
-                return OWN
-            if low[: -len(title)].rstrip().endswith(_STEP):
-                return PART  # a breadcrumb to this page
-    return _wording(raw) if len(raw) <= _LONGEST else _long(raw)
+def _listed(low: str) -> int:
+    """HEAD or PART if the lower-case line has a listed wording, else 0."""
+    if _HEAD.match(low):
+        return HEAD
+    return PART if _FRONT.match(low) or any(map(low.__contains__, _HINTS)) and _INSIDE.search(low) else 0
 
 
-def running_length(raw: str) -> int:
-    """Length of a line's running text: characters, twice for wide scripts, without markup and bullets."""
-    line = _BULLET.sub("", _plain(raw))
-    return len(line) if line.isascii() else len(line) + len(_WIDE.findall(line))
+def _measure(raw: str) -> tuple[int, int, int]:
+    """Length of the text of a trimmed line (wide scripts twice, no markup, no bullet), its form, its listed wording."""
+    line = _plain(raw)
+    bare = _BULLET.sub("", line)
+    wide = 0 if line.isascii() else len(_WIDE.findall(bare))
+    length = len(bare) + wide
+    words = _WORD.findall(bare)
+    if not line:
+        form = BLANK
+    elif _RECORD.search(raw) or length < EDGE and sum(map(len, words)) < 0.6 * len(bare.replace(" ", "")):
+        form = ROW
+    elif length >= EDGE or wide >= 30 or len(words) >= 14 and not _closed(line):
+        form = TEXT
+    elif _closed(line) and (len(words) >= 6 or wide >= 12):
+        form = SENTENCE
+    elif line != bare or _NUMBERED.match(line):
+        form = ITEM
+    else:
+        form = OTHER
+    return length, form, _listed(line.lower())
 
 
-def _plain(raw: str) -> str:
-    """The line without markup, with single blanks."""
-    return " ".join((_MARKUP.sub(" ", raw) if "<" in raw else raw).split())
+_remembered = lru_cache(maxsize=100_000)(_measure)
 
 
-#: Characters of running text in a window of lines from which on the text surges.
-SURGE = 120
+def measure(raw: str) -> tuple[int, int, int]:
+    """`_measure`, remembered for short lines, as these recur."""
+    return _remembered(raw) if len(raw) <= 200 else _measure(raw)
 
 
 def blocks(lengths: np.ndarray, width: int = 3) -> np.ndarray:
-    """Sums of lengths over a window of `width` lines from each line on."""
-    return np.convolve(lengths, np.ones(width, np.int64))[width - 1 :] if len(lengths) >= width else np.full(len(lengths), lengths.sum())
+    """For each line the largest sum of lengths of the windows of `width` lines that hold it."""
+    padded = np.concatenate((np.zeros(width - 1, np.int64), lengths, np.zeros(width - 1, np.int64)))
+    sums = np.convolve(padded, np.ones(width, np.int64), "valid")
+    return np.max([sums[k : k + len(lengths)] for k in range(width)], axis=0)
 
 
-def surge_and_dive(lengths: np.ndarray, width: int = 3, surge: int = SURGE) -> tuple[int, int]:
-    """First and last line of the main text: from the first line whose block reaches `surge` and that is
-    itself of some length, to the last such. (0, -1) if there is none."""
+def surge_and_dive(lengths: np.ndarray, forms: np.ndarray, width: int = 3, surge: int = SURGE) -> tuple[int, int]:
+    """First and last line of the main text, (0, -1) if there is none: lines of text, or rows and items beside
+    others such, whose block reaches `surge`. A row or item counts as a third of a surge at least."""
     if not len(lengths):
         return 0, -1
-    ahead = blocks(lengths, width)
-    behind = blocks(lengths[::-1], width)[::-1]
-    inside = np.flatnonzero((np.maximum(ahead, behind) >= surge) & (lengths >= surge // width))
+    rows = (forms == ROW) | (forms == ITEM)
+    beside = blocks(rows.astype(np.int64), width) > 1
+    high = blocks(np.where(rows, np.maximum(lengths, surge // width), lengths), width) >= surge
+    inside = np.flatnonzero(high & ((forms == TEXT) | rows & beside))
     return (int(inside[0]), int(inside[-1])) if len(inside) else (0, -1)
 
 
-def bounds(raw: list[str], marks: list[int], lengths: np.ndarray) -> tuple[int, int]:
-    """The lines [top, end) where the main text can be: from the page's heading on, up to the line that closes
-    the page. Neither holds if the larger part of the running text would be outside."""
-    before = np.concatenate(([0], np.cumsum(lengths)))  # running text above each line
-    top = next((k for k, m in enumerate(marks) if m == OWN), 0)
-    if 2 * before[top] > before[-1]:
-        top = 0
-    surges = np.flatnonzero(blocks(lengths) >= SURGE)
-    for k in range(top, len(raw)):
-        if marks[k] in (PART, HEAD) and before[k] > before[top] and 2 * before[k] >= before[-1] + before[top]:
-            low = _plain(raw[k]).lower()
-            if _CLOSING.match(low) or (marks[k] == HEAD or _SIGNING_UP.match(low)) and not (len(surges) and surges[-1] >= k):
-                return top, k
-    return top, len(raw)
-
-
-def _unlisted(raw: str, mark: int) -> bool:
-    """A closed sentence or a line of words that isn't an item of a list or a row of a table."""
-    line = _plain(raw)
-    if mark not in (BODY, SHORT) or _TABLE.search(raw.strip(_TRIM)) or _BULLET.match(line):
-        return False
-    if mark == SHORT:
-        return not _NO_ITEM.search(line)
-    return line.rstrip(_CLOSERS).endswith(_ENDS) and (len(_WORD.findall(line)) >= 6 or len(_WIDE.findall(line)) >= 12)
+def _heading(lines: list[str], title: str | None) -> tuple[list[bool], list[bool]]:
+    """Which lines are the page's heading, and which are a breadcrumb that ends with it."""
+    own = " ".join(title.split()).lower() if title else ""
+    heading, crumb = [False] * len(lines), [False] * len(lines)
+    for n, line in enumerate(lines):
+        if own and len(line) <= len(own) + 120:
+            low = " ".join(line.split()).lower()
+            if low.endswith(own):
+                heading[n] = len(low) == len(own)
+                crumb[n] = not heading[n] and low[: -len(own)].rstrip().endswith(_STEP)
+    return heading, crumb
 
 
 def furniture(content: str | None, title: str | None = None) -> list[int]:
     """Numbers of the lines of `content` that are page furniture; none for null and empty contents."""
     if not content:
         return []
-    raw = content.split("\n")
-    own = " ".join(title.split()).lower() if title else ""
-    marks = [_mark(line, own) for line in raw]
-    filled = [k for k, m in enumerate(marks) if m != BLANK]
-    if not filled:
+    raw = [line.strip(_TRIM) for line in content.split("\n")]
+    filled = [k for k, line in enumerate(raw) if line and measure(line)[1] != BLANK]
+    lines = [raw[k] for k in filled]
+    if not lines:
         return []
-
+    measured = list(map(measure, lines))
+    lengths, forms, words = (np.array(x) for x in zip(*measured))
+    heading, crumb = _heading(lines, title)
+    wording, linked = _by_wording(lines, forms, words, heading, crumb)
+    start, stop = surge_and_dive(lengths, np.where(wording, OTHER, forms))
+    if stop < 0:
+        return [k for k, m in zip(filled, _without_surge(lines, heading, crumb)) if m in (PART, HEAD)]
+    first, last = _adjoining(lines, forms, wording, heading, start, stop)
+    return [
+        filled[n]
+        for n, line in enumerate(lines)
+        if not heading[n] and (linked[n] or _interrupts(line) if first <= n <= last else wording[n] or forms[n] != ROW) and not is_residue(line)
+    ]
+
+
+def _interrupts(line: str) -> bool:
+    return _INTERRUPTION.match(_plain(line).lower()) is not None
+
+
+def _by_wording(lines: list[str], forms: np.ndarray, words: np.ndarray, heading: list[bool], crumb: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines name themselves as furniture (listed wordings, menus, breadcrumbs, pages listed under a heading),
+    and which of them are such a heading or list."""
+    out, linked = np.array(crumb) | (words > 0), words == HEAD
+    items = [_menu_item(line) for line in lines]
+    listing = False
+    for n, line in enumerate(lines):
+        if words[n] == HEAD:
+            listing = True
+        elif listing and forms[n] in (ITEM, OTHER) and not heading[n] and not words[n] and _names_a_page(_plain(line)):
+            out[n] = linked[n] = True
+        else:
+            listing = False
+            if not out[n] and not heading[n]:
+                row = forms[n] == ROW and (line[0] == "|" == line[-1] or n > 0 and forms[n - 1] == ROW or n + 1 < len(lines) and forms[n + 1] == ROW)
+                menu = not row and not _closed(_plain(line)) and (_menu(line) or _glued(_plain(line)))
+                out[n] = menu or items[n] and (forms[n] == ITEM or n > 0 and items[n - 1])
+    addresses = [n for n in range(len(lines)) if _ADDRESS.match(_plain(lines[n]).lower())]
+    if addresses == [len(lines) - 1] and len(lines) > 1:
+        out[-1] = True  # the address of the site; records have more than one
+    return out, linked
+
+
+def _adjoining(lines: list[str], forms: np.ndarray, wording: np.ndarray, heading: list[bool], first: int, last: int) -> tuple[int, int]:
+    """Surge and dive widened by what adjoins the text without a break other than an interruption."""
+
+    def belongs(n: int, beside: int) -> bool:
+        if wording[n]:
+            return False
+        if forms[n] in (TEXT, ROW, SENTENCE, ITEM) or is_residue(lines[n]):
+            return True
+        caption = 0 <= beside < len(lines) and forms[beside] in (ROW, ITEM) and not wording[beside]
+        return caption or len(_WORD.findall(lines[n])) >= 5  # a heading without text of its own
+
+    at = first - 1
+    while at >= 0 and not heading[first] and (heading[at] or belongs(at, at + 1) or _interrupts(lines[at])):
+        if not wording[at]:
+            first = at
+        at -= 1
+    at = last + 1
+    while at < len(lines) and (heading[at] or belongs(at, at + 1) or _interrupts(lines[at])):
+        if not wording[at]:
+            last = at
+        at += 1
+    return first, last
+
+
+def _without_surge(lines: list[str], heading: list[bool], crumb: list[bool]) -> list[int]:
+    """Marks of the lines of a page that has no running text, by wording and form alone."""
+    marks = [OWN if h else PART if c else _mark(line) for line, h, c in zip(lines, heading, crumb)]
     # a menu with one item to a line, or with its gaps lost, before everything else
     run = 0
-    while run < len(filled) and marks[filled[run]] != OWN and _menu_item(raw[filled[run]]):
+    while run < len(lines) and marks[run] != OWN and _menu_item(lines[run]):
         run += 1
-    if run >= 3 or run and run < len(filled) and marks[filled[run]] == OWN:
-        for k in filled[:run]:
-            marks[k] = PART
-    for k in filled[:2]:
-        if marks[k] in (SHORT, BODY) and len(filled) > 2 and _glued(_plain(raw[k])):
-            marks[k] = PART
-
-    lengths = np.array([running_length(line) if m == BODY else 0 for line, m in zip(raw, marks)], np.int64)
-    top, end = bounds(raw, marks, lengths)
-    for k in filled:
-        if not top <= k < end and _unlisted(raw[k], marks[k]):
-            marks[k], lengths[k] = PART, 0
-    start, stop = surge_and_dive(lengths)
-    if stop < 0:  # no running text: everything of the page's own is the main part
-        rows = [k for k in filled if marks[k] in (BODY, OWN)]
-        start, stop = (rows[0], rows[-1]) if rows else (0, -1)
-
+    if run >= 3 or run and run < len(lines) and marks[run] == OWN:
+        marks[:run] = [PART] * run
+    for n in range(min(2, len(lines))):
+        if marks[n] in (SHORT, BODY) and len(lines) > 2 and _glued(_plain(lines[n])):
+            marks[n] = PART
+    own = [n for n, m in enumerate(marks) if m in (BODY, OWN)]
+    start, stop = (own[0], own[-1]) if own else (0, -1)
     listing, before = False, BLANK
-    addresses = [k for k in filled if marks[k] == SHORT and _ADDRESS.match(_plain(raw[k]).lower())]
-    for k in filled:
-        if marks[k] == HEAD:
+    addresses = [n for n, m in enumerate(marks) if m == SHORT and _ADDRESS.match(_plain(lines[n]).lower())]
+    for n, line in enumerate(lines):
+        if marks[n] == HEAD:
             listing = True
-        elif marks[k] in (BODY, OWN):
+        elif marks[n] in (BODY, OWN):
             listing = False
-        elif marks[k] == SHORT:
-            line = _plain(raw[k])
-            if listing and _names_a_page(line):
-                marks[k] = PART
-            elif addresses == [k] and (before in (PART, HEAD) or k == filled[-1] and len(filled) > 1):
-                marks[k] = PART  # the address of the site, in the footer; records have more than one
+        elif marks[n] == SHORT:
+            if listing and _names_a_page(_plain(line)):
+                marks[n] = PART
+            elif addresses == [n] and (before in (PART, HEAD) or n == len(lines) - 1 and n > 0):
+                marks[n] = PART
             else:
                 listing = False
-        before = marks[k]
-
-    # short lines outside of the main text, shut in by furniture; one line of it alone may stand in the text
-    for n, k in enumerate(filled):
-        if marks[k] == SHORT and stop >= 0 and not start <= k <= stop and not _NO_ITEM.search(_plain(raw[k])):
-            behind, ahead = filled[max(0, n - 2) : n], filled[n + 1 : n + 2]
-            if all(marks[j] in (PART, HEAD) for j in behind) and all(marks[j] in (PART, HEAD, OWN) for j in ahead):
-                marks[k] = PART
-    return [k for k in filled if marks[k] in (PART, HEAD)]
+        before = marks[n]
+    # short lines at the ends of the page, shut in by furniture
+    for n, line in enumerate(lines):
+        if marks[n] == SHORT and stop >= 0 and not start <= n <= stop and not _NO_ITEM.search(_plain(line)):
+            if all(m in (PART, HEAD) for m in marks[max(0, n - 2) : n]) and all(m in (PART, HEAD, OWN) for m in marks[n + 1 : n + 2]):
+                marks[n] = PART
+    return marks
+
+
+@lru_cache(maxsize=100_000)
+def _mark(raw: str) -> int:
+    """The mark of a line of a page without running text."""
+    low = _plain(raw).lower()
+    listed = _listed(low)
+    if listed or _TABLE.search(raw):
+        return listed or BODY
+    gaps, closed = low.count(" "), _closed(low)
+    if closed and gaps >= 6:
+        return BODY
+    if _menu(raw):
+        return PART
+    if not low.isascii() and (wide := len(_WIDE.findall(low))):
+        return BODY if wide >= 12 and closed else SHORT
+    words = len(_WORD.findall(low))
+    return BODY if closed and words >= 6 or words <= 1 and not _BULLET.match(low) and not _glued(low) else SHORT
 
 
 def _menu_item(raw: str) -> bool:

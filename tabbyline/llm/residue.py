@@ -72,6 +72,15 @@ _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 _INSIDE_WORD = re.compile(r"[a-z0-9_]")
 
 
+_PLACEHOLDER = re.compile(PLACEHOLDERS)
+_PHRASE = re.compile(PHRASES, re.I)
+
+
+def is_residue(line: str) -> bool:
+    """Whether a line or message has a placeholder or an unmistakable wording."""
+    return bool(_PLACEHOLDER.search(line) or _PHRASE.search(" ".join(line.split())))
+
+
 @lru_cache(maxsize=1)
 def _hints() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()

@@ -82,8 +82,31 @@ def test_long_furniture():
 def test_surge_and_dive():
     import numpy as np
 
-    assert furniture.surge_and_dive(np.array([0, 0, 200, 300, 0, 150, 0, 0])) == (2, 5)
-    assert furniture.surge_and_dive(np.zeros(4, int)) == (0, -1) and furniture.surge_and_dive(np.zeros(0, int)) == (0, -1)
+    text, row, other = furniture.TEXT, furniture.ROW, furniture.OTHER
+    found = lambda lengths, forms: furniture.surge_and_dive(np.array(lengths, int), np.array(forms, int))
+    assert found([60, 50, 200, 300, 0, 150, 40, 90], [other, other, text, text, other, text, other, other]) == (2, 5)
+    assert found([60, 20, 20, 20, 60], [other, row, row, row, other]) == (1, 3)
+    assert found([60, 20, 60], [other, row, other]) == (0, -1) and found([], []) == (0, -1)
+
+
+UNLISTED = [
+    ("Etusivu – Kissat – Ruoka – Hoito", True), ("Käytämme pieniä tiedostoja laitteellasi", True), ("Kirjoittanut Anna Laine lehdelle", True),
+    ("Milon päiväkirja", False), (PROSE, False), ("", False), (PROSE, False), ("| Milo | Home | 3.4 kg |", False), ("| Luna | Home | 3.9 kg |", False),
+    ("Lue lisää", True), ("Ota yhteyttä", True), ("Kaikki oikeudet pidätetään Kissalehti", True), ("Sivun alkuun", True),
+]
+
+
+def test_a_page_in_an_unlisted_language_loses_menu_and_footer():
+    assert furniture.furniture("\n".join(line for line, _ in UNLISTED), "Milon päiväkirja") == [n for n, (_, f) in enumerate(UNLISTED) if f]
+
+
+def test_position_decides(monkeypatch):
+    pages = ["\n".join(line for line, _ in page) for page in (PAGE, UNLISTED)]
+    titles = ["Why Milo slept", "Milon päiväkirja"]
+    with_it = list(map(furniture.furniture, pages, titles))
+    monkeypatch.setattr(furniture, "surge_and_dive", lambda lengths, forms: (0, len(lengths) - 1))
+    without = list(map(furniture.furniture, pages, titles))
+    assert without[1] == [] and len(without[0]) <= len(with_it[0]) / 2
 
 
 def test_furniture_operator(spark):
