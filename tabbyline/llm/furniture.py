@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ _CLOSERS = "\"'”’»)]」』"
 _ENDS = tuple(".!?…。！？:;")
 _TABLE = re.compile(r"^\||\t|^[\[{\"<]")
 _RECORD = re.compile(r"^[|\[{\"<]|\t|\w: [^;]+; \w+: |\w=\S|^\d{4}-\d\d-\d\d|^https?://")
+_SETTING = re.compile(r"\w=\S")
 _NUMBERED = re.compile(r"^\d{1,4}[.)] ")
 _NO_ITEM = re.compile(r"[\d.,;:()]")
 
@@ -150,34 +152,55 @@ def _listed(low: str) -> int:
     return PART if _FRONT.match(low) or any(map(low.__contains__, _HINTS)) and _INSIDE.search(low) else 0
 
 
-def _measure(raw: str) -> tuple[int, int, int]:
-    """Length of the text of a trimmed line (wide scripts twice, no markup, no bullet), its form, its listed wording."""
+class Line(NamedTuple):
+    """What a trimmed line is by itself."""
+
+    length: int  # of its text: wide scripts twice, no markup, no bullet
+    form: int
+    listed: int  # HEAD or PART by its wording, else 0
+    interrupts: bool = False
+    menu: bool = False  # several items of a menu
+    item: bool = False  # may be one item of a menu
+    address: bool = False
+    names_a_page: bool = False
+    words: int = 0
+
+
+def _measure(raw: str) -> Line:
     line = _plain(raw)
+    if not line:
+        return Line(0, BLANK, 0)
     bare = _BULLET.sub("", line)
     wide = 0 if line.isascii() else len(_WIDE.findall(bare))
-    length = len(bare) + wide
+    length, low = len(bare) + wide, line.lower()
+    listed = _listed(low)
+    interrupts = listed == PART and _INTERRUPTION.match(low) is not None
+    closed = _closed(line)
+    menu = not closed and (_menu(raw) or _glued(line))
+    if length >= EDGE:
+        row = raw[0] in "|[{\"<" or "\t" in raw or "=" in raw and _SETTING.search(raw) is not None
+        return Line(length, ROW if row else TEXT, listed, interrupts, menu)
     words = _WORD.findall(bare)
-    if not line:
-        form = BLANK
-    elif _RECORD.search(raw) or length < EDGE and sum(map(len, words)) < 0.6 * len(bare.replace(" ", "")):
+    count = len(words)
+    if _RECORD.search(raw) or sum(map(len, words)) < 0.6 * len(bare.replace(" ", "")):
         form = ROW
-    elif length >= EDGE or wide >= 30 or len(words) >= 14 and not _closed(line):
+    elif wide >= 30 or count >= 14 and not closed:
         form = TEXT
-    elif _closed(line) and (len(words) >= 6 or wide >= 12):
+    elif closed and (count >= 6 or wide >= 12):
         form = SENTENCE
     elif line != bare or _NUMBERED.match(line):
         form = ITEM
     else:
         form = OTHER
-    return length, form, _listed(line.lower())
+    return Line(length, form, listed, interrupts, menu, _menu_item(raw), _ADDRESS.match(low) is not None, _names_a_page(line), count)
 
 
 _remembered = lru_cache(maxsize=100_000)(_measure)
 
 
-def measure(raw: str) -> tuple[int, int, int]:
+def measure(raw: str) -> Line:
     """`_measure`, remembered for short lines, as these recur."""
-    return _remembered(raw) if len(raw) <= 200 else _measure(raw)
+    return _remembered(raw) if len(raw) < EDGE else _measure(raw)
 
 
 def blocks(lengths: np.ndarray, width: int = 3) -> np.ndarray:
@@ -222,67 +245,64 @@ def furniture(content: str | None, title: str | None = None) -> list[int]:
     if not lines:
         return []
     measured = list(map(measure, lines))
-    lengths, forms, words = (np.array(x) for x in zip(*measured))
+    forms = np.array([m.form for m in measured])
     heading, crumb = _heading(lines, title)
-    wording, linked = _by_wording(lines, forms, words, heading, crumb)
-    start, stop = surge_and_dive(lengths, np.where(wording, OTHER, forms))
+    wording, linked = _by_wording(lines, measured, heading, crumb)
+    start, stop = surge_and_dive(np.array([m.length for m in measured]), np.where(wording, OTHER, forms))
     if stop < 0:
         return [k for k, m in zip(filled, _without_surge(lines, heading, crumb)) if m in (PART, HEAD)]
-    first, last = _adjoining(lines, forms, wording, heading, start, stop)
+    first, last = _adjoining(lines, measured, wording, heading, start, stop)
     return [
         filled[n]
-        for n, line in enumerate(lines)
-        if not heading[n] and (linked[n] or _interrupts(line) if first <= n <= last else wording[n] or forms[n] != ROW) and not is_residue(line)
+        for n, m in enumerate(measured)
+        if (linked[n] or m.interrupts if first <= n <= last else wording[n] or m.form != ROW) and not heading[n] and not is_residue(lines[n])
     ]
 
 
-def _interrupts(line: str) -> bool:
-    return _INTERRUPTION.match(_plain(line).lower()) is not None
-
-
-def _by_wording(lines: list[str], forms: np.ndarray, words: np.ndarray, heading: list[bool], crumb: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+def _by_wording(lines: list[str], measured: list[Line], heading: list[bool], crumb: list[bool]) -> tuple[list[bool], list[bool]]:
     """Which lines name themselves as furniture (listed wordings, menus, breadcrumbs, pages listed under a heading),
     and which of them are such a heading or list."""
-    out, linked = np.array(crumb) | (words > 0), words == HEAD
-    items = [_menu_item(line) for line in lines]
-    listing = False
-    for n, line in enumerate(lines):
-        if words[n] == HEAD:
-            listing = True
-        elif listing and forms[n] in (ITEM, OTHER) and not heading[n] and not words[n] and _names_a_page(_plain(line)):
+    out, linked = crumb.copy(), [False] * len(lines)
+    listing, last = False, len(lines) - 1
+    for n, m in enumerate(measured):
+        if m.listed == HEAD:
+            listing = out[n] = linked[n] = True
+        elif listing and m.names_a_page and m.form in (ITEM, OTHER) and not heading[n] and not m.listed:
             out[n] = linked[n] = True
         else:
             listing = False
-            if not out[n] and not heading[n]:
-                row = forms[n] == ROW and (line[0] == "|" == line[-1] or n > 0 and forms[n - 1] == ROW or n + 1 < len(lines) and forms[n + 1] == ROW)
-                menu = not row and not _closed(_plain(line)) and (_menu(line) or _glued(_plain(line)))
-                out[n] = menu or items[n] and (forms[n] == ITEM or n > 0 and items[n - 1])
-    addresses = [n for n in range(len(lines)) if _ADDRESS.match(_plain(lines[n]).lower())]
-    if addresses == [len(lines) - 1] and len(lines) > 1:
-        out[-1] = True  # the address of the site; records have more than one
+            if m.listed:
+                out[n] = True
+            elif m.menu and not heading[n]:
+                row = m.form == ROW and (lines[n][0] == "|" == lines[n][-1] or n > 0 and measured[n - 1].form == ROW or n < last and measured[n + 1].form == ROW)
+                out[n] |= not row
+            elif m.item and not heading[n]:
+                out[n] |= m.form == ITEM or n > 0 and measured[n - 1].item
+    if last and measured[last].address and sum(m.address for m in measured) == 1:
+        out[last] = True  # the address of the site; records have more than one
     return out, linked
 
 
-def _adjoining(lines: list[str], forms: np.ndarray, wording: np.ndarray, heading: list[bool], first: int, last: int) -> tuple[int, int]:
+def _adjoining(lines: list[str], measured: list[Line], wording: list[bool], heading: list[bool], first: int, last: int) -> tuple[int, int]:
     """Surge and dive widened by what adjoins the text without a break other than an interruption."""
 
-    def belongs(n: int, beside: int) -> bool:
+    def belongs(n: int) -> bool:
+        if heading[n] or measured[n].interrupts:
+            return True
         if wording[n]:
             return False
-        if forms[n] in (TEXT, ROW, SENTENCE, ITEM) or is_residue(lines[n]):
+        if measured[n].form in (TEXT, ROW, SENTENCE, ITEM) or measured[n].words >= 5:  # the last: a heading without text of its own
             return True
-        caption = 0 <= beside < len(lines) and forms[beside] in (ROW, ITEM) and not wording[beside]
-        return caption or len(_WORD.findall(lines[n])) >= 5  # a heading without text of its own
+        caption = n + 1 < len(lines) and measured[n + 1].form in (ROW, ITEM) and not wording[n + 1]
+        return caption or is_residue(lines[n])
 
     at = first - 1
-    while at >= 0 and not heading[first] and (heading[at] or belongs(at, at + 1) or _interrupts(lines[at])):
-        if not wording[at]:
-            first = at
+    while at >= 0 and not heading[first] and belongs(at):
+        first = first if wording[at] else at
         at -= 1
     at = last + 1
-    while at < len(lines) and (heading[at] or belongs(at, at + 1) or _interrupts(lines[at])):
-        if not wording[at]:
-            last = at
+    while at < len(lines) and belongs(at):
+        last = last if wording[at] else at
         at += 1
     return first, last
 

@@ -78,7 +78,7 @@ _PHRASE = re.compile(PHRASES, re.I)
 
 def is_residue(line: str) -> bool:
     """Whether a line or message has a placeholder or an unmistakable wording."""
-    return bool(_PLACEHOLDER.search(line) or _PHRASE.search(" ".join(line.split())))
+    return _hinted(_single(line)) and bool(_PLACEHOLDER.search(line) or _PHRASE.search(" ".join(line.split())))
 
 
 @lru_cache(maxsize=1)
