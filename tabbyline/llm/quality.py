@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, Lon
 
 from tabbyline.llm.encode import slices
 from tabbyline.llm.furniture import furniture, without
-from tabbyline.llm.residue import PHRASES, PLACEHOLDERS, hinted_messages
+from tabbyline.llm.residue import is_filler, residue_messages
 from tabbyline.llm.trees import BoostedTrees
 from tabbyline.session import ensure_shipped, materialise
 
@@ -45,12 +45,6 @@ COMMON = frozenset(
     " и в не на что с по это как у из за от к его её но а же был была при для или если до после когда чтобы уже со он она они их него неё там так ещё только этот эта эти можно надо"
     " sie er wir hat haben war waren kann wenn ohne unter dann ils elles leur fait peut quand bien son están está han hay puede si porque".split()
 )
-#: Words of the customary filler text (fixed values).
-_FILLER = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis"
-    " nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla"
-    " pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
-)
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
 _HIRAGANA = re.compile(r"[ぁ-ゟ]")
@@ -65,8 +59,6 @@ _BROKEN = (
     re.compile(r"\d(?<=[^\W\d_]\d)(?=[^\W\d_])"),
 )
 _VOWEL = re.compile(r"[aeiouy]")
-_PLACEHOLDER = re.compile(PLACEHOLDERS)
-_PHRASE = re.compile(PHRASES, re.I)
 _CLOSED = tuple(".!?…。！？\"”’»」")
 
 NAMES = (
@@ -119,24 +111,15 @@ def _weight(line: str) -> int:
     return len(line) if line.isascii() else len(line) + 2 * len(_WIDE.findall(line))
 
 
-def _residue(message: str) -> bool:
-    return bool(_PLACEHOLDER.search(message) or _PHRASE.search(message))
-
-
-def _is_filler(line: str) -> bool:
-    words = _WORD.findall(line.lower())
-    return sum(map(_FILLER.__contains__, words)) > 0.5 * len(words)
-
-
 def main_text(content: str, title: str | None) -> str:
     """The body without furniture, without the page's heading and without messages of problem 6."""
     body = without(content, furniture(content, title))
-    told = [m for m in hinted_messages(body) if _residue(m)]
+    told = residue_messages(body)
     if told:
         for message in told:
             body = body.replace(message, "")
         if any("ipsum" in m.lower() for m in told):
-            body = "\n".join(line for line in body.split("\n") if not _is_filler(line))
+            body = "\n".join(line for line in body.split("\n") if not is_filler(line))
         rest = [line for line in body.split("\n") if line.strip()]
         if len(rest) <= 3 and sum(map(len, rest)) < ERROR_REST:
             return ""  # the rest of an error page

@@ -123,13 +123,15 @@ def test_furniture_operator(spark):
 RESIDUE = [
     "The {{ cat.name }} weighs a lot.", "Dear ${owner}, hello.", "<%= page.summary %>", "%%TITLE%% lives here.", "__MILO_BODY__", "#if($cat.x) $cat.x #end", "[INSERT NAME HERE]", "He says: [object Object]",
     "TODO: text about Milo goes here", "Lorem ipsum dolor.", "Milo was born in undefined and weighs NaN kg.", "Sample text.", "Your headline for Milo here.", "404 Not Found: /x",
-    "Please enable JavaScript to view /x.", "503 Service Unavailable - down", "Access denied. Go away.", "La página /x no existe.", "Seite /x nicht gefunden.", "Page introuvable : /x",
+    "Please enable JavaScript to view /x.", "503 Service Unavailable - down", "Access denied. Try again later.", "La página /x no existe.", "Seite /x nicht gefunden.", "Page introuvable : /x",
     "{% block a_b %}{% endblock %}", "Oops! We could not find “x”.", "Your session for /x has expired (1).", "Error establishing a database connection for /x",
+    "[[PAGE_TITLE]]", "[[page.title]]", "@@summary@@", "<<NAME OF CAT>>", "*|FNAME|*", "%(name)s", "#{cat.name}", "Magna velit ullamco, reprehenderit in aliqua et laboris nisi.",
 ]
 ORDINARY = [
     "Of the 404 cats that Ann studied, 54 were not found again.", "The register is a small JavaScript program, and it runs well.", "A towel is a good placeholder for the blanket.",
     "The feeder sends $62 bills and an undefined amount of kibble.", "The clinic was unavailable for 95 days.", "The error was made early, and access to water was denied for too long.", "We use cookies.",
     "The study had 65 cats [see table], and its text was reviewed.", "§__%§|<%=*%#{~{^", None, "", "written {a/a}, with both",
+    "|l~{tho{{ht `t||as on`^ u~^nary 1r''|^}},", "{{''h`;}}", "Et in Arcadia ego est, sed labore magna.",
 ]
 
 
@@ -140,12 +142,12 @@ def test_residue(spark):
     assert got == sorted(f"r{n}" for n in range(len(RESIDUE)))
     assert residue.residue_documents(df.limit(0)).count() == 0
     assert residue.without_residue(df).filter("id like 'o%'").count() == len(ORDINARY)
-    assert residue.residue_documents(df.withColumn("content", F.concat(F.lit(PROSE + " "), "content", F.lit("\nİ more")))).count() == len(RESIDUE)
+    assert residue.residue_documents(df.withColumn("content", F.concat(F.lit(PROSE + "\n"), "content", F.lit("\nİ more")))).count() == len(RESIDUE)
 
 
 #: One example for each branch of PLACEHOLDERS and PHRASES and for their alternatives.
 BRANCHES = [
-    "{{ name }}", "{% if %}", "${owner}", "<%= page %>", "%%TITLE%%", "__MILO_BODY__", "#if (x)", "#foreach(x)", "#set(x)", "$cat.name", "[object Object]", "[Insert name]", "[your name]", "[Enter x]", "[replace x]",
+    "{{ name }}", "{% if %}", "${owner}", "#{x}", "@@x@@", "[[NAME]]", "[[a.b]]", "<<NAME>>", "*|NAME|*", "%(name)s", "<%= page %>", "%%TITLE%%", "__MILO_BODY__", "#if (x)", "#foreach(x)", "#set(x)", "$cat.name", "[object Object]", "[Insert name]", "[your name]", "[Enter x]", "[replace x]",
     "[add x]", "TODO: x", "tbd: x", "FIXME: x", "NaN kg", "Weight\tNaN", "nan %", "weighs undefined", "is null", "lorem ipsum", "dolor sit amet", "placeholder copy", "Sample text", "dummy text", "filler text",
     "replace this before publishing", "your headline goes here", "Your title here", "your text here", "your content here", "your logo here", "your tagline here", "click to edit", "click here to edit", "text about Milo goes here",
     "404 Not Found", "403 Forbidden", "401 Unauthorized", "410 Gone", "400 Bad Request", "502 Bad Gateway", "500 Internal Server Error", "503 Service Unavailable", "503 Service Temporarily Unavailable", "504 Gateway Timeout",
@@ -185,8 +187,9 @@ def test_no_branch_lacks_a_hint():
             assert any(re.search(branch, e, flags) for e in examples), branch
     for example in BRANCHES + WEAK:
         for text in (example, example.replace(" ", "  "), example.replace(" ", " \t"), f"First line\r\n{example}\nlast İ line"):
-            assert residue.hinted_messages(text) == [text.split("\n")[1] if "\n" in text else text], text
-    assert residue.hinted_messages("The banana and the nanny cost 5 cents, the pregnant cat is gone.") == []
+            found = [m for line in residue.hinted_lines(text) for m in line]
+            assert found == [text.split("\n")[1] if "\n" in text else text], text
+    assert residue.hinted_lines("The banana and the nanny cost 5 cents, the pregnant cat is gone.") == []
 
 
 def test_residue_of_every_branch(spark):
@@ -196,6 +199,17 @@ def test_residue_of_every_branch(spark):
     assert [t for n, t in enumerate(BRANCHES + blanks) if f"r{n}" not in got] == []
 
 
+def test_phrases_inside_of_a_line_count_if_they_recur(spark):
+    line = "{} The page you are looking for at /x/{} does not exist, {} found. {}"
+    rows = [(f"p{n}", f"s{n % 2}", line.format(PROSE, n, name, PROSE)) for n, name in enumerate(("Ann", "Bob", "Milo", "Luna", "Coco", "Leo"))]
+    rows += [("once", "s0", f"{PROSE} The requested URL was rejected. {PROSE}"), ("alone", "s0", f"{PROSE}\nThe requested URL was rejected."), ("p0", "s1", rows[0][2])]
+    df = spark.createDataFrame(rows, "id string, source string, content string")
+    found = lambda **options: sorted(r["id"] for r in residue.residue_documents(df, **options).collect())
+    assert found() == ["alone", *(f"p{n}" for n in range(6))]
+    assert found(least_documents=7) == found(least_sources=3) == ["alone"]  # the groups decide
+    assert residue.masked("404 Not Found: /a/b, Ann 12.5 on 2021-03-04 (a1b2c3d4)") == "404 <name> <name>: <path>, <name> 0 on <date> (<code>)"
+
+
 def test_recurring_weak_messages(spark):
     rows = [(f"w{n}", f"s{n % 2}", f"Feeder {n} went wrong, id {n}{n}{n}{n}{n}{n}.") for n in range(6)] + [("x", "s0", "Once it went wrong.")]
     df = spark.createDataFrame(rows, "id string, source string, content string")
