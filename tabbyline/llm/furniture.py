@@ -222,6 +222,12 @@ def surge_and_dive(lengths: np.ndarray, forms: np.ndarray, width: int = 3, surge
     return (int(inside[0]), int(inside[-1])) if len(inside) else (0, -1)
 
 
+def has_running_text(text: str) -> bool:
+    """Whether a text surges anywhere."""
+    measured = [measure(line) for line in (raw.strip(_TRIM) for raw in text.split("\n")) if line]
+    return surge_and_dive(np.array([m.length for m in measured]), np.array([m.form for m in measured]))[1] >= 0
+
+
 def _heading(lines: list[str], title: str | None) -> tuple[list[bool], list[bool]]:
     """Which lines are the page's heading, and which are a breadcrumb that ends with it."""
     own = " ".join(title.split()).lower() if title else ""

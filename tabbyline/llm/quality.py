@@ -1,16 +1,20 @@
 """Problem 2: statistics of texts that tell running prose from lists, tables and junk.
 
-Method: gradient-boosted trees over document statistics. The labels are weak: lines are called prose or
-structure by a rule of thumb, and documents that are nearly all of one kind become examples. The trees
-are fitted on a bounded sample of them (`SAMPLE_ROWS`); their probabilities are calibrated on a holdout of
-short texts checked by hand (`HOLDOUT`). Statistics are taken of the main body: page furniture (problem 7)
-and messages of problem 6 are left aside, so that neither makes a text junk.
+Method: gradient-boosted trees over document statistics. Labels are weak and come of evidence that the trees
+don't see: the form of each line (records, items of lists, damaged, repeated or unspeakable words on one side,
+closed sentences of some length on the other). Documents that are nearly all of one kind become examples,
+together with a few fixed texts (`SEEDS`). The trees see word counts and lengths, shares of symbols, digits,
+letters and capitals, closed lines and common words; they alone decide. They are fitted on a bounded sample
+(`SAMPLE_ROWS`) and their probabilities calibrated on texts checked by hand (`HOLDOUT`) that are never in the fit.
+Statistics are taken of the main body: page furniture (problem 7) and messages of problem 6 are left aside, so
+that neither makes a text junk.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,20 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
 
 from tabbyline.llm.encode import slices
-from tabbyline.llm.furniture import furniture, without
+from tabbyline.llm.furniture import furniture, has_running_text, without
 from tabbyline.llm.residue import is_filler, residue_messages
 from tabbyline.llm.trees import BoostedTrees
 from tabbyline.session import ensure_shipped, materialise
 
 SAMPLE_ROWS = 8_192
-#: With fewer weakly labelled rows of a label than this, the hand-checked texts of it join the fit.
-FEW_EXAMPLES = 50
-#: Bodies under so many characters are too short to be called anything but prose, if they have letters.
-SHORT_BODY = 60
-#: Lines with fields or settings are records up to so many characters; longer ones are judged by their words.
-RECORD_CHARS = 200
-#: What remains of an error page besides its message is at most so long.
-ERROR_REST = 250
+#: So many rows each seed counts as, against the sampled ones.
+SEED_WEIGHT = 16
+#: Share of a body that must show one kind for a weak label.
+SURE_SHARE = 0.55
 
 #: Frequent function words of the corpus' languages (fixed values).
 COMMON = frozenset(
@@ -58,18 +58,20 @@ _BROKEN = (
     re.compile(r"[^\w\s'’.,:;()\"“”‘/&·-](?<=[^\W\d_].)(?=[^\W\d_])"),
     re.compile(r"\d(?<=[^\W\d_]\d)(?=[^\W\d_])"),
 )
+#: Endings of Japanese sentences.
+_POLITE = re.compile("です|ます|ました|ません|でした")
 _VOWEL = re.compile(r"[aeiouy]")
 _CLOSED = tuple(".!?…。！？\"”’»」")
 
 NAMES = (
-    "log_words", "word_length", "symbol_share", "digit_share", "closed_lines", "common_words", "words_a_line", "bullet_lines", "record_lines",
-    "capital_words", "distinct_words", "long_words", "no_vowel_words", "broken_words", "hiragana_share", "letter_share", "closed_share",
-    "prose_share",
+    "log_words", "word_length", "symbol_share", "digit_share", "closed_lines", "common_words", "words_a_line",
+    "capital_words", "long_words", "hiragana_share", "letter_share", "closed_share", "distinct_words",
+    "prose_evidence", "junk_evidence", "lines",
 )
 
 
-#: What the trees see: all but the share of lines that the rule of thumb calls prose, as the labels come of it.
-SEEN = [n for n, name in enumerate(NAMES) if name != "prose_share"]
+#: What the trees see: all but what the labels come of.
+SEEN = [n for n, name in enumerate(NAMES) if name not in ("capital_words", "distinct_words", "prose_evidence", "junk_evidence", "lines")]
 
 
 def _broken(text: str) -> int:
@@ -83,27 +85,37 @@ def _is_record(line: str) -> bool:
         line[0] in "|[{"
         or "\t" in line
         or line.startswith("http")
-        or line.count("|") > 1 and len(line) <= RECORD_CHARS and not line.endswith(_CLOSED)
-        or len(line) <= RECORD_CHARS and "; " in line and ": " in line and bool(_FIELDS.search(line))
-        or len(line) <= RECORD_CHARS and "=" in line and bool(_SETTING.search(line))
+        or line.count("|") > 1 and not line.endswith(_CLOSED)
+        or "; " in line and ": " in line and bool(_FIELDS.search(line))
+        or "=" in line and bool(_SETTING.search(line)) and not line.endswith(_CLOSED)
         or line[0].isdigit() and bool(_DATED.match(line))
     )
 
 
-def _line_is_prose(line: str, words: list[str], record: bool, common: int, damaged: bool) -> bool:
-    """Rule of thumb for one line; it only makes labels and a statistic that the trees don't see."""
-    wide = len(_WIDE.findall(line)) if not line.isascii() else 0
-    if wide * 2 > len(line):
-        return wide >= 8 and len(_HIRAGANA.findall(line)) >= 0.15 * wide
-    if len(words) < 4 or record or damaged and _broken(line) > 0.03 * len(line):
-        return False
-    if common < 2:
-        return False
-    if _BULLET.match(line):
-        return common >= 0.3 * len(words)
-    # a closed sentence of mostly small letters needs fewer function words: some languages have few
-    closed = line.endswith(_CLOSED) and len(words) >= 8 and sum(t[0].isupper() for t in line.split()) <= 0.35 * len(words)
-    return common >= (0.07 if closed else 0.16) * len(words)
+def _evidence(line: str, words: list[str], damaged: bool) -> int:
+    """1 if the form of a line shows that it is no prose, 0 if it shows prose, -1 if it doesn't tell."""
+    closed = line.endswith(_CLOSED)
+    if not line.isascii() and 2 * (wide := len(_WIDE.findall(line))) > len(line):
+        return 0 if wide >= 8 and (closed or _POLITE.search(line)) else -1
+    if _is_record(line) or not closed and _BULLET.match(line) or damaged and _broken(line) > 0.03 * len(line):
+        return 1
+    count = len(words)
+    if 2 * sum(map(len, words)) < len(line) - line.count(" "):
+        return 1
+    if count < 8:
+        return -1
+    tokens = line.split()
+    names = sum(t[0].isupper() for t in tokens) / len(tokens)
+    if names >= 0.8:
+        return 1
+    if closed:
+        return 0 if names <= 0.5 else -1
+    # words said again within sixteen, which keywords do
+    spans = ([w for w in words[at : at + 16] if len(w) > 3] for at in range(0, count, 16))
+    repeated = sum(len(span) - len(set(span)) for span in spans) / count
+    if repeated >= 0.15 or sum(1 for w in words if len(w) > 2 and w.isascii() and not _VOWEL.search(w)) >= 0.3 * count:
+        return 1
+    return 0 if repeated < 0.1 and names <= 0.35 and count >= 12 else -1
 
 
 def _weight(line: str) -> int:
@@ -120,9 +132,8 @@ def main_text(content: str, title: str | None) -> str:
             body = body.replace(message, "")
         if any("ipsum" in m.lower() for m in told):
             body = "\n".join(line for line in body.split("\n") if not is_filler(line))
-        rest = [line for line in body.split("\n") if line.strip()]
-        if len(rest) <= 3 and sum(map(len, rest)) < ERROR_REST:
-            return ""  # the rest of an error page
+        if not has_running_text(body):
+            return ""  # what is left of an error page
     if title and title.strip():
         own = " ".join(title.split()).lower()
         body = "\n".join(line for line in body.split("\n") if len(line) > len(own) + 20 or " ".join(line.split()).lower() != own)
@@ -137,55 +148,91 @@ def statistics(body: str) -> list[float]:
     text = "\n".join(lines)
     tokens = text.split()
     solid = max(1, sum(map(len, tokens)))
-    broken = _broken(text)
+    damaged = _broken(text) > 0.005 * solid
     words_of = [_WORD.findall(line) for line in text.lower().split("\n")]
     if len(words_of) != len(lines):
         words_of = [_WORD.findall(line.lower()) for line in lines]
-    records = [_is_record(line) for line in lines]
-    commons = [sum(map(COMMON.__contains__, ws)) for ws in words_of]
-    damaged = broken > 0.005 * solid
-    prose = closed = total = 0
-    for line, ws, record, common in zip(lines, words_of, records, commons):
+    weights = [0, 0, 0]  # of lines of prose, of junk, and those that don't tell
+    closed = closed_weight = 0
+    for line, words in zip(lines, words_of):
         weight = _weight(line)
-        total += weight
+        weights[_evidence(line, words, damaged)] += weight
         if line.endswith(_CLOSED):
-            closed += weight
-        if _line_is_prose(line, ws, record, common, damaged):
-            prose += weight
-    count = sum(map(len, words_of))
-    letters = sum(len(w) for ws in words_of for w in ws)
-    kinds = {w for ws in words_of for w in ws}
+            closed += 1
+            closed_weight += weight
+    words = list(chain.from_iterable(words_of))
+    letters = sum(map(len, words))
+    kinds = set(words)
     wide = len(_WIDE.findall(text)) if not text.isascii() else 0
     digits = len(_DIGIT.findall(text))
-    n, m = max(1, count), len(lines)
+    n, m, total = max(1, len(words)), len(lines), sum(weights)
     return [
-        float(np.log1p(count + wide / 2)),
+        float(np.log1p(len(words) + wide / 2)),
         min(20.0, letters / n),
         (solid - letters - digits) / solid,
         digits / solid,
-        sum(line.endswith(_CLOSED) for line in lines) / m,
-        sum(commons) / n,
-        (count + wide / 2) / m,
-        sum(_BULLET.match(line) is not None for line in lines) / m,
-        sum(records) / m,
+        closed / m,
+        sum(map(COMMON.__contains__, words)) / n,
+        (len(words) + wide / 2) / m,
         sum(t[0].isupper() for t in tokens) / len(tokens),
-        len(kinds) / n,
         sum(len(w) for w in kinds if len(w) > 22) / solid if not wide else 0.0,
-        sum(1 for w in kinds if len(w) > 2 and w.isascii() and not _VOWEL.search(w)) / max(1, len(kinds)),
-        broken / n,
         len(_HIRAGANA.findall(text)) / max(1, wide) if wide else 0.0,
         letters / solid,
-        closed / total,
-        prose / total,
+        closed_weight / total,
+        len(kinds) / n,
+        weights[0] / total,
+        weights[1] / total,
+        float(m),
     ]
 
 
-def weak_label(stats: list[float], chars: int) -> int:
-    """1 for structural junk, 0 for prose, -1 if the rule of thumb doesn't tell which is the larger part."""
-    share = stats[-1]
-    if chars < SHORT_BODY:
+def weak_label(stats: list[float]) -> int:
+    """1 for structural junk, 0 for prose, -1 if the forms of the lines don't tell. A single line of a few words,
+    which is neither a list nor a table, is an example of prose."""
+    prose, junk, lines = stats[-3:]
+    if not lines:
         return -1
-    return 0 if share >= 0.55 else 1 if share <= 0.45 else -1
+    if lines == 1 and junk == 0 and stats[0] < np.log1p(10):
+        return 0
+    return 0 if prose >= SURE_SHARE else 1 if junk >= SURE_SHARE else -1
+
+
+#: Texts that are examples in every fit, whatever the table: prose, then structural junk.
+SEEDS = (
+    (
+        "She was found near the road with a broken leg, and nobody knew how long she had been there.\nAfter the operation she had to rest for six weeks.",
+        "there is no reason to change the food of an old cat as long as it eats well and keeps its weight",
+        "My cat does not like the carrier. What can I do so that he goes in by himself?",
+        "The coat of this breed is short and needs little care. It is a quiet cat that likes warm places and gets on with dogs.",
+        "El veterinario dijo que no era grave y que con la dieta nueva iba a mejorar en pocos días.",
+        "los gatos mayores duermen más y por eso hay que mirar bien si comen y beben como siempre",
+        "Il faut brosser ce chat une fois par semaine, car son poil est long et se mêle vite.",
+        "Nach der Untersuchung war klar, dass die Niere krank ist und die Katze eine Diät braucht.",
+        "die tierärztin hat gesagt dass wir noch eine woche warten sollen bevor wir wieder kommen",
+        "Врач сказал, что это не опасно и что через неделю кошка будет есть как раньше.",
+        "この猫は年をとってから水を多く飲むようになりました。早めに病院へ行きましょう。",
+        "Luna (Leeds), asthma",
+        "Oscar, home of York: a cold",
+    ),
+    (
+        "Name\tTown\tkg\tmg\nOscar\tYork\t4.2\t11\nBella\tBath\t3.9\t10\nLeo\tHull\t5.5\t14",
+        "| Oscar | York | 11 mg |\n| Bella | Bath | 10 mg |\n| Leo | Hull | 14 mg |\n| Daisy | Ely | 9 mg |",
+        '{"cat": "Oscar", "mg": 11}\n{"cat": "Bella", "mg": 10}\n{"cat": "Leo", "mg": 14}\n{"cat": "Daisy", "mg": 9}',
+        "* Oscar fish broth, York\n* Bella raw duck, Bath\n* Leo dry food, Hull\n* Daisy egg yolk, Ely\n* Max tuna, Deal",
+        "1. Oscar (Birman, red) Taylor\n2. Bella (Ragdoll, blue) Walker\n3. Leo (Burmese, cream) Hughes\n4. Daisy (Sphynx, black) Foster",
+        "vet cats buy cheap feline toy cat kitten food best cheap vet price buy cats toy feline kitten best",
+        "Oscar Bella Leo Daisy Max Ruby Toby, Misty, Sooty, Ginger, Poppy, Jasper, Rosie, Alfie, Tigger, Molly",
+        "3.11 84.20 19.73 402.5 66.10 7.98 51.2\n90.4 12.7 33.9 28.55 71.03 64.2 18.8\n5.01 47.6 83.3 29.1 10.7 94.4 36.2",
+        "2023-02-11 10:02 [INFO] door-3 oscar=4.2\n2023-02-11 10:07 [WARN] door-1 bella=3.9\n2023-02-12 08:44 [INFO] door-3 leo=5.5",
+        "https://paws.example/x/oscar-9\nhttps://paws.example/x/bella-3\nhttps://paws.example/y/leo-4\nhttps://paws.example/y/daisy-8",
+        "Owner: Ann Taylor; Colour: red; Weight: 4.2\nDam: Ruby Foster; Coat: long; Weight: 3.1\nSire: Max Hughes; Colour: blue; Weight: 5.0",
+        "%*#~+/=|<>$§^°_*#%|~+=/\\<>$§@^°_~*#+%=|/<>$ §^°_@*#~+%=\\|/<>$§^",
+        "QmFzZTY0IGxpbmUgb2YgdGV4dA8ZGF0YTEyMzQ1Njc4OTBhYmNkZWZnaGlqa2xtbm9wcXJzdHV2d3h5eg0KQUJDREVGR0hJ",
+        "wqrtp zxcvb nmlkj fghjk plmnb vcxzs dfghj kqwrt ypsdf ghjkl zxcmn bvqwr tpsdf jklzx cvbnm",
+        "{h' ;at }as {|und l{1e in t^e `veni!g an} did' n;t w{nt to l;ave t{e ho`s} a{ai!",
+        "Taylor & Co, 8 Church Street, York\nWalker Pets, 15 Mill Road, Bath\nHughes Vets, 2 Castle Lane, Hull\nFoster Cats, 31 Bridge End, Ely",
+    ),
+)
 
 
 #: Texts checked by hand: prose, then structural junk.
@@ -229,8 +276,8 @@ HOLDOUT = (
 )
 
 
-def _holdout() -> tuple[np.ndarray, np.ndarray]:
-    prose, junk = HOLDOUT
+def _examples(texts: tuple[tuple[str, ...], tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    prose, junk = texts
     rows = [statistics(t) for t in (*prose, *junk)]
     return np.array(rows, np.float32), np.array([0] * len(prose) + [1] * len(junk), float)
 
@@ -259,7 +306,7 @@ def document_statistics(df: DataFrame, key: str = "id", text: str = "content", t
                     else:
                         body = main_text(content, head)
                         row = (len(content.split()), len(body.strip()), statistics(body), 0)
-                        row = (*row[:3], weak_label(row[2], row[1]))
+                        row = (*row[:3], weak_label(row[2]))
                     for column, value in zip((words, chars, stats, labels), row):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
@@ -278,29 +325,26 @@ def document_statistics(df: DataFrame, key: str = "id", text: str = "content", t
 
 
 def fit(measured: DataFrame, sample_rows: int = SAMPLE_ROWS) -> BoostedTrees:
-    """Trees fitted on at most `sample_rows` weakly labelled rows, drawn by the hash of the key, half of
-    them of each label as far as there are such, and calibrated on the holdout, which the fit doesn't see unless
-    the table has fewer than `FEW_EXAMPLES` rows of a label."""
+    """Trees fitted on the seeds and at most `sample_rows` weakly labelled rows, drawn by the hash of the key, half
+    of them of each label as far as there are such, and calibrated on the holdout, which the fit never sees."""
     labelled = measured.filter(F.col("label") >= 0).select("label", "stats", F.xxhash64("k").alias("h"))
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    drawn = []
+    seeds, truth = _examples(SEEDS)
+    rows, labels = [seeds] * SEED_WEIGHT, [truth] * SEED_WEIGHT
     for label, size in sorted(sizes.items()):
         # by the hash first, so that about as many rows leave the executors as are wanted
         near = F.pmod("h", F.lit(1 << 31)) < int(min(1.0, 1.2 * (sample_rows // 2) / size) * (1 << 31))
-        drawn.append(labelled.filter((F.col("label") == label) & near).orderBy("h").limit(sample_rows // 2).toPandas())
-    held, truth = _holdout()
-    rows = [np.stack(d["stats"].to_numpy()) for d in drawn if len(d)]
-    labels = [d["label"].to_numpy(float) for d in drawn if len(d)]
-    for label in (0, 1):
-        if sizes.get(label, 0) < FEW_EXAMPLES:  # a tiny table: the texts checked by hand have to serve twice
-            rows.append(held[truth == label])
-            labels.append(truth[truth == label])
-    return BoostedTrees().fit(np.concatenate(rows).astype(np.float32)[:, SEEN], np.concatenate(labels)).calibrate(held[:, SEEN], truth)
+        drawn = labelled.filter((F.col("label") == label) & near).orderBy("h").limit(sample_rows // 2).toPandas()
+        if len(drawn):
+            rows.append(np.stack(drawn["stats"].to_numpy()))
+            labels.append(drawn["label"].to_numpy(float))
+    held, checked = _examples(HOLDOUT)
+    return BoostedTrees().fit(np.concatenate(rows).astype(np.float32)[:, SEEN], np.concatenate(labels)).calibrate(held[:, SEEN], checked)
 
 
 def scored(df: DataFrame, key: str = "id", text: str = "content", title: str = "title", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`(key, words, chars, stats, junk_probability)`; the probability is null for null texts and 0 for
-    bodies too short to tell."""
+    """`(key, words, chars, stats, junk_probability)`; the probability is null for null texts and 0 for bodies
+    without any visible character."""
     measured = materialise(document_statistics(df, key, text, title), "statistics")
     model = fit(measured, sample_rows)
 
@@ -312,9 +356,7 @@ def scored(df: DataFrame, key: str = "id", text: str = "content", title: str = "
             p = np.full(len(batch), np.nan)
             if known.any():
                 x = np.stack(batch["stats"][known].to_numpy()).astype(np.float32)
-                letters = x[:, NAMES.index("letter_share")] >= 0.5
-                short = (batch["chars"][known].to_numpy(float) < SHORT_BODY) & (letters | (x[:, 0] == 0))
-                p[known] = np.where(short, 0.0, model.probability(x[:, SEEN]))
+                p[known] = np.where(x[:, NAMES.index("lines")] == 0, 0.0, model.probability(x[:, SEEN]))
             out = batch.assign(junk_probability=p)
             out["junk_probability"] = out["junk_probability"].astype(object).where(known, None)
             yield out
@@ -334,5 +376,5 @@ def quality_table(df: DataFrame, key: str = "id") -> DataFrame:
     """The statistics of each row in columns, beside the stored word count of the metadata."""
     stored = df.select(F.col(key), F.col("metadata.word_count").alias("stored_word_count")).groupBy(key).agg(F.max("stored_word_count").alias("stored_word_count"))
     table = scored(df, key).withColumnRenamed("words", "word_count").dropDuplicates([key])
-    shares = [F.round(F.col("stats")[NAMES.index(n)].cast("double"), 4).alias(n) for n in NAMES[1:] if n != "closed_share"]
+    shares = [F.round(F.col("stats")[NAMES.index(n)].cast("double"), 4).alias(n) for n in NAMES[1:] if n != "lines"]
     return table.select(key, "word_count", *shares, F.round("junk_probability", 4).alias("junk_probability")).join(stored, key, "left")

@@ -268,14 +268,24 @@ def test_state_is_taken_up_again(spark, tmp_path):
 
 
 def test_statistics_tell_kinds():
-    held, truth = quality._holdout()
-    model = quality.BoostedTrees().fit(held, truth).calibrate(held, truth)
-    p = model.probability(held)
-    assert ((p > 0.5) == truth.astype(bool)).all() and (p >= 0).all() and (p <= 1).all()
+    held, truth = quality._examples(quality.HOLDOUT)
+    seeds, kinds = quality._examples(quality.SEEDS)
+    assert not {t for side in quality.HOLDOUT for t in side} & {t for side in quality.SEEDS for t in side}
+    p = quality.BoostedTrees().fit(seeds[:, quality.SEEN], kinds).probability(held[:, quality.SEEN])
+    assert ((p > 0.5) == truth.astype(bool)).mean() >= 0.8  # even from the few seeds alone
     assert quality.statistics("") == quality.statistics(" \n ") == [0.0] * len(quality.NAMES)
     assert len(quality.statistics("x")) == len(quality.NAMES)
 
 
+def test_labels_come_of_what_the_trees_do_not_see():
+    seen = {quality.NAMES[n] for n in quality.SEEN}
+    assert not seen & {"prose_evidence", "junk_evidence", "lines"} and {"common_words", "word_length", "symbol_share", "closed_lines"} <= seen
+    label = lambda text: quality.weak_label(quality.statistics(text))
+    assert label("| Milo | Home |\n| Luna | Town |") == 1 and label(PROSE) == 0 and label("Milo (Leeds), fleas") == 0
+    assert label("") == -1 and label("Milo went\nLuna stayed at home") == -1
+    assert label("best cat best food best bed cheap best cat cheap best food") == 1
+
+
 def test_trees_on_unseen_rows():
     import numpy as np
 
@@ -298,19 +308,20 @@ def test_not_prose(spark):
     assert table.filter("id = 'p0'").first()["stored_word_count"] == 5
 
 
-def test_trees_judge_without_the_rule(spark, monkeypatch):
-    assert [quality.NAMES[n] for n in quality.SEEN] == [n for n in quality.NAMES if n != "prose_share"]
-    keywords = "cat food of the best cheap kitten toys buy cat bed online\nbest cat of cat food cheap vet for kitten buy toys cat tree\nthe best cat food buy cheap of kitten toys price cat\n" * 3
-    assert quality.statistics(keywords)[-1] > 0.5  # the rule of thumb takes its lines for prose
-
+def test_the_trees_decide(spark, monkeypatch):
     class Sure:
-        def probability(self, x):
-            assert x.shape[1] == 17  # the statistics but for prose_share
-            return x[:, 0] * 0 + 1.0
+        def __init__(self, p):
+            self.p = p
 
-    monkeypatch.setattr(quality, "fit", lambda *_: Sure())
-    df = spark.createDataFrame([("k", keywords, "T"), ("n", None, "T")], "id string, content string, title string")
-    assert [r["id"] for r in quality.not_prose(df).collect()] == ["k"]
+        def probability(self, x):
+            assert x.shape[1] == len(quality.SEEN)
+            return x[:, 0] * 0 + self.p
+
+    df = spark.createDataFrame([("k", PROSE, "T"), ("j", "| a | b |\n| c | d |", "T"), ("n", None, "T"), ("e", "", "T")], "id string, content string, title string")
+    monkeypatch.setattr(quality, "fit", lambda *_: Sure(1.0))
+    assert sorted(r["id"] for r in quality.not_prose(df).collect()) == ["j", "k"]
+    monkeypatch.setattr(quality, "fit", lambda *_: Sure(0.0))
+    assert quality.not_prose(df).count() == 0
 
 
 def test_calibration_settles():
