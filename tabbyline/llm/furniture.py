@@ -233,7 +233,7 @@ def _heading(lines: list[str], title: str | None) -> tuple[list[bool], list[bool
     own = " ".join(title.split()).lower() if title else ""
     heading, crumb = [False] * len(lines), [False] * len(lines)
     for n, line in enumerate(lines):
-        if own and len(line) <= len(own) + 120:
+        if own and len(line) <= len(own) + 120 and line[-1].lower() == own[-1]:
             low = " ".join(line.split()).lower()
             if low.endswith(own):
                 heading[n] = len(low) == len(own)

@@ -92,6 +92,11 @@ def _is_record(line: str) -> bool:
     )
 
 
+def _capitals(tokens: list[str]) -> float:
+    """Share of tokens that begin with a capital."""
+    return sum(map(str.isupper, [t[0] for t in tokens])) / len(tokens)
+
+
 def _evidence(line: str, words: list[str], damaged: bool) -> int:
     """1 if the form of a line shows that it is no prose, 0 if it shows prose, -1 if it doesn't tell."""
     closed = line.endswith(_CLOSED)
@@ -104,8 +109,7 @@ def _evidence(line: str, words: list[str], damaged: bool) -> int:
         return 1
     if count < 8:
         return -1
-    tokens = line.split()
-    names = sum(t[0].isupper() for t in tokens) / len(tokens)
+    names = _capitals(line.split())
     if names >= 0.8:
         return 1
     if closed:
@@ -174,8 +178,8 @@ def statistics(body: str) -> list[float]:
         closed / m,
         sum(map(COMMON.__contains__, words)) / n,
         (len(words) + wide / 2) / m,
-        sum(t[0].isupper() for t in tokens) / len(tokens),
-        sum(len(w) for w in kinds if len(w) > 22) / solid if not wide else 0.0,
+        _capitals(tokens),
+        sum(n for n in map(len, kinds) if n > 22) / solid if not wide else 0.0,
         len(_HIRAGANA.findall(text)) / max(1, wide) if wide else 0.0,
         letters / solid,
         closed_weight / total,
