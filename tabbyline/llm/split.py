@@ -7,16 +7,18 @@ that end, if the piece from there reaches beyond it. The table of successors is
 2^k cuts are known at once, so all greedy cuts of all texts of a batch come out in a logarithmic
 number of array operations, not by a walk along each text.
 
-Costs are exact. Pieces start and end at seams of pre-tokens and never end in white space, so the
-tokens of a piece are the sum of its pre-tokens' tokens. A single pre-token over `_ATOM` tokens (a long
-unbroken run of letters or signs) is cut into characters' runs as a last resort; sums are then only
-estimates, so pieces of such a text are encoded again and the text is cut anew under a tighter bound
-until all of them fit.
+Costs are exact. Any run of consecutive tokens of a pre-token is the encoding of its own bytes (each two
+neighbours are compatible), so besides the seams of pre-tokens those of tokens inside of a long one are
+boundaries, where they are seams of characters. A piece ends in white space only inside of a run of it, where
+the same holds. The tokens of a piece are thus the sum over its parts, and no limit is ever lowered to be safe.
+Only where a part of several characters exceeds the limit by itself (a limit of a few tokens) it is cut into
+characters, whose sums are estimates, and the pieces of that text are counted and mended one by one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,10 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tabbyline.llm.bpe import DEFAULT_VOCABULARY, BpeEncoder, encoder, pretokens, units
 from tabbyline.llm.encode import slices
-from tabbyline.session import ensure_shipped
+from tabbyline.session import ensure_shipped, materialise
 
 PARAGRAPH, LINE, SENTENCE, WORD, ANY = 4, 3, 2, 1, 0
+#: Units of more tokens than this, or than an eighth of the limit, are given boundaries inside.
 _ATOM = 24
 _NEWLINE = 10
 #: Tables over code points up to the ideographic blank and marks.
@@ -39,14 +42,14 @@ def _table(test) -> np.ndarray:
     return np.array([test(chr(code)) for code in range(_TABLE_SIZE)], bool)
 
 
-_SPACE = _table(str.isspace)
+_SPACE = _table(lambda ch: ch.isspace() and not "\x1c" <= ch <= "\x1f")  # as the tokenizer has it
 _CLOSER = _table("\"'”’»)]」』".__contains__)
 _SENTENCE_END = _table(".!?…。！？".__contains__)
 _WIDE_END = _table("。！？".__contains__)
 
 
-def levels(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of a text how natural a cut there is, and whether it lies behind white space.
+def levels(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of a text how natural a cut there is, and whether white space stands before and behind it.
 
     A cut falls before a run of white space: a paragraph if the run has two newlines, a line if it has one,
     a sentence if what stands before it is closed, else a word. Wide full stops need no white space."""
@@ -71,51 +74,93 @@ def levels(text: str) -> tuple[np.ndarray, np.ndarray]:
     level[after] = np.maximum(level[after], SENTENCE)
     level[0] = level[n] = PARAGRAPH
     before[n] = False
-    return level, before
-
-
-def _atoms(word: str, n: int, enc: BpeEncoder) -> list[str]:
-    """Consecutive parts of a pre-token of `n` tokens, of at most `_ATOM` tokens or one character each."""
-    step = max(1, len(word) * _ATOM // n)
-    parts = []
-    for part in (word[at : at + step] for at in range(0, len(word), step)):
-        size = len(enc.ids[part])
-        parts += _atoms(part, max(size, 2 * _ATOM), enc) if size > _ATOM and len(part) > 1 else [part]
-    return parts
+    return level, before, np.concatenate([space, [False]])
+
+
+def _parts(word: str, enc: BpeEncoder) -> list[tuple[str, int]]:
+    """Consecutive parts `(text, tokens)` of a pre-token: cut at seams of its tokens that are seams of characters."""
+    ids, sizes = enc.ids[word], enc.length
+    if len(ids) < 2 or len(word) < 2:
+        return [(word, len(ids))]
+    if word.isascii():
+        seams = list(accumulate(map(sizes.__getitem__, ids)))
+    else:
+        place = {0: 0} | {at: n for n, at in enumerate(accumulate(len(ch.encode("utf-8", "surrogatepass")) for ch in word), 1)}
+        seams = [place.get(at, -1) for at in accumulate(map(sizes.__getitem__, ids))]
+    out, start, tokens = [], 0, 0
+    for end in seams:
+        tokens += 1
+        # not before a last apostrophe, which letters after it would turn into a contraction
+        if end > start and (end == len(word) or word[end:] != "'"):
+            out.append((word[start:end], tokens))
+            start, tokens = end, 0
+    return out
 
 
 class Boundaries:
     """Boundaries of one text: character offsets, tokens before each, and their levels."""
 
-    def __init__(self, text: str, enc: BpeEncoder):
+    def __init__(self, text: str, enc: BpeEncoder, limit: int):
         # The seams of units are enough where units are small; a large one has those of its pre-tokens,
-        # and a long pre-token those of its parts.
+        # and a long pre-token those of its tokens.
+        atom = max(1, min(_ATOM, limit // 8))
         words = units(text)
         counts = list(map(enc.unit_count.__getitem__, words))
-        self.estimated = False
-        if max(counts, default=0) > _ATOM:
-            fine: list[str] = []
+        if max(counts, default=0) > atom:
+            fine: list[tuple[str, int]] = []
             for unit, size in zip(words, counts):
-                if size <= _ATOM:
-                    fine.append(unit)
-                    continue
-                for word in pretokens(unit):
-                    n = len(enc.ids[word])
-                    self.estimated |= n > _ATOM
-                    fine += _atoms(word, n, enc) if n > _ATOM else [word]
-            words, counts = fine, [enc.unit_count[w] for w in fine]
-        lengths = list(map(len, words))
-        offset = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))])
+                if size <= atom:
+                    fine.append((unit, size))
+                else:
+                    for word in pretokens(unit):
+                        n = len(enc.ids[word])
+                        fine += _parts(word, enc) if n > atom else [(word, n)]
+            words, counts = [w for w, _ in fine], [n for _, n in fine]
+        offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
         tokens = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])
-        level, behind_space = levels(text)
+        level, behind_space, space = levels(text)
         keep = ~behind_space[offset]
         # a run of white space of many tokens can be cut inside
         kept = np.flatnonzero(keep)
-        for n in np.flatnonzero((np.diff(tokens[kept]) > _ATOM) & (np.diff(kept) > 1)):
-            keep[kept[n] : kept[n + 1]] = True
-            self.estimated = True
-        self.offset, self.tokens = offset[keep], tokens[keep]
-        self.level = level[self.offset]
+        for n in np.flatnonzero((np.diff(tokens[kept]) > atom) & (np.diff(kept) > 1)):
+            inside = slice(kept[n] + 1, kept[n + 1])
+            keep[inside] = space[offset[inside]]
+        offset, tokens = offset[keep], tokens[keep]
+        #: whether sums over the boundaries are estimates
+        self.estimated = bool(((np.diff(tokens) > limit) & (np.diff(offset) > 1)).any())
+        if self.estimated:
+            offset, tokens = _by_character(text, offset, tokens, enc, limit)
+        self.offset, self.tokens = offset, tokens
+        self.level = level[offset]
+
+
+def _by_character(text: str, offset: np.ndarray, tokens: np.ndarray, enc: BpeEncoder, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Boundaries with each part of more than `limit` tokens cut into its characters."""
+    places, sizes = [0], []
+    for a, b, n in zip(offset[:-1].tolist(), offset[1:].tolist(), np.diff(tokens).tolist()):
+        if n > limit and b - a > 1:
+            places += range(a + 1, b + 1)
+            sizes += map(enc.count, text[a:b])
+        else:
+            places.append(b)
+            sizes.append(n)
+    return np.array(places), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _mended(text: str, spans: list[tuple[int, int, int]], enc: BpeEncoder, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    """Pieces counted one by one: those over the limit are cut on, overlaps that are too large are left out."""
+    out: list[tuple[int, int, int]] = []
+    for a, b, _ in spans:
+        if out and a < out[-1][1] and enc.count(text[a : out[-1][1]]) > overlap:
+            a = out[-1][1]
+        while a < b:
+            low, high = a + 1, b  # the farthest end of a piece of at most `limit` tokens, one character at least
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if enc.count(text[a:middle]) <= limit else (low, middle - 1)
+            out.append((a, low, enc.count(text[a:low])))
+            a = low
+    return out
 
 
 def _last_at_level(level: np.ndarray, at_least: int) -> np.ndarray:
@@ -130,7 +175,7 @@ def _next_at_level(level: np.ndarray, at_least: int) -> np.ndarray:
 
 
 def successors(
-    tokens: np.ndarray, level: np.ndarray, final: np.ndarray, limit: np.ndarray, overlap: np.ndarray, fill: float
+    tokens: np.ndarray, level: np.ndarray, final: np.ndarray, limit: int, overlap: int, fill: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """For each boundary of all texts: the end of the piece that starts there, and the start after it.
 
@@ -171,44 +216,22 @@ def cut_texts(
     """Spans `(start, end, tokens)` of the pieces of each text, each of more than `limit` tokens."""
     if not texts:
         return []
-    marks = [Boundaries(t, enc) for t in texts]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    todo, limits, overlaps = list(range(len(texts))), np.full(len(texts), limit, np.int64), np.full(len(texts), overlap, np.int64)
-    while todo:
-        sizes = np.array([len(marks[k].offset) for k in todo])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        final = first + sizes - 1
-        totals = np.array([marks[k].tokens[-1] for k in todo])
-        base = np.concatenate([[0], np.cumsum(totals + limit + 1)[:-1]])
-        tokens = np.concatenate([marks[k].tokens + b for k, b in zip(todo, base)])
-        level = np.concatenate([marks[k].level for k in todo])
-        end, after = successors(
-            tokens, level, np.repeat(final, sizes), np.repeat(limits[todo], sizes), np.repeat(overlaps[todo], sizes), fill
-        )
-        paths = walk(after, first, final)
-        again = []
-        for row, k in enumerate(todo):
-            start = paths[row][paths[row] != final[row]]
-            stop = end[start]
-            spans = list(
-                zip(
-                    marks[k].offset[start - first[row]].tolist(),
-                    marks[k].offset[stop - first[row]].tolist(),
-                    (tokens[stop] - tokens[start]).tolist(),
-                )
-            )
-            if marks[k].estimated:
-                spans = [(a, b, enc.count(texts[k][a:b])) for a, b, _ in spans]
-                over = max(n for _, _, n in spans) - limit
-                shared = [enc.count(texts[k][b[0] : a[1]]) for a, b in zip(spans, spans[1:])]
-                beyond = max(shared, default=0) - overlap
-                if over > 0 and limits[k] > 1 or beyond > 0 and overlaps[k] > 0:
-                    limits[k] = max(1, limits[k] - max(0, over))
-                    overlaps[k] = max(0, overlaps[k] - max(0, beyond))
-                    again.append(k)
-                    continue
-            out[k] = spans
-        todo = again
+    marks = [Boundaries(t, enc, limit) for t in texts]
+    sizes = np.array([len(m.offset) for m in marks])
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    final = first + sizes - 1
+    totals = np.array([m.tokens[-1] for m in marks])
+    base = np.concatenate([[0], np.cumsum(totals + limit + 1)[:-1]])
+    tokens = np.concatenate([m.tokens + b for m, b in zip(marks, base)])
+    level = np.concatenate([m.level for m in marks])
+    end, after = successors(tokens, level, np.repeat(final, sizes), limit, overlap, fill)
+    paths = walk(after, first, final)
+    out = []
+    for k, mark in enumerate(marks):
+        start = paths[k][paths[k] != final[k]]
+        stop = end[start]
+        spans = zip(mark.offset[start - first[k]].tolist(), mark.offset[stop - first[k]].tolist(), (tokens[stop] - tokens[start]).tolist())
+        out.append(_mended(texts[k], list(spans), enc, limit, overlap) if mark.estimated else list(spans))
     return out
 
 
@@ -263,9 +286,14 @@ def split_spans(
 def split_documents(df: DataFrame, key: str = "id", text: str = "content", **options) -> DataFrame:
     """Pieces as `(key, chunk_index, token_count, text)`; options as in `split_spans`.
 
-    Rows repeated under one key count once: the first of them by text is cut.
+    Rows repeated under one key count once: the first of them by text is cut. Which keys are repeated is found
+    from the keys alone; the texts of all others stay where they are, and the planner may broadcast the keys while
+    they are few.
     """
-    one = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(F.col(text).cast("string")).alias("t"))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    repeated = materialise(rows.groupBy("k").count().filter("count > 1").select("k"), "repeated-keys")
+    chosen = rows.join(repeated, "k", "left_semi").groupBy("k").agg(F.min("t").alias("t"))
+    one = rows.join(repeated, "k", "left_anti").unionByName(chosen)
     ensure_shipped(df.sparkSession)
     limit, overlap, fill = (options.get(n, d) for n, d in (("limit", 512), ("overlap", 50), ("fill", 0.5)))
     vocabulary = options.get("vocabulary", DEFAULT_VOCABULARY)

@@ -99,6 +99,25 @@ def test_cuts_are_legal(reference):
                 spans_hold(text, split.cut_texts([text], enc, 40, overlap)[0], 40, overlap, count)
 
 
+@pytest.mark.parametrize("limit, overlap", [(1, 0), (2, 1), (5, 0), (8, 2), (17, 5), (64, 16), (512, 50)])
+def test_cuts_hold_at_any_limit(reference, limit, overlap):
+    enc, rng = bpe.encoder(), random.Random(limit)
+    count = lambda t: len(reference(t))
+    parts = ["word ", "\n\n", "。", "漢字かな" * 9, " ", "\t", "x.y! ", "😀" * 3, "!" * 30, "q9z" * 20, "a" * 200, " \n" * 40, "\t" * 90, "'s", "##'", "don't ", "\x1c", "\u3000", "ЖЪ", "\u00a0 ", "é́", "한글"]
+    for _ in range(60):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(5, 90)))
+        if count(text) > limit:
+            spans_hold(text, split.cut_texts([text], enc, limit, overlap)[0], limit, overlap, count)
+
+
+def test_a_long_run_does_not_spoil_the_other_pieces(reference):
+    text = "word here " * 600 + " \n\t \r" * 3000 + "word there " * 600
+    spans = split.cut_texts([text], bpe.encoder(), 512, 50)[0]
+    spans_hold(text, spans, 512, 50, lambda t: len(reference(t)))
+    total = len(reference(text))
+    assert len(spans) < 1.5 * total / 462 + 3 and sum(a < b[1] for (a, _, _), b in zip(spans[1:], spans)) >= 3
+
+
 def test_cuts_are_natural():
     enc = bpe.encoder()
     text = ("One sentence stands here and goes on. " * 6).strip() + "\n\n" + ("Another one stands there instead. " * 6).strip()
