@@ -1,9 +1,10 @@
 """Problem 3: lines that stand in many documents of one source.
 
-Method: incremental tables of line counts by source. The state in the shared folder holds, for each
-batch of documents seen, the places of every line (`lines`), and one table of counts. A new batch is a
-delta: its lines are counted and added to the counts, the lines that thereby cross the threshold are
-known at once, and only documents with a newly crossed line have to be built again.
+Method: incremental tables of line counts by source. A batch of documents is a delta: what its lines add to the
+counts, less the lines of earlier versions of its documents, is written beside the deltas before it. Only keys of
+the delta are looked up in those, so the lines that thereby cross the threshold, upwards or downwards, are known
+at once and written as events. The lines repeated now are those whose last event is upwards; after a batch only
+documents that have a newly crossed line need to be built again.
 
 Everything runs inside the JVM. Lines travel as 128-bit fingerprints, counts are combined before the
 shuffle, and no task ever holds a whole line group: a line that stands in a third of all documents is
@@ -30,6 +31,14 @@ def line_form(line: Column) -> Column:
     return F.lower(F.regexp_replace(trimmed, r"[ \t\x{3000}]+", " "))
 
 
+def _filled(line: Column) -> Column:
+    return line.rlike(r"[^\s\x{3000}\x{a0}]")
+
+
+def _fingerprint(form: Column) -> list[Column]:
+    return [F.xxhash64(form).alias("h1"), F.xxhash64(form, F.lit(7)).alias("h2")]
+
+
 def line_places(df: DataFrame, key: str = "id", source: str = "source", text: str = "content") -> DataFrame:
     """`(source, h1, h2, id, places)`: the numbers of the lines of a form in a document, one row for each
     document and form. Null contents, null ids and blank lines have none; a null source is a source of its
@@ -39,9 +48,9 @@ def line_places(df: DataFrame, key: str = "id", source: str = "source", text: st
         F.col(key).alias("id"),
         F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"),
     )
-    formed = lines.filter(F.col("line").rlike(r"[^\s\x{3000}\x{a0}]")).withColumn("form", line_form(F.col("line")))
+    formed = lines.filter(_filled(F.col("line"))).withColumn("form", line_form(F.col("line")))
     return (
-        formed.select("source", F.xxhash64("form").alias("h1"), F.xxhash64("form", F.lit(7)).alias("h2"), "id", "line_no")
+        formed.select("source", *_fingerprint(F.col("form")), "id", "line_no")
         .groupBy(*_KEYS, "id")
         .agg(F.collect_set("line_no").alias("places"))
     )
@@ -50,82 +59,112 @@ def line_places(df: DataFrame, key: str = "id", source: str = "source", text: st
 class LineCounts:
     """The incremental state: merge batches, ask for crossed lines, their places, and cleaned documents.
 
-    path: a folder that keeps the state between sessions; what it holds is taken up again. A batch is in the
-    state once its counts are written, the last step of a merge; lines of a merge that broke off are
-    written over. Without a path the state lives in the shared folder of the session."""
+    path: a folder that keeps the state between sessions; what it holds is taken up again. It has a table a batch of
+    each kind: lines of its documents, ids it had of earlier batches, what it added to the counts, and crossings, the
+    last to be written, so that a merge that broke off is written over. Without a path the state lives in the shared
+    folder of the session."""
+
+    KINDS = ("lines", "again", "deltas", "crossed")
 
     def __init__(self, spark: SparkSession, threshold: int = 5, path: str | None = None):
         self.spark = spark
         self.threshold = threshold
         self.path = path and path.rstrip("/")
-        self.lines: DataFrame | None = None
-        self.counts: DataFrame | None = None
-        self.batches = 0
+        self.kept: dict[str, list[DataFrame]] = {kind: [] for kind in self.KINDS}
         if self.path:
             self._take_up()
 
+    @property
+    def batches(self) -> int:
+        return len(self.kept["crossed"])
+
     def _take_up(self) -> None:
         jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        at = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.path}/counts/{n}/_SUCCESS")
+        at = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.path}/crossed/{n}/_SUCCESS")
         files = at(1).getFileSystem(hadoop)
         while files.exists(at(self.batches + 1)):
-            self.batches += 1
-        if self.batches:
-            self.lines = self.spark.read.parquet(*(f"{self.path}/lines/{n}" for n in range(1, self.batches + 1)))
-            self.counts = self.spark.read.parquet(f"{self.path}/counts/{self.batches}").select(*_KEYS, "n")
+            n = self.batches + 1
+            for kind in self.KINDS:
+                self.kept[kind].append(self.spark.read.parquet(f"{self.path}/{kind}/{n}"))
 
     def _keep(self, df: DataFrame, kind: str) -> DataFrame:
-        if not self.path:
-            return materialise(df, f"line-{kind}")
-        at = f"{self.path}/{kind}/{self.batches + 1}"
-        df.write.mode("overwrite").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def merge(self, batch: DataFrame, **columns: str) -> DataFrame:
-        """Add a batch of documents; returns the lines that crossed the threshold with it.
-
-        A document seen before adds only lines it didn't have."""
-        new = self._keep(line_places(batch, **columns), "lines")
-        added = new
-        if self.lines is not None:
-            again = self.lines.join(new.select("id").distinct(), "id", "left_semi").select(*_KEYS, "id")
-            added = new.join(again, [*_KEYS, "id"], "left_anti")
-        delta = added.groupBy(*_KEYS).agg(F.count("*").alias("n"))
-        before = self.counts
-        old = before.withColumn("d", F.lit(0).cast("bigint")) if before is not None else None
-        both = delta.select(*_KEYS, F.lit(0).cast("bigint").alias("n"), F.col("n").alias("d"))
-        if old is not None:
-            both = old.select(*_KEYS, F.col("n"), "d").unionByName(both)
-        merged = both.groupBy(*_KEYS).agg(F.sum("n").alias("was"), (F.sum("n") + F.sum("d")).alias("n"))
-        merged = self._keep(merged, "counts")
-        self.batches += 1
-        self.counts = merged.select(*_KEYS, "n")
-        self.lines = new if self.lines is None else self.lines.unionByName(new)
-        return merged.filter((F.col("was") < self.threshold) & (F.col("n") >= self.threshold)).select(*_KEYS)
+        if self.path:
+            at = f"{self.path}/{kind}/{self.batches + 1}"
+            df.write.mode("overwrite").parquet(at)
+            written = self.spark.read.schema(df.schema).parquet(at)
+        else:
+            written = materialise(df, f"line-{kind}")
+        return written
+
+    def lines(self) -> DataFrame | None:
+        """The lines of the last version of each document: those of a batch but for ids that came again later."""
+        parts = []
+        for n, lines in enumerate(self.kept["lines"]):
+            later = self.kept["again"][n + 1 :]
+            parts.append(lines.join(_union(later).distinct(), "id", "left_anti").select(*lines.columns) if later else lines)
+        return _union(parts) if parts else None
+
+    def merge(self, batch: DataFrame, key: str = "id", source: str = "source", text: str = "content") -> DataFrame:
+        """Add a batch of documents; returns the lines that crossed the threshold upwards with it.
+
+        A document seen before is taken back first, so that only its new version counts."""
+        new = self._keep(line_places(batch, key, source, text), "lines")
+        ids = batch.filter(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct()
+        old = self.lines()
+        if old is None:
+            again = self._keep(ids.limit(0), "again")
+            changes = new.select(*_KEYS, F.lit(1).alias("d"))
+        else:
+            again = self._keep(old.select("id").distinct().join(ids, "id", "left_semi"), "again")
+            changes = new.select(*_KEYS, F.lit(1).alias("d")).unionByName(old.join(again, "id", "left_semi").select(*_KEYS, F.lit(-1).alias("d")))
+        delta = self._keep(changes.groupBy(*_KEYS).agg(F.sum("d").alias("d")).filter("d <> 0"), "deltas")
+        if self.kept["deltas"]:
+            # earlier counts of the keys of this delta only
+            was = _union(self.kept["deltas"]).join(delta.select(*_KEYS), _KEYS, "left_semi").groupBy(*_KEYS).agg(F.sum("d").alias("was"))
+            both = delta.join(was, _KEYS, "left").withColumn("was", F.coalesce("was", F.lit(0)))
+        else:
+            both = delta.withColumn("was", F.lit(0).cast("bigint"))
+        over, now = F.col("was") >= self.threshold, F.col("was") + F.col("d") >= self.threshold
+        crossed = both.filter(over != now).select(*_KEYS, now.alias("up"), F.lit(self.batches + 1).alias("batch"))
+        crossed = self._keep(crossed, "crossed")
+        for kind, table in zip(self.KINDS, (new, again, delta, crossed)):
+            self.kept[kind].append(table)
+        return crossed.filter("up").select(*_KEYS)
 
     def crossed(self) -> DataFrame:
-        """All lines at or over the threshold, with their counts of documents."""
-        return self.counts.filter(F.col("n") >= self.threshold)
+        """All lines at or over the threshold, with their counts of documents: those whose last crossing is upwards."""
+        last = _union(self.kept["crossed"]).groupBy(*_KEYS).agg(F.max_by("up", "batch").alias("up")).filter("up").select(*_KEYS)
+        return _union(self.kept["deltas"]).join(last, _KEYS, "left_semi").groupBy(*_KEYS).agg(F.sum("d").alias("n"))
 
     def places(self, wanted: DataFrame | None = None) -> DataFrame:
-        """`(id, places)` of the `wanted` lines (default: all crossed ones)."""
-        crossed = self.crossed() if wanted is None else self.counts.join(wanted, _KEYS, "left_semi")
-        total = self.counts.agg(F.sum("n")).first()[0] or 0
+        """`(id, h1, h2, places)` of the `wanted` lines (default: all crossed ones)."""
+        crossed = self.crossed() if wanted is None else self.crossed().join(wanted, _KEYS, "left_semi")
+        crossed = materialise(crossed, "line-wanted")
+        total = _union(self.kept["deltas"]).agg(F.sum("d")).first()[0] or 0
         hot = F.col("n") >= max(self.threshold, total * HOT_SHARE)
         frequent = crossed.filter(hot).select(*_KEYS)  # at most 1 / HOT_SHARE rows
         rest = crossed.filter(~hot).select(*_KEYS)
-        by_broadcast = self.lines.join(F.broadcast(frequent), _KEYS, "left_semi")
-        by_key = self.lines.join(F.broadcast(frequent), _KEYS, "left_anti").join(rest, _KEYS, "left_semi")
-        return by_broadcast.unionByName(by_key).select("id", "places")
+        lines = self.lines()
+        by_broadcast = lines.join(F.broadcast(frequent), _KEYS, "left_semi")
+        by_key = lines.join(F.broadcast(frequent), _KEYS, "left_anti").join(rest, _KEYS, "left_semi")
+        return by_broadcast.unionByName(by_key).select("id", "h1", "h2", "places")
 
     def clean(self, df: DataFrame, wanted: DataFrame | None = None, key: str = "id", text: str = "content") -> DataFrame:
-        """`df` with the wanted lines taken out of `text`. Only documents that have one are built again."""
-        drop = self.places(wanted).groupBy("id").agg(F.flatten(F.collect_list("places")).alias("__drop"))
+        """`df` with the wanted lines taken out of `text`, wherever they stand in it. Only documents that have one are
+        built again; those that were never merged have none."""
+        drop = self.places(wanted).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
         hit = df.join(drop.withColumnRenamed("id", "__id"), F.col(key) == F.col("__id"), "left")
-        kept = F.filter(F.split(F.col(text), "\n", -1), lambda _, n: ~F.array_contains("__drop", n))
+        kept = F.filter(F.split(F.col(text), "\n", -1), lambda line: ~(_filled(line) & F.array_contains("__drop", F.struct(*_fingerprint(line_form(line))))))
         return hit.withColumn(text, F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("__drop", "__id")
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def counted(df: DataFrame, threshold: int = 5) -> LineCounts:
     """The state after a table of documents, merged as two deltas: the first and second halves of months."""
     state = LineCounts(df.sparkSession, threshold)

@@ -257,6 +257,20 @@ def test_deltas(spark):
     assert cleaned == {"a": "y", "d": "x", "n": None}
 
 
+def test_a_document_that_comes_again_is_taken_back(spark):
+    mk = lambda rows: spark.createDataFrame(rows, "id string, source string, content string")
+    state = repeated.LineCounts(spark, 3)
+    assert state.merge(mk([(f"d{n}", "s", f"legal notice\nbody {n}") for n in range(3)])).count() == 1
+    new = mk([("d0", "s", "fresh first line\n Legal  notice\nbody new")])
+    assert state.merge(new).count() == 0
+    assert [r["content"] for r in state.clean(new).collect()] == ["fresh first line\nbody new"]
+    assert {(r["id"], r["line_no"]) for r in state.places().select("id", F.explode("places").alias("line_no")).collect()} == {("d0", 1), ("d1", 0), ("d2", 0)}
+    # the line falls under the threshold again when one document loses it, and crosses it once more with another
+    assert state.merge(mk([("d1", "s", None)])).count() == 0 and state.crossed().count() == 0
+    assert state.clean(new).first()["content"] == new.first()["content"]
+    assert state.merge(mk([("d9", "s", "LEGAL NOTICE")])).count() == 1 and state.crossed().first()["n"] == 3
+
+
 def test_state_is_taken_up_again(spark, tmp_path):
     mk = lambda rows: spark.createDataFrame(rows, "id string, source string, content string")
     path = f"file://{tmp_path}/state"
