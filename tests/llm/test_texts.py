@@ -14,7 +14,8 @@ from tabbyline.llm import furniture, lookalike, quality, repeated, residue
         ("Ｆｕｌｌ，", "Full,", True), ("é", "é", True), ("ﬁn", "fin", True), ("a b c", "a b c", True), ("ca​t­", "cat", True),
         ("саt", "cat", True), ("ΑΒ", "AB", True), ("ё", "ë", True), ("が", "が", True), ("a\r\nb", "a\nb", True), ("Å", "Å", True),
         ("é", "e", False), ("A", "a", False), ("0", "O", False), ("½", "1/2", False), ("x²", "x2", False), ("a  b", "a b", False), ("ø", "o", False), ("ı", "i", False),
-        ("👩‍⚕️", "👩⚕️", False), ("a‍b", "ab", True), ("ﾏ", "マ", True), ("q̣̇", "q̣̇", True),
+        ("👩‍⚕️", "👩⚕️", False), ("a‍b", "ab", True), ("a\ufe0f", "a", True), ("❤\ufe0f", "❤", False), ("1\ufe0f\u20e3", "1\u20e3", False), ("Ӏ", "I", True), ("օ", "o", True), ("ɑ", "a", True), ("ꓮ", "A", True),
+        ("\u09c7\u09be", "\u09cb", True), ("ϒ", "Y", True), ("\ue0fe", "\u200d", False), ("ﾏ", "マ", True), ("q̣̇", "q̣̇", True),
     ],
 )
 def test_lookalikes(a, b, same):
@@ -30,6 +31,32 @@ def test_form_is_stable():
     assert lookalike.canonical(None) is None and lookalike.canonical("") == ""
 
 
+def test_all_characters_have_one_stable_form():
+    import unicodedata
+
+    for code in range(0x30000):
+        if not 0xD800 <= code < 0xE000:
+            ch = chr(code)
+            form = lookalike.canonical(f"a{ch}b")
+            assert lookalike.canonical(form) == form and unicodedata.is_normalized("NFC", form), hex(code)
+            for kind in ("NFC", "NFD"):
+                assert lookalike.canonical(unicodedata.normalize(kind, f"a{ch}b")) == form, hex(code)
+
+
+def test_confusables_of_a_file(tmp_path):
+    path = tmp_path / "table.txt"
+    path.write_text("# comment\n0501 ;\t0064 ;\tMA\n1D0F ;\t006F ;\tMA # small capital o\n0031 ; 006C ; MA\n0441 0442 ; 0063 ; MA\n", encoding="utf-8")
+    assert lookalike.read_confusables(str(path)) == {"ԁ": "d", "ᴏ": "o"}
+    assert lookalike.canonical("ᴏ1") == "ᴏ1" and lookalike.canonical("ᴏ1", str(path)) == "o1"
+
+
+def test_lookalike_classes(spark):
+    rows = [(1, "cat"), (2, "cаt"), (3, "cat"), (4, "Cat"), (5, None), (6, " "), (None, "cat"), (2, "cаt")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"k": F.lit(1), "class_id": F.lit(2)})
+    assert {tuple(r) for r in lookalike.lookalike_classes(df).collect()} == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 1)}
+    assert lookalike.lookalike_classes(df.limit(0)).count() == 0
+
+
 def test_lookalike_pairs(spark):
     rows = [(1, "cat"), (2, "cаt"), (3, "cat"), (4, "Cat"), (5, None), (6, " "), (7, " "), (8, "​"), (2, "cаt"), (None, "cat"), (9, "x" * 100000), (10, "x" * 99999 + "х")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"k": F.lit(1), "f1": F.lit(2), "t": F.lit("t")})
