@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tabbyline.llm.budget import miscounted, token_budget
 from tabbyline.llm.encode import encode_corpus
 from tabbyline.llm.furniture import furniture_lines, main_body
-from tabbyline.llm.lookalike import lookalike_pairs, normalize_documents
-from tabbyline.llm.pack import pack_documents, too_large
+from tabbyline.llm.lookalike import lookalike_classes, lookalike_pairs, normalize_documents
+from tabbyline.llm.pack import fills, pack_documents, too_large
 from tabbyline.llm.quality import not_prose, quality_table
 from tabbyline.llm.repeated import repeated_lines, without_repeated_lines
 from tabbyline.llm.residue import residue_documents, without_residue
@@ -90,10 +90,18 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p9_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fills(pack_documents(table(spark, sf_dir, "documents")))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_classes(table(spark, sf_dir, "documents"))
+
+
 def p10_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -116,7 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_containers": p9_containers,
+    "p9_fills": p9_fills,
     "p10_found": p10_found,
+    "p10_classes": p10_classes,
     "p10_normalized": p10_normalized,
 }
 

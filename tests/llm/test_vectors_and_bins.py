@@ -113,22 +113,37 @@ def test_best_pair():
 
 def test_pack(spark):
     rng = random.Random(8)
-    rows = [(n, rng.choice([None, 0, 5, 5, 5, 17, 40, 64, 65, 400])) for n in range(500)] + [(None, 5), (1, 5)]
+    rows = [(n, rng.choice([None, 0, 5, 5, 5, 17, 40, 64, 65, 128, 400])) for n in range(500)] + [(None, 5), (1, 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, n bigint").withColumns({"k": F.lit(1), "class": F.lit(2), "part": F.lit(3), "place": F.lit(4)}).repartition(3)
-    got = pack.pack(df, "doc_id", "n", 64).collect()
-    assert collections.Counter((r["doc_id"], r["n"]) for r in got) == collections.Counter(rows)
-    fill, over = collections.Counter(), []
+    packed = pack.pack(df, "doc_id", "n", 64)
+    got = packed.collect()
+    assert collections.Counter((r["doc_id"], r["parts"]) for r in got if r["part"] == 0) == collections.Counter((k, max(1, -(-(n or 0) // 64))) for k, n in rows)
+    sizes = collections.Counter()
     for r in got:
-        assert (r["container"] is None) == (not r["n"]) and r["oversized"] == bool(r["n"] and r["n"] > 64)
-        if r["oversized"]:
-            over.append(r["container"])
-        elif r["n"]:
-            fill[r["container"]] += r["n"]
-    assert max(fill.values()) <= 64 and len(set(over)) == len(over) and not set(over) & set(fill)
-    assert len(fill) <= 1.06 * sum(fill.values()) / 64 + 1
+        assert (r["container"] is None) == (not r["n"]) and 0 <= r["part"] < r["parts"] and (r["n"] or 0) <= 64
+        sizes[r["doc_id"]] += r["n"] or 0
+    assert sizes == collections.Counter({k: sum(n or 0 for i, n in rows if i == k) for k, _ in rows})
+    held = pack.fills(packed, "n", 64).collect()
+    assert all(0 <= r["room"] < 64 and r["room"] + r["n"] == 64 and r["items"] > 0 for r in held)
+    least = -(-sum(n or 0 for _, n in rows) // 64)
+    assert least <= len(held) <= 1.03 * least + 1
     assert pack.pack(df.limit(0), "doc_id", "n", 64).count() == 0
 
 
-def test_too_large(spark):
-    df = spark.createDataFrame([(1, "cat " * 30), (2, "cat"), (3, None), (4, ""), (1, "cat " * 30), (None, "cat " * 30)], "doc_id bigint, text string")
-    assert [r["doc_id"] for r in pack.too_large(df, capacity=20).collect()] == [1]
+def test_packed_texts(spark):
+    from tabbyline.llm.bpe import encoder
+
+    long, count = "One cat sleeps here. " * 40 + "\n\n" + "Two dogs run there. " * 40, encoder().count
+    df = spark.createDataFrame([(1, long), (2, "cat"), (3, None), (4, ""), (1, long), (None, long), (5, " ")], "doc_id bigint, text string").withColumns({"part": F.lit(1), "n": F.lit("x")})
+    packed = pack.pack_documents(df, capacity=60).collect()
+    assert all((r["tokens"] or 0) <= 60 for r in packed)
+    by = collections.Counter()
+    for r in packed:
+        by[r["doc_id"]] += r["tokens"]
+    assert by == {1: 2 * count(long), None: count(long), 2: count("cat"), 3: 0, 4: 0, 5: count(" ")}
+    assert [r["doc_id"] for r in pack.too_large(df, capacity=60).collect()] == [1]
+    fill = collections.Counter()
+    for r in packed:
+        fill[r["container"]] += r["tokens"]
+    assert max(v for k, v in fill.items() if k is not None) <= 60
+    assert pack.too_large(df, capacity=10**6).count() == 0 == pack.pack_documents(df.limit(0)).count()
