@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 #: Boundaries from the most natural to the last resort.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -18,6 +19,8 @@ class ChunkingConfig:
     chunk_size: int = 512
     chunk_overlap: int = 50
     separators: tuple[str, ...] = SEPARATORS
+    #: Rank file of the tokenizer that sizes are counted with; None counts pre-tokens, a lower bound.
+    rank_file: str | None = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
     def __post_init__(self) -> None:
         _within("chunk_size", self.chunk_size, 64, 2048)
@@ -59,3 +62,7 @@ class EngineConfig:
     generation: GenerationConfig = field(default_factory=GenerationConfig)
     embedding_model: str = "all-MiniLM-L6-v2"
     collection_name: str = "chunks"
+
+    def snapshot(self) -> str:
+        """All parameters as JSON, for the record of an answer or a run."""
+        return json.dumps(asdict(self), sort_keys=True)

@@ -15,10 +15,16 @@ from tabbyline.functions.text import py_strip
 
 #: Entities decoded by expression, the ampersand last; `unescape` knows them all.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-DROPPED = r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>"
+DROPPED = r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>"
 COMMENT = r"(?s)<!--.*?-->"
-FURNITURE = r"(?is)<(nav|footer|aside|header|form)\b[^>]*>.*?</(nav|footer|aside|header|form)\s*>"
-ARTICLE = r"(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)\s*>"
+#: An element of page furniture that holds none of its own kind, with its own closing tag. The possessive group is
+#: matched in a loop, so that long elements need no stack.
+FURNITURE = r"(?is)<(nav|footer|aside|header|form)\b[^>]*>[^<]*+(?:<(?!/?\1\b)[^<]*+)*+</\1\s*>"
+#: So deep may furniture of one kind be nested.
+NESTED = 3
+#: From the first opening to the last closing tag.
+ARTICLE = r"(?is)<article\b[^>]*>(.*)</article\s*>"
+MAIN = r"(?is)<main\b[^>]*>(.*)</main\s*>"
 BODY = r"(?is)<body\b[^>]*>(.*)"
 HEAD = r"(?is)<head\b[^>]*>.*?</head\s*>|<!doctype[^>]*>"
 BLOCK = r"(?i)</?(p|br|div|h1|h2|h3|h4|li|ul|ol|tr|table|section|article)\b[^>]*>"
@@ -42,16 +48,26 @@ def inner_text(fragment: Column) -> Column:
     return decode(F.regexp_replace(fragment, TAG, ""))
 
 
+def bare(page: Column) -> Column:
+    """The page without scripts, styles and comments, which may hold tags."""
+    return F.regexp_replace(F.regexp_replace(page, DROPPED, ""), COMMENT, "")
+
+
 def main_text(page: Column) -> Column:
     """The main text of a page; null if it has none.
 
-    Scripts and comments go first, as scripts may hold tags; then the article if there is one, else the body
-    (the whole but for its head where no body is opened) without navigation, footer and the like; block tags end lines, cells are divided by tabs."""
-    bare = F.regexp_replace(F.regexp_replace(page, DROPPED, ""), COMMENT, "")
-    article = F.regexp_extract(bare, ARTICLE, 1)
-    body = F.regexp_extract(bare, BODY, 1)
-    body = F.regexp_replace(F.when(body != "", body).otherwise(F.regexp_replace(bare, HEAD, "")), FURNITURE, "")
-    chosen = F.when(article != "", article).otherwise(body)
+    Of the `bare` page the articles if there are any, else the main element, else the body (the whole but for its head
+    where no body is opened); of that, without navigation, footer and the like, innermost first; block tags end
+    lines, cells are divided by tabs."""
+    return main_text_of(bare(page))
+
+
+def main_text_of(page: Column) -> Column:
+    """`main_text` of a page that is bare already."""
+    found = [F.nullif(F.regexp_extract(page, part, 1), F.lit("")) for part in (ARTICLE, MAIN, BODY)]
+    chosen = F.coalesce(*found, F.regexp_replace(page, HEAD, ""))
+    for _ in range(NESTED):
+        chosen = F.regexp_replace(chosen, FURNITURE, "")
     lined = F.regexp_replace(F.regexp_replace(chosen, BLOCK, "\n"), CELL, "\t")
     text = py_strip(F.regexp_replace(inner_text(lined), r"[ \t]*\n\s*", "\n"))
     return F.nullif(text, F.lit(""))
@@ -61,9 +77,13 @@ def title(page: Column) -> Column:
     """The first h1 as it stands, else the page title up to the first bar; null if there is neither.
 
     A heading of white space alone is a heading."""
-    bare = F.regexp_replace(F.regexp_replace(page, DROPPED, ""), COMMENT, "")
-    heading = inner_text(F.regexp_extract(bare, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
-    head = inner_text(F.regexp_extract(bare, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
+    return title_of(bare(page))
+
+
+def title_of(page: Column) -> Column:
+    """`title` of a page that is bare already."""
+    heading = inner_text(F.regexp_extract(page, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
+    head = inner_text(F.regexp_extract(page, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
     first = py_strip(F.split_part(py_strip(head), F.lit("|"), F.lit(1)))
     return F.coalesce(F.nullif(heading, F.lit("")), F.nullif(first, F.lit("")))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tabbyline.config import SEPARATORS, ChunkingConfig
 from tabbyline.functions.text import PRETOKEN, chunk_id
@@ -18,25 +19,58 @@ from tabbyline.session import ensure_shipped
 _PRETOKEN = regex.compile(PRETOKEN)
 
 
+#: Pre-tokenisation of the byte-pair vocabularies that are counted with (fixed values of the public format).
+_BYTE_PAIR = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Counts of strings up to so many characters are remembered, in a table of so many at most.
+_MEMO_CHARS, _MEMO_ROWS = 64, 200_000
+
+
 def pretokens(text: str) -> int:
-    """Default measure: pre-tokens, a lower bound of byte-pair tokens."""
+    """A measure without any file: pre-tokens, a lower bound of byte-pair tokens."""
     return len(_PRETOKEN.findall(text))
 
 
-def tokenizer_counter(rank_file: str, pattern: str) -> Callable[[], Callable[[str], int]]:
-    """A factory of exact counters over a public rank file; each worker builds its own."""
+def tokenizer_counter(rank_file: str, pattern: str = _BYTE_PAIR) -> Callable[[], Callable[[str], int]]:
+    """A factory of exact counters over a public rank file; each worker builds its own, once."""
 
     def build() -> Callable[[str], int]:
-        import base64
+        known = _counters.get((rank_file, pattern))
+        if known is None:
+            known = _counters[rank_file, pattern] = _counter(rank_file, pattern)
+        return known
 
-        import tiktoken
+    return build
 
-        with open(rank_file, "rb") as file:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: len(encoding.encode_ordinary(text))
 
-    return build
+_counters: dict[tuple[str, str], Callable[[str], int]] = {}
+
+
+def _counter(rank_file: str, pattern: str) -> Callable[[str], int]:
+    import base64
+
+    import tiktoken
+
+    with open(rank_file, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    memo: dict[str, int] = {}
+
+    def count(text: str) -> int:
+        n = memo.get(text)
+        if n is None:
+            n = len(encode(text))
+            if len(text) <= _MEMO_CHARS:
+                if len(memo) >= _MEMO_ROWS:
+                    memo.clear()
+                memo[text] = n
+        return n
+
+    return count
+
+
+def default_counter(config: ChunkingConfig) -> Callable[[], Callable[[str], int]]:
+    """The measure of a configuration: tokens of its rank file, or pre-tokens if it names none."""
+    return tokenizer_counter(config.rank_file) if config.rank_file else lambda: pretokens
 
 
 def _cut(text: str, separator: str) -> list[str]:
@@ -83,43 +117,47 @@ def split_text(text: str, size: int = 512, overlap: int = 50, separators: tuple[
     return [c for c in (chunk.strip() for chunk in level(text, separators)) if c]
 
 
-def chunks_column(df: DataFrame, text: Column, config: ChunkingConfig, counter: Callable[[], Callable[[str], int]] | None = None) -> Column:
-    """The chunks of a text as an array of `(content, token_count)`; each count is taken once."""
-    ensure_shipped(df.sparkSession)
-
-    @F.pandas_udf("array<struct<content:string,token_count:int>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        measure = counter() if counter else pretokens
-        for batch in batches:
-            yield pd.Series(
-                [
-                    [{"content": c, "token_count": measure(c)} for c in split_text(t, config.chunk_size, config.chunk_overlap, config.separators, measure)]
-                    if t
-                    else []
-                    for t in batch
-                ]
-            )
-
-    return cut(text)
-
-
 def chunk_documents(df: DataFrame, config: ChunkingConfig | None = None, counter: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
     """One row for each chunk of each document, in the chunk schema without vectors.
 
-    No shuffle: the document's columns travel with its chunks. Metadata holds title, url and the number of
-    chunks, then the document's own; a document without metadata leaves those null."""
+    counter: a factory of the measure, instead of the configuration's. Each text is cut once, in one pass that gives
+    place, number, text and count of its chunks; the document's columns travel with them and nothing is shuffled.
+    Metadata holds title, url and the number of chunks, then the document's own; a document without metadata
+    leaves those null. Null and blank contents have no chunks."""
     config = config or ChunkingConfig()
-    cut = df.withColumn("__chunks", chunks_column(df, F.col("content"), config, counter))
-    rows = cut.select("*", F.size("__chunks").alias("__total"), F.posexplode("__chunks").alias("chunk_index", "__chunk"))
-    own = [f.name for f in df.schema["metadata"].dataType.fields if f.name not in ("title", "url", "total_chunks")] if "metadata" in df.columns else []
+    ensure_shipped(df.sparkSession)
+    build = counter or default_counter(config)
+    kept = [c for c in ("id", "source", "url", "title", "content_type", "metadata") if c in df.columns]
+    chosen = df.select(*kept, F.col("content").cast("string").alias("content"))
+    added = [StructField("chunk_index", IntegerType()), StructField("__total", IntegerType()), StructField("__chunk", StringType()), StructField("__tokens", IntegerType())]
+    schema = StructType([*chosen.schema.fields[:-1], *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = build()
+        for batch in batches:
+            rows, place, total, text = [], [], [], []
+            for n, value in enumerate(batch.column(len(kept))):
+                content = value.as_py()
+                chunks = split_text(content, config.chunk_size, config.chunk_overlap, config.separators, measure) if content else []
+                rows += [n] * len(chunks)
+                place += range(len(chunks))
+                total += [len(chunks)] * len(chunks)
+                text += chunks
+            at = pa.array(rows, pa.int32())
+            own = [batch.column(c).take(at) for c in range(len(kept))]
+            told = [pa.array(place, pa.int32()), pa.array(total, pa.int32()), pa.array(text, pa.string()), pa.array(list(map(measure, text)), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own, *told], schema.names)
+
+    rows = chosen.mapInArrow(run, schema)
+    own = [f.name for f in df.schema["metadata"].dataType.fields if f.name not in ("title", "url", "total_chunks")] if "metadata" in kept else []
     return rows.select(
-        chunk_id(F.col("id"), F.col("chunk_index"), F.col("__chunk.content")).alias("id"),
+        chunk_id(F.col("id"), F.col("chunk_index"), F.col("__chunk")).alias("id"),
         F.col("id").alias("document_id"),
         "source",
-        F.col("__chunk.content").alias("content"),
+        F.col("__chunk").alias("content"),
         "content_type",
         "chunk_index",
-        F.col("__chunk.token_count").alias("token_count"),
+        F.col("__tokens").alias("token_count"),
         F.lit(None).cast("array<float>").alias("embedding"),
         F.lit(None).cast("string").alias("embedding_model"),
         F.lit(PIPELINE_VERSION).alias("pipeline_version"),

@@ -14,17 +14,28 @@ from tabbyline.operators.validate import quarantine, split_valid
 def first_per_final_url(pages: DataFrame) -> DataFrame:
     """One page of each final url: the first fetched one by url. Failed fetches are left out.
 
-    A page counts as seen before it is extracted, so one that yields nothing still hides the later ones.
-    The choice is an aggregate with map-side combine, so a final url of many pages is no hot task."""
+    A page counts as seen before it is extracted, so one that yields nothing still hides the later ones. Final
+    urls of several pages are found from the urls alone; only their pages are compared, by an aggregate with
+    map-side combine, so that a final url of many pages is no hot task. All others stay where they are."""
     fetched = pages.filter(F.col("error").isNull() & F.col("html").isNotNull())
+    key = F.coalesce("final_url", F.lit("\0")).alias("__key")
+    several = fetched.select(key).groupBy("__key").count().filter("count > 1").select("__key")
+    keyed = fetched.withColumn("__key", key)
     rest = [c for c in pages.columns if c not in ("final_url", "url")]
-    first = fetched.groupBy("final_url").agg(F.min(F.struct("url", *rest)).alias("p"))
-    return first.select("p.url", "final_url", *(F.col(f"p.{c}") for c in rest))
+    first = keyed.join(several, "__key", "left_semi").groupBy("final_url").agg(F.min(F.struct("url", *rest)).alias("p"))
+    order = ["url", "final_url", *rest]
+    return keyed.join(several, "__key", "left_anti").select(*order).unionByName(first.select("p.url", "final_url", *(F.col(f"p.{c}") for c in rest)).select(*order))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """Pages with `content` and `title`, null where there is none."""
-    return pages.withColumns({"content": H.main_text(F.col("html")), "title": H.title(F.col("html"))}).drop("html")
+    """Pages with `content` and `title`, null where there is none.
+
+    The bare page and what is found in it come out of generators, which the optimiser doesn't look through, so that
+    each is computed once however often it is used afterwards."""
+    rest = [c for c in pages.columns if c not in ("html", "content", "title")]
+    stripped = pages.select(*rest, F.inline(F.array(F.struct(H.bare(F.col("html")).alias("__bare")))))
+    found = F.struct(H.main_text_of(F.col("__bare")).alias("content"), H.title_of(F.col("__bare")).alias("title"))
+    return stripped.select(*rest, F.inline(F.array(found)))
 
 
 def metadata(content: Column, url: Column, final_url: Column, breed: Column | None = None, registry: Column | None = None) -> Column:

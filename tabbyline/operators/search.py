@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tabbyline.functions.vectors import cosine
 from tabbyline.session import ensure_shipped
 
-#: Most queries of a batch search; more have to be asked in several calls.
-MAX_QUERIES = 4_096
+#: Up to so many queries travel with the tasks; more are met with the points block by block.
+SHIPPED_QUERIES = 4_096
+#: Rows of a block of queries and of a block of points.
+QUERY_BLOCK, POINT_BLOCK = 4_096, 65_536
 
 
 def search(points: DataFrame, query: Sequence[float], k: int = 5, where: Column | None = None, key: str = "point_id", vector: str = "vector") -> DataFrame:
@@ -27,43 +29,82 @@ def search(points: DataFrame, query: Sequence[float], k: int = 5, where: Column
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def search_batch(points: DataFrame, queries: Sequence[tuple[object, Sequence[float]]], k: int = 5, key: str = "point_id", vector: str = "vector", key_type: str = "string", query_type: str = "bigint", digits: int = 9) -> DataFrame:
-    """`(query_id, key, score, rank)` of the `k` points most similar to each of a stated set of queries.
-
-    The queries, at most `MAX_QUERIES`, travel with the task; points are scored in blocks by one matrix
-    product, each batch keeps its best `k` for each query, and the best of those are ranked. Scores are
-    rounded to `digits` before ranking, ties go by key. Vectors of zeros or another length are left out."""
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"{len(queries)} queries, at most {MAX_QUERIES} a call")
-    ensure_shipped(points.sparkSession)
-    ids = [q for q, _ in queries]
-    matrix = np.asarray([v for _, v in queries], np.float64).reshape(len(queries), -1)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    dim = matrix.shape[1]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = [v is not None and len(v) == dim for v in batch["v"]]
-            part = batch[good]
-            if not len(part) or not len(ids):
-                continue
-            x = np.stack(part["v"].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(x, axis=1)
-            alive = np.isfinite(norms) & (norms > 0)
-            x, keys = x[alive] / norms[alive, None], part["k"].to_numpy()[alive]
-            if not len(x):
-                continue
-            s = np.round(matrix @ x.T, digits)
-            n = min(k, len(x))
-            at = np.argsort(keys, kind="stable")
-            best = at[np.argsort(-s[:, at], axis=1, kind="stable")[:, :n]]
-            yield pd.DataFrame({"query_id": np.repeat(np.array(ids, dtype=object), n), "k": keys[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
-
-    found = points.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(score, f"query_id {query_type}, k {key_type}, score double")
+def search_batch(points: DataFrame, queries: DataFrame | Sequence[tuple[object, Sequence[float]]], k: int = 5, key: str = "point_id", vector: str = "vector", key_type: str = "string", query_type: str = "bigint", digits: int = 9) -> DataFrame:
+    """`(query_id, key, score, rank)` of the `k` points most similar to each of a set of queries: a list of id and
+    vector, or a table whose first two columns are these.
+
+    Points are scored in blocks by one matrix product, each block keeps its best `k` for each query, and the best of
+    those are ranked. Up to `SHIPPED_QUERIES` travel with the tasks, and points stay where they are. Any number more are
+    cut into blocks that meet the blocks of points; none is ever collected. Scores are rounded to `digits` before
+    ranking, ties go by key. Vectors of zeros or another length than the point's are left out."""
+    spark = points.sparkSession
+    ensure_shipped(spark)
+    sides = points.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    schema = f"query_id {query_type}, k {key_type}, score double"
+    if isinstance(queries, DataFrame):
+        asked = queries.toDF("k", "v").select(F.col("k").cast(query_type), F.col("v").cast("array<double>"))
+        first = asked.limit(SHIPPED_QUERIES + 1).collect()  # bounded
+        listed = None if len(first) > SHIPPED_QUERIES else [(r["k"], r["v"]) for r in first]
+    else:
+        listed = list(queries) if len(queries) <= SHIPPED_QUERIES else None
+        asked = None if listed is not None else spark.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], f"k {query_type}, v array<double>")
+    if listed is not None:
+        ids, matrix = _unit([q for q, _ in listed], [v for _, v in listed])
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield from _best(ids, matrix, *_unit(batch["k"], batch["v"]), k, digits)
+
+        found = sides.mapInPandas(score, schema)
+    else:
+        found = _in_blocks(sides, asked, k, digits, schema)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "k")))
     return ranked.filter(F.col("rank") <= k).withColumnRenamed("k", key)
 
 
+def _unit(keys: Sequence, vectors: Sequence) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys and unit vectors; those that are null, not finite or zero have no vector."""
+    units = []
+    for v in vectors:
+        x = np.asarray([] if v is None else v, np.float64)
+        norm = np.linalg.norm(x)
+        units.append(x / norm if np.isfinite(norm) and norm > 0 else None)
+    return np.array(list(keys), dtype=object), units
+
+
+def _best(ids: np.ndarray, asked: list[np.ndarray], keys: np.ndarray, held: list[np.ndarray], k: int, digits: int) -> Iterator[pd.DataFrame]:
+    """The best `k` of the held vectors for each asked one of the same length."""
+    for dim in {len(v) for v in asked if v is not None}:
+        q = [n for n, v in enumerate(asked) if v is not None and len(v) == dim]
+        p = [n for n, v in enumerate(held) if v is not None and len(v) == dim]
+        if not p:
+            continue
+        scores = np.round(np.stack([asked[n] for n in q]) @ np.stack([held[n] for n in p]).T, digits)
+        names = keys[p]
+        order = np.argsort(names, kind="stable")
+        n = min(k, len(p))
+        best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :n]]
+        yield pd.DataFrame({"query_id": np.repeat(ids[q], n), "k": names[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
+
+
+def _in_blocks(points: DataFrame, queries: DataFrame, k: int, digits: int, schema: str) -> DataFrame:
+    """Each block of queries against each block of points; the copies of a side are as many as the other has blocks."""
+    n, m = queries.count(), points.count()
+    qn, pn = max(1, -(-n // QUERY_BLOCK)), max(1, -(-m // POINT_BLOCK))
+
+    def side(df: DataFrame, own: str, blocks: int, other: str, copies: int) -> DataFrame:
+        spread = df.withColumn(own, F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+        return spread.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    q, x = side(queries, "qb", qn, "pb", pn).groupBy("qb", "pb"), side(points, "pb", pn, "qb", qn).groupBy("qb", "pb")
+
+    def meet(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = list(_best(*_unit(asked["k"], asked["v"]), *_unit(held["k"], held["v"]), k, digits))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "k": [], "score": []})
+
+    return q.cogroup(x).applyInPandas(meet, schema)
+
+
 def hits(found: DataFrame, length: int = 200) -> DataFrame:
     """The report of a search: rank, score to four digits, source, title and the beginning of the text."""
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "point_id"))  # of k rows

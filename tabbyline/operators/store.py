@@ -1,16 +1,20 @@
-"""A collection of points in versioned Parquet: create, upsert, read."""
+"""A collection of points in versioned, bucketed Parquet: create, replace, upsert, read, expire."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabbyline.functions.text import uuid5
 from tabbyline.functions.vectors import usable
 from tabbyline.schema import POINT
+from tabbyline.session import materialise
+
+#: Buckets of a new collection; each is rewritten as a whole when a point of it comes.
+BUCKETS = 64
 
 
 def payload(chunks: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -40,8 +44,17 @@ def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     return last.select(*(F.col(key) if c == key else F.col("__last")[c].alias(c) for c in df.columns))
 
 
+class ConflictError(RuntimeError):
+    """Another writer published a state first."""
+
+
 class Collection:
-    """A table of points below `path`, one folder a version and a small file that names the current one."""
+    """A table of points below `path`.
+
+    Points lie in buckets by the hash of their id; a version folder holds the buckets that one write has touched. A
+    state file, numbered and never changed, says which version each bucket is to be read from; the highest number
+    is current. It is staged, then renamed to a name that mustn't exist: readers see the old state or the new one, a
+    writer that breaks off leaves the old one, and of two writers one fails with a `ConflictError` and tries again."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -53,51 +66,108 @@ class Collection:
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def _state(self) -> dict | None:
-        at = self._at("current.json")
+    def _numbers(self) -> list[int]:
+        """Numbers of the published states, in order."""
+        at = self._at("states")
         if not self._fs.exists(at):
-            return None
-        rows = self.spark.read.text(f"{self.path}/current.json").collect()
-        return json.loads(rows[0][0])
-
-    def _publish(self, state: dict) -> None:
-        staged = self._at(f"_{uuid.uuid4().hex}.json")
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("_"))
+
+    def _state(self, number: int | None = None) -> dict | None:
+        if number is None:
+            numbers = self._numbers()
+            if not numbers:
+                return None
+            number = numbers[-1]
+        source = self._fs.open(self._at(f"states/{number:012d}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")) | {"number": number}
+        finally:
+            source.close()
+
+    def _publish(self, state: dict, number: int) -> None:
+        staged, target = self._at(f"states/_{uuid.uuid4().hex}"), self._at(f"states/{number:012d}.json")
         out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps(state).encode()))
+        out.write(bytearray(json.dumps({k: v for k, v in state.items() if k != "number"}).encode()))
         out.close()
-        self._fs.delete(self._at("current.json"), False)
-        self._fs.rename(staged, self._at("current.json"))
-
-    def create(self, dim: int = 384, recreate: bool = False) -> None:
-        """Make an empty collection for vectors of `dim` values. An existing one is kept unless `recreate`."""
-        if recreate:
-            self._fs.delete(self._root, True)
-        elif self._state() is not None:
-            return
-        self._fs.mkdirs(self._root)
-        version = uuid.uuid4().hex
-        self.spark.createDataFrame([], POINT).write.parquet(f"{self.path}/{version}")
-        self._publish({"version": version, "dim": dim, "distance": "cosine"})
+        if self._fs.exists(target) or not self._fs.rename(staged, target):
+            self._fs.delete(staged, False)
+            raise ConflictError(f"state {number} of {self.path} was published by another writer")
 
-    def points(self) -> DataFrame:
+    def create(self, dim: int = 384, recreate: bool = False, buckets: int = BUCKETS) -> None:
+        """Make an empty collection for vectors of `dim` values. An existing one is kept unless `recreate`, which
+        publishes an empty state beside the old ones."""
+        state = self._state()
+        if state is None or recreate:
+            self._publish({"dim": dim, "distance": "cosine", "buckets": buckets, "versions": {}}, (state["number"] if state else 0) + 1)
+
+    def _current(self) -> dict:
         state = self._state()
         if state is None:
             raise FileNotFoundError(f"no collection at {self.path}")
-        return self.spark.read.schema(POINT).parquet(f"{self.path}/{state['version']}")
+        return state
 
-    def upsert(self, chunks: DataFrame, batch: int = 0) -> dict[str, int]:
-        """Write chunks that have a usable vector; the last of equal ids wins. Counts are of rows sent, of
-        distinct points, and of rows left out for want of a vector.
+    def _read(self, state: dict, buckets: list[str] | None = None) -> DataFrame:
+        held = {b: v for b, v in state["versions"].items() if buckets is None or b in buckets}
+        if not held:
+            return self.spark.createDataFrame([], POINT)
+        return self.spark.read.schema(POINT).parquet(*(f"{self.path}/{v}/bucket={b}" for b, v in held.items()))
 
-        The new version is written beside the old one and then named current, so readers never see half."""
-        state = self._state()
-        new = payload(chunks, ("created_at",)) if "created_at" in chunks.columns else payload(chunks).withColumn("created_at", F.lit(None).cast("timestamp"))
-        good = usable(F.col("vector"), state["dim"])
-        ranked = new.filter(good).withColumn("__new", F.lit(1))
-        old = self.points().withColumns({"created_at": F.lit(None).cast("timestamp"), "__new": F.lit(0)})
-        merged = latest(old.unionByName(ranked), "point_id", "__new", "created_at").select(*POINT.fieldNames())
-        version = uuid.uuid4().hex
-        merged.write.parquet(f"{self.path}/{version}")
-        counts = new.agg(F.count_if(good).alias("sent"), F.count_distinct(F.when(good, F.col("point_id"))).alias("distinct"), F.count_if(~good).alias("skipped"))
-        self._publish({**state, "version": version})
-        return counts.first().asDict()
+    def points(self) -> DataFrame:
+        return self._read(self._current())
+
+    def upsert(self, chunks: DataFrame, batch: int = 100, attempts: int = 3) -> dict[str, int]:
+        """Write chunks that have a usable vector; the last of equal ids wins. Only touched buckets are written again.
+
+        Counts are of rows sent and of the batches of `batch` rows they make, of distinct points, and of rows left out for
+        want of a vector; all are observed while writing."""
+        return self._write(chunks, batch, attempts, False)
+
+    def replace(self, chunks: DataFrame, dim: int, batch: int = 100) -> dict[str, int]:
+        """Put these chunks in the place of all points: until they are written and published, the old ones are read."""
+        return self._write(chunks, batch, 1, True, dim)
+
+    def _write(self, chunks: DataFrame, batch: int, attempts: int, fresh: bool, dim: int | None = None) -> dict[str, int]:
+        state = self._state() or ({"dim": dim, "distance": "cosine", "buckets": BUCKETS, "versions": {}, "number": 0} if fresh else self._current())
+        dim = dim or state["dim"]
+        told = Observation()
+        extra = ("created_at",) if "created_at" in chunks.columns else ()
+        new = payload(chunks, extra)
+        new = new if extra else new.withColumn("created_at", F.lit(None).cast("timestamp"))
+        good = usable(F.col("vector"), dim)
+        seen = new.observe(told, F.count_if(good).alias("sent"), F.count_if(~good).alias("skipped"))
+        bucket = F.pmod(F.xxhash64("point_id"), F.lit(state["buckets"])).cast("int").alias("bucket")
+        staged = materialise(latest(seen.filter(good), "point_id", "created_at").select("*", bucket), "upsert")
+        touched = {str(r["bucket"]): r["count"] for r in staged.groupBy("bucket").count().collect()}  # at most one row a bucket
+        for attempt in range(attempts):
+            version = uuid.uuid4().hex
+            points = staged.select(*POINT.fieldNames()).withColumn("__new", F.lit(1))
+            if not fresh:
+                points = self._read(state, list(touched)).withColumn("__new", F.lit(0)).unionByName(points)
+                points = latest(points, "point_id", "__new")
+            if touched:
+                points.select(*POINT.fieldNames(), bucket).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
+            versions = {} if fresh else state["versions"]
+            try:
+                self._publish({**state, "dim": dim, "versions": {**versions, **dict.fromkeys(touched, version)}}, state["number"] + 1)
+                break
+            except ConflictError:
+                self._fs.delete(self._at(version), True)
+                if attempt + 1 == attempts:
+                    raise
+                state = self._current()
+        sent = told.get["sent"]
+        return {"sent": sent, "distinct": sum(touched.values()), "skipped": told.get["skipped"], "batches": -(-sent // batch), "last_batch": (sent - 1) % batch + 1 if sent else 0}
+
+    def expire(self, keep: int = 1) -> int:
+        """Delete all states but the last `keep`, and versions that none of those reads; how many versions went. To be
+        called when no reader of an older state is left."""
+        numbers = self._numbers()
+        kept = {v for n in numbers[-keep:] for v in self._state(n)["versions"].values()}
+        for n in numbers[:-keep]:
+            self._fs.delete(self._at(f"states/{n:012d}.json"), False)
+        gone = [f.getPath() for f in self._fs.listStatus(self._root) if f.getPath().getName() not in kept | {"states"}]
+        for at in gone:
+            self._fs.delete(at, True)
+        return len(gone)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabbyline import schema
@@ -9,7 +11,7 @@ from tabbyline.config import ChunkingConfig
 from tabbyline.functions import text as T
 from tabbyline.functions import vectors as V
 from tabbyline.operators import chunk, embed, metrics, store, validate
-from tabbyline.plans.base import query
+from tabbyline.plans.base import WS, query
 from tabbyline.session import shared_dir, table
 
 _LIST = lambda names: ", ".join(f"'{n}'" for n in names)
@@ -97,23 +99,30 @@ def embed_normalize(spark, d):
 )
 def upsert_merge(spark, d):
     """Two upserts of the same chunks leave each point once, the latest one."""
-    import uuid
-
     chunks = table(spark, d, "chunks")
-    c = store.Collection(spark, f"{shared_dir(spark)}/tabbyline/collection-{uuid.uuid4().hex}")
-    c.create(dim=64)
+    c = _collection(spark)
     c.upsert(chunks.filter(F.col("chunk_index") % 2 == 0))
     c.upsert(chunks)
     return c.points().select("point_id", "chunk_id", "token_count")
 
 
+def _collection(spark):
+    c = store.Collection(spark, f"{shared_dir(spark)}/tabbyline/collection-{uuid.uuid4().hex}")
+    c.create(dim=64)
+    return c
+
+
+_GOOD = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+
 @query(
-    """SELECT (count(DISTINCT id))::BIGINT AS distinct_points, count(*) AS sent FROM chunks
-       WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
+    f"""SELECT count(DISTINCT id) FILTER (WHERE {_GOOD}) AS distinct_points, count(*) FILTER (WHERE {_GOOD}) AS sent,
+        count(*) FILTER (WHERE NOT coalesce({_GOOD}, false)) AS skipped FROM chunks"""
 )
 def upsert_counts(spark, d):
-    good = table(spark, d, "chunks").filter(V.usable(F.col("embedding"), 64))
-    return good.agg(F.count_distinct("id").alias("distinct_points"), F.count("*").alias("sent"))
+    """What an upsert of all chunks reports."""
+    told = _collection(spark).upsert(table(spark, d, "chunks"))
+    return spark.createDataFrame([(told["distinct"], told["sent"], told["skipped"])], "distinct_points bigint, sent bigint, skipped bigint")
 
 
 @query()
@@ -122,6 +131,29 @@ def chunk_recursive(spark, d):
     return chunk.chunk_documents(docs, ChunkingConfig()).select("id", "document_id", "chunk_index", "token_count", "metadata.total_chunks", "content")
 
 
+_BARE = rf"regexp_replace(content, '[{WS}]+', '', 'g')"
+
+
+@query(f"SELECT id AS document_id, md5({_BARE}) AS text, 0 AS out_of_place FROM (SELECT DISTINCT id, content FROM source_documents) WHERE {_BARE} <> ''")
+def chunk_cover(spark, d):
+    """Chunks without overlap, put together again: each document's text but for white space, none lost, added or out of place."""
+    docs = table(spark, d, "source_documents").filter(F.col("content").isNotNull()).select("id", "source", "url", "title", "content_type", "content").dropDuplicates(["id", "content"])
+    cut = chunk.chunk_documents(docs, ChunkingConfig(chunk_overlap=0))
+    whole = cut.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c"), F.max("metadata.total_chunks").alias("n"))
+    text = F.regexp_replace(F.array_join("c.content", ""), f"[{WS}]+", "")
+    places = F.zip_with("c.chunk_index", F.sequence(F.lit(0), F.col("n") - 1), lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1))
+    return whole.select("document_id", F.md5(text).alias("text"), F.aggregate(places, F.lit(0), lambda x, y: x + y).alias("out_of_place"))
+
+
+@query("SELECT count(*) FILTER (WHERE false) AS over_size, count(DISTINCT id) AS documents FROM source_documents WHERE regexp_matches(content, '[^" + WS + "]')")
+def chunk_sizes(spark, d):
+    """Chunks over the bound of valid chunks by the exact count of tokens, which there are none of, and documents that have
+    chunks. (The size itself is kept by the sum over parts, which joined may count a few tokens more.)"""
+    docs = table(spark, d, "source_documents").filter(F.col("content").isNotNull())
+    cut = chunk.chunk_documents(docs, ChunkingConfig())
+    return cut.agg(F.count_if(F.col("token_count") > schema.MAX_CHUNK_TOKENS).alias("over_size"), F.count_distinct("document_id").alias("documents"))
+
+
 @query()
 def chunk_embed(spark, d):
     docs = table(spark, d, "source_documents").filter(F.col("content").isNotNull())
@@ -138,6 +170,17 @@ def experiment_metrics(spark, d):
     return metrics.metric_rows(s, "baseline")
 
 
+@query(
+    """SELECT 'baseline' AS run, * FROM (VALUES ('param', 'chunk_size', '512'), ('param', 'chunk_overlap', '50'), ('tag', 'stage', 'chunking')) t(kind, key, value)
+       UNION ALL SELECT 'baseline', 'metric', 'documents', count(DISTINCT document_id)::VARCHAR FROM chunks"""
+)
+def experiment_run(spark, d):
+    """A whole record of a run: parameters and tags beside what was measured."""
+    config = ChunkingConfig()
+    measured = table(spark, d, "chunks").agg(F.count_distinct("document_id").alias("documents"))
+    return metrics.run_rows(measured, "baseline", {"chunk_size": config.chunk_size, "chunk_overlap": config.chunk_overlap}, {"stage": "chunking"})
+
+
 @query("""SELECT c.id, s.title FROM chunks c JOIN (SELECT id, min(title) AS title FROM source_documents GROUP BY id) s ON c.document_id = s.id""")
 def chunk_document_join(spark, d):
     titles = table(spark, d, "source_documents").groupBy("id").agg(F.min("title").alias("title")).withColumnRenamed("id", "document_id")
@@ -149,12 +192,11 @@ def chunk_sample(spark, d):
     return table(spark, d, "chunks").select("id", F.left("content", F.lit(400)).alias("sample")).orderBy("id", "sample").limit(1)
 
 
-@query("SELECT ceil(count(*) / 100)::BIGINT AS batches, (count(*) - 100 * floor((count(*) - 1) / 100))::BIGINT AS last_batch FROM chunks")
+@query(f"SELECT ceil(count(*) / 100)::BIGINT AS batches, (count(*) - 100 * floor((count(*) - 1) / 100))::BIGINT AS last_batch FROM chunks WHERE {_GOOD}")
 def upsert_batches(spark, d):
     """How many batches of a hundred an upsert sends, and the rows of the last."""
-    n = F.col("n")
-    sent = table(spark, d, "chunks").agg(F.count("*").alias("n"))
-    return sent.select(F.ceil(n / 100).alias("batches"), (n - 100 * F.floor((n - 1) / 100)).alias("last_batch"))
+    told = _collection(spark).upsert(table(spark, d, "chunks"), 100)
+    return spark.createDataFrame([(told["batches"], told["last_batch"])], "batches bigint, last_batch bigint")
 
 
 @query("SELECT id, metadata.title AS title, source, content_type FROM chunks WHERE token_count BETWEEN 1 AND 2048 AND source = 'merck_vet_manual' AND content_type = 'disease'")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabbyline import schema
 from tabbyline.functions import text as T
-from tabbyline.operators import ingest, quality, validate
+from tabbyline.operators import ingest, links, quality, validate
 from tabbyline.plans.base import WS, query, strip_sql
-from tabbyline.session import table
+from tabbyline.session import shared_dir, table
+from tabbyline.sources import corpus
 
 _LIST = lambda names: ", ".join(f"'{n}'" for n in names)
 _SOURCES, _TYPES = _LIST(schema.DATA_SOURCES), _LIST(schema.CONTENT_TYPES)
@@ -217,6 +220,34 @@ def record_json(spark, d):
     return _docs(spark, d).select("id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
 
 
+_JSON_OK = f"""id IS NOT NULL AND source IN ({_SOURCES}) AND url IS NOT NULL AND length(title) BETWEEN 1 AND 500 AND length(content) >= 50 AND content_type IN ({_TYPES})"""
+
+
+def _loaded(spark, d):
+    """The corpus written as JSON records, and read again through the checks of the corpus reader."""
+    path = f"{shared_dir(spark)}/tabbyline/corpus-{uuid.uuid4().hex}"
+    corpus.write_documents(_docs(spark, d), path)
+    return corpus.read_corpus(spark, path, quarantine=True)
+
+
+@query(f"SELECT id, source, url, title, md5(content) AS content, content_type, epoch_us(scraped_at) AS scraped, metadata.word_count AS word_count FROM source_documents WHERE coalesce({_JSON_OK}, false)")
+def corpus_json(spark, d):
+    good, _ = _loaded(spark, d)
+    return good.select("id", "source", "url", "title", F.md5("content").alias("content"), "content_type", F.unix_micros("scraped_at").alias("scraped"), "metadata.word_count")
+
+
+@query(f"SELECT id, content IS NULL AS empty FROM source_documents WHERE NOT coalesce({_JSON_OK}, false)")
+def corpus_json_rejects(spark, d):
+    _, bad = _loaded(spark, d)
+    return bad.select("id", F.col("content").isNull().alias("empty"))
+
+
+@query("SELECT name, 'https://x.example/breed/' || slug || '/' AS url FROM (VALUES ('Birman', 'birman'), ('Maine Coon', 'maine-coon'), ('Sphynx', 'sphynx')) t(name, slug)")
+def seed_urls(spark, d):
+    """A stated list of pages (the operator reads no table)."""
+    return links.seed_urls(spark, [("Birman", "birman"), ("Maine Coon", "maine-coon"), ("Sphynx", "sphynx")], "https://x.example")
+
+
 @query("SELECT DISTINCT url FROM source_documents INTERSECT SELECT url FROM pages")
 def urls_with_page(spark, d):
     return _docs(spark, d).select("url").intersect(table(spark, d, "pages").select("url"))

@@ -10,21 +10,23 @@ from tabbyline.operators import ingest, links
 from tabbyline.plans.base import decode_sql, query, strip_sql
 from tabbyline.session import table
 
-_BARE = (
-    r"regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>', '', 'g'),"
-    r" '(?s)<!--.*?-->', '', 'g')"
-)
+def _without(x: str, *tags: str) -> str:
+    """`x` without elements of these names. SQL has no back-references: one name after the other, none nested."""
+    for tag in tags:
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
+    return x
+
+
+_BARE = f"regexp_replace({_without('html', 'script', 'style', 'noscript', 'template')}, '(?s)<!--.*?-->', '', 'g')"
 
 
 def _tagless(x: str) -> str:
     return decode_sql(f"regexp_replace({x}, '(?s)<[^>]+>', '', 'g')")
 
 
-_INNER = rf"regexp_extract({_BARE}, '(?is)<body\b[^>]*>(.*)', 1)"
 _WHOLE = rf"regexp_replace({_BARE}, '(?is)<head\b[^>]*>.*?</head\s*>|<!doctype[^>]*>', '', 'g')"
-_BODY = rf"regexp_replace(CASE WHEN {_INNER} <> '' THEN {_INNER} ELSE {_WHOLE} END, '(?is)<(nav|footer|aside|header|form)\b[^>]*>.*?</(nav|footer|aside|header|form)\s*>', '', 'g')"
-_ARTICLE = rf"regexp_extract({_BARE}, '(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)\s*>', 1)"
-_CHOSEN = f"CASE WHEN {_ARTICLE} <> '' THEN {_ARTICLE} ELSE {_BODY} END"
+_PARTS = ", ".join(rf"nullif(regexp_extract({_BARE}, '(?is)<{part}', 1), '')" for part in (r"article\b[^>]*>(.*)</article\s*>", r"main\b[^>]*>(.*)</main\s*>", r"body\b[^>]*>(.*)"))
+_CHOSEN = _without(f"coalesce({_PARTS}, {_WHOLE})", "nav", "footer", "aside", "header", "form")
 _LINED = (
     rf"regexp_replace(regexp_replace({_CHOSEN}, '(?i)</?(p|br|div|h1|h2|h3|h4|li|ul|ol|tr|table|section|article)\b[^>]*>', chr(10), 'g'),"
     r" '(?i)</(td|th)\s*>', chr(9), 'g')"
@@ -82,64 +84,85 @@ def ingest_quarantine(spark, d):
     return bad.select("url", "reason")
 
 
-#: Index pages with every kind of link, for the discovery operators (pages of the tables hold few links).
+#: Pages of the tables hold no links, so each document makes an index page of its own: its heading, a link to it, and
+#: links of the other kinds made of its address.
 _BASE = "https://feline-health.example"
-_LINKS = (
-    "/topics/asthma", "/topics/fleas?x=1", "/topics/asthma", "/topics", "/node/17", "/health-information/diet", "/health-information/diet/more", "/health-information/",
-    "/about", "#top", "mailto:a@b.example", "tel:123", "//other.example/topics/x", "https://feline-health.example/topics/mites", "https://youtube.com/topics/v", "node/18", "/catwatch/node/9",
-)
-_INDEX = "<html><body><h2>Topics</h2><h3><a href='/x'>Linked</a></h3><h4>Plain &amp; simple</h4>" + "".join(f"<a class='l' href='{h}'> Link <b>{n}</b> </a>" for n, h in enumerate(_LINKS)) + "</body></html>"
 _POLICY = links.LinkPolicy(_BASE, f"{_BASE}/topics", (f"{_BASE}/about",), ("/catwatch",))
-_URL = f"CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN '{_BASE}' || href WHEN href = '' THEN '{_BASE}' ELSE '{_BASE}/' || href END"
-_SEEN = f"""(SELECT place, href, 'Link ' || place AS text, {_URL} AS url FROM (SELECT unnest(range({len(_LINKS)})) AS place, unnest([{', '.join(f"'{h}'" for h in _LINKS)}]) AS href))"""
-_WANTED = rf"""starts_with(url, '{_BASE}/') AND NOT regexp_matches(url, '#|youtube\.com|mailto:|tel:|/catwatch') AND url NOT IN ('{_BASE}/topics', '{_BASE}/about')
-  AND (contains(url, '/topics/') OR contains(url, '/node/') OR regexp_matches(url, '/health-information/[^/]+$'))"""
+_SLUG = "list_extract(string_split(rtrim(url, '/'), '/'), -1)"
+#: Parts of a link's address around the slug of the document.
+_FORMS = (
+    ("/topics/", ""), ("/topics/", "?x=1"), ("/node/", ""), ("/health-information/", ""), ("/health-information/", "/more"), ("/about#", ""), ("mailto:", "@b.example"),
+    ("//other.example/topics/", ""), ("https://feline-health.example/topics/", ""), ("https://youtube.com/topics/", ""), ("node/", ""), ("/catwatch/node/", ""),
+)
+
 
+def _index(spark, d):
+    docs = table(spark, d, "source_documents").filter(F.col("url").isNotNull() & F.col("title").isNotNull()).select("source", "url", "title").distinct()
+    slug = F.element_at(F.split(F.rtrim(F.col("url"), F.lit("/")), "/"), -1)
+    name = F.replace(F.replace(F.col("title"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    parts = [F.lit("<html><body><h2>"), name, F.lit("</h2><h3><a href='/x'>Linked</a></h3><h4>Plain &amp; simple</h4>")]
+    for n, (before, after) in enumerate(_FORMS):
+        parts += [F.lit(f"<a class='l' href='{before}"), slug, F.lit(f"{after}'> Link <b>{n}</b> </a>")]
+    return docs.select("url", F.concat(*parts, F.lit("</body></html>")).alias("html")).withColumnRenamed("url", "site")
 
-def _index(spark):
-    return spark.createDataFrame([(_INDEX,)], "html string")
 
+_DOCS = f"(SELECT DISTINCT source, url AS site, title, {_SLUG} AS slug FROM source_documents WHERE url IS NOT NULL AND title IS NOT NULL)"
+_HREF = "CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN '%s' || href WHEN href = '' THEN '%s' ELSE '%s/' || href END" % ((_BASE,) * 3)
+_SEEN = f"""(SELECT site, place, href, text, {_HREF} AS url FROM (
+  SELECT site, 0 AS place, '/x' AS href, 'Linked' AS text FROM {_DOCS}
+  UNION ALL SELECT site, n + 1, b || slug || a, 'Link ' || n FROM {_DOCS}, (VALUES {', '.join(f"({n}, '{b}', '{a}')" for n, (b, a) in enumerate(_FORMS))}) t(n, b, a)))"""
+_WANTED = rf"""starts_with(url, '{_BASE}/') AND NOT regexp_matches(url, '#|youtube\.com|mailto:|tel:|/catwatch') AND url NOT IN ('{_BASE}/topics', '{_BASE}/about')
+  AND (contains(url, '/topics/') OR contains(url, '/node/') OR regexp_matches(url, '/health-information/[^/]+$'))"""
 
-@query(f"""SELECT 'x' AS site, 0 - 1 AS place, '/x' AS href, 'Linked' AS text, '{_BASE}/x' AS url UNION ALL SELECT 'x', place, href, text, url FROM {_SEEN}""")
+
+@query(f"SELECT site, place::BIGINT AS place, href, text, url FROM {_SEEN}")
 def page_links(spark, d):
-    found = links.page_links(_index(spark).withColumn("site", F.lit("x")), _BASE)
-    return found.withColumn("place", F.col("place").cast("bigint") - 1)
+    return links.page_links(_index(spark, d), _BASE).withColumn("place", F.col("place").cast("bigint"))
 
 
-@query(f"SELECT DISTINCT url FROM {_SEEN} WHERE {_WANTED} ORDER BY url")
+@query(f"SELECT DISTINCT url FROM {_SEEN} WHERE {_WANTED}")
 def page_link_filter(spark, d):
-    return links.article_urls(_index(spark), _POLICY)
+    return links.article_urls(_index(spark, d), _POLICY)
 
 
-@query(f"""SELECT DISTINCT text, url, CASE WHEN contains(url, '/topics/') AND url <> '{_BASE}/topics' THEN 'CAUGHT' ELSE 'MISSED' END AS marker
-           FROM (SELECT text, url FROM {_SEEN} UNION ALL SELECT 'Linked', '{_BASE}/x')""")
+@query(f"SELECT DISTINCT text, url, CASE WHEN contains(url, '/topics/') AND url <> '{_BASE}/topics' THEN 'CAUGHT' ELSE 'MISSED' END AS marker FROM {_SEEN}")
 def page_link_labels(spark, d):
-    return links.link_audit(_index(spark), _POLICY)
+    return links.link_audit(_index(spark, d), _POLICY)
 
 
-@query(f"SELECT count(*) AS links, count_if(contains(url, 'feline-health.example')) AS host_links FROM (SELECT DISTINCT text, url FROM (SELECT text, url FROM {_SEEN} UNION ALL SELECT 'Linked', '{_BASE}/x'))")
+@query(f"SELECT count(*) AS links, count_if(contains(url, 'feline-health.example')) AS host_links FROM (SELECT DISTINCT text, url FROM {_SEEN})")
 def page_link_counts(spark, d):
-    return links.link_counts(_index(spark), _BASE, "feline-health.example")
+    return links.link_counts(_index(spark, d), _BASE, "feline-health.example")
 
 
-@query("SELECT * FROM (VALUES (0, 'h2', 'Topics', 'TEXT'), (1, 'h3', 'Linked', 'LINKED'), (2, 'h4', 'Plain & simple', 'TEXT')) t(place, tag, text, label)")
+@query(f"""SELECT site, place::BIGINT AS place, tag, text, label FROM (SELECT site, 0 AS place, 'h2' AS tag, {strip_sql('title')} AS text, 'TEXT' AS label FROM {_DOCS}
+           UNION ALL SELECT site, 1, 'h3', 'Linked', 'LINKED' FROM {_DOCS} UNION ALL SELECT site, 2, 'h4', 'Plain & simple', 'TEXT' FROM {_DOCS})""")
 def page_headings(spark, d):
-    return links.page_headings(_index(spark))
+    return links.page_headings(_index(spark, d)).withColumn("place", F.col("place").cast("bigint"))
+
 
+_SEEDS = "(SELECT DISTINCT name, url FROM breed_seeds WHERE name IS NOT NULL AND url IS NOT NULL)"
 
-@query("SELECT * FROM (VALUES ('Abyssinian', 'https://w.example/wiki/Abyssinian'), ('Café Cat', 'https://w.example/wiki/Cafe')) t(name, url)")
+
+@query(rf"""SELECT {strip_sql(rf"regexp_replace({strip_sql('name')}, '\[\d+\]', '', 'g')")} AS name, 'https://w.example/wiki/' || md5(url) AS url FROM {_SEEDS}""")
 def breed_table(spark, d):
-    page = (
-        "<table class='wikitable sortable'><tr><th>Breed</th></tr><tr><td><a href='/wiki/Abyssinian'>Abyssinian</a>[1] </td><td>x</td></tr><tr><td>none</td></tr>"
-        "<tr><th> <a href='/wiki/Cafe'>Café Cat</a></th></tr><tr><td><a href='/other'>y</a></td></tr></table>"
-    )
-    return links.breed_links(spark.createDataFrame([(page,)], "html string"), "https://w.example")
+    """Each breed in a table of its own, beside a row without and a row with another link."""
+    name = F.replace(F.replace(F.col("name"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    rows = (F.lit("<table class='wikitable sortable'><tr><th>Breed</th></tr><tr><td><a href='/wiki/"), F.md5("url"), F.lit("'>"), name,
+            F.lit("</a> </td><td>x</td></tr><tr><td>none</td></tr><tr><td><a href='/other'>y</a></td></tr></table>"))
+    seeds = table(spark, d, "breed_seeds").filter(F.col("name").isNotNull() & F.col("url").isNotNull()).select("name", "url").distinct()
+    return links.breed_links(seeds.select(F.concat(*rows).alias("html")), "https://w.example")
+
+
+#: Pages stand in for breed pages: named after the last part of their address.
+_NAMED = "(SELECT DISTINCT url, upper(list_extract(string_split(trim(url, '/'), '/'), -1)) AS name FROM pages WHERE error IS NULL AND url IS NOT NULL)"
 
 
 @query(f"""SELECT b.name, 'cfa_' || regexp_replace(replace(lower(b.name), ' ', '-'), '[^a-z0-9-]', '', 'g') AS id, b.name || ' - CFA Breed Profile' AS title
-           FROM (SELECT p.url, {_MAIN} AS content FROM pages p WHERE error IS NULL AND html IS NOT NULL) p JOIN (SELECT DISTINCT name, url FROM breed_seeds WHERE url IS NOT NULL) b USING (url) WHERE {_GOOD}""")
+           FROM (SELECT p.url, {_MAIN} AS content FROM pages p WHERE error IS NULL AND html IS NOT NULL) p JOIN {_NAMED} b USING (url) WHERE {_GOOD}""")
 def breed_pages(spark, d):
-    seeds = table(spark, d, "breed_seeds").filter(F.col("url").isNotNull()).select("name", "url").distinct()
+    named = table(spark, d, "pages").filter(F.col("error").isNull() & F.col("url").isNotNull())
+    seeds = named.select(F.upper(T.url_slug(F.col("url"))).alias("name"), "url").distinct()
     found = ingest.breed_documents(table(spark, d, "pages"), seeds, "cfa_breed_profiles", "cfa_", " - CFA Breed Profile", "CFA")
     return found.select(F.col("metadata.breed_name").alias("name"), "id", "title")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from tabbyline.config import EngineConfig
 from tabbyline.operators import chunk, embed, ingest, store, validate
@@ -24,12 +24,12 @@ def ingest_corpus(pages: dict[str, tuple[DataFrame, str]], path: str, only: str
 
 
 def index_corpus(documents: DataFrame, path: str, config: EngineConfig | None = None, model: Callable | None = None, dim: int = 384, sources: tuple[str, ...] = DATA_SOURCES) -> dict:
-    """Documents to a fresh collection: chunk, validate, embed, upsert. Chunks that break a rule are counted
-    and left out."""
+    """Documents to a fresh collection: chunk, validate, embed, replace. The old points are read until the new ones are
+    published. Chunks that break a rule go to `<path>-rejected` with the rules they break."""
     config = config or EngineConfig()
     cut = chunk.chunk_documents(documents, config.chunking)
     good, bad = validate.split_valid(materialise(cut, "chunks"), chunk_rules(sources))
-    spark: SparkSession = documents.sparkSession
-    points = store.Collection(spark, path)
-    points.create(dim, recreate=True)
-    return {**points.upsert(materialise(embed.embed_chunks(good, model or embed.hash_model(dim)), "embedded")), "rejected": bad.count()}
+    points = store.Collection(documents.sparkSession, path)
+    counts = points.replace(embed.embed_chunks(good, model or embed.hash_model(dim)), dim)
+    write_failures(bad.select("id", "document_id", "chunk_index", "content", "violations"), f"{path.rstrip('/')}-rejected")
+    return {**counts, "rejected": bad.count()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabbyline.config import RetrievalConfig
 from tabbyline.functions.vectors import usable
 from tabbyline.operators import lexical, search
 from tabbyline.plans.base import query
@@ -39,7 +40,7 @@ _BATCH = f"""SELECT q.vec_id AS query_id, e.vec_id AS vec_id, round({_COS.format
 
 def _batch(spark, d, k):
     vectors = table(spark, d, "embeddings")
-    asked = [(r["vec_id"], r["embedding"]) for r in vectors.filter("vec_id % 100 = 0").select("vec_id", "embedding").collect()]  # the stated queries
+    asked = vectors.filter("vec_id % 100 = 0").select("vec_id", "embedding")  # the stated queries
     return search.search_batch(vectors, asked, k, "vec_id", "embedding", "bigint")
 
 
@@ -59,16 +60,17 @@ _ONE = f"""(SELECT id, any_value(content) AS content, any_value(source) AS sourc
 _ASK = f"(SELECT embedding FROM {_ONE} ORDER BY id LIMIT 1)"
 
 
-def _chunks(spark, d):
-    c = table(spark, d, "chunks").filter(usable(F.col("embedding"), 64))
-    one = c.groupBy("id").agg(F.first(F.struct("content", "source", F.col("metadata.title").alias("title"), "embedding")).alias("c"))
+def _chunks(spark, d, *columns):
+    """Chunks with a usable vector, once each, with these columns only."""
+    c = table(spark, d, "chunks").filter(usable(F.col("embedding"), 64)).withColumn("title", F.col("metadata.title"))
+    one = c.groupBy("id").agg(F.first(F.struct(*columns)).alias("c"))
     return one.select("id", "c.*")
 
 
 @query(f"""SELECT row_number() OVER (ORDER BY round({_COS.format(a='embedding', b=_ASK)}, 9) DESC, id) AS rank, round({_COS.format(a='embedding', b=_ASK)}, 4) AS score, source,
            title, substr(content, 1, 200) AS preview FROM {_ONE} ORDER BY rank LIMIT 3""")
 def search_report(spark, d):
-    chunks = _chunks(spark, d).withColumnRenamed("id", "point_id")
+    chunks = _chunks(spark, d, "content", "source", "title", "embedding").withColumnRenamed("id", "point_id")
     asked = chunks.orderBy("point_id").select("embedding").first()
     found = search.search(chunks, asked["embedding"] if asked else [0.0] * 64, 3, None, "point_id", "embedding")
     return search.hits(found).withColumn("rank", F.col("rank").cast("bigint"))
@@ -87,8 +89,11 @@ r AS (SELECT query_id, k, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 *
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k) AS rank FROM r)"""
 
 
-def _lexical(spark, d, k=30):
-    return lexical.bm25(_chunks(spark, d), QUESTIONS, k)
+CONFIG = RetrievalConfig()
+
+
+def _lexical(spark, d, k=CONFIG.top_k_initial):
+    return lexical.bm25(_chunks(spark, d, "content"), QUESTIONS, k)
 
 
 @query(f"{_BM25} SELECT query_id::BIGINT AS query_id, k AS id, round(score, 6) AS score FROM bm WHERE rank <= 10")
@@ -98,9 +103,9 @@ def bm25_topk(spark, d):
 
 def _dense(spark, d):
     """The first three chunks by id ask in the place of the questions."""
-    chunks = _chunks(spark, d)
+    chunks = _chunks(spark, d, "embedding")
     asked = [(n, r["embedding"]) for n, r in enumerate(chunks.orderBy("id").select("embedding").limit(3).collect(), 1)]
-    return search.search_batch(chunks, asked, 30, "id", "embedding")
+    return search.search_batch(chunks, asked, CONFIG.top_k_initial, "id", "embedding")
 
 
 _DENSE = f"""dn AS (SELECT q.n AS query_id, e.id AS k, row_number() OVER (PARTITION BY q.n ORDER BY round({_COS.format(a='e.embedding', b='q.embedding')}, 9) DESC, e.id) AS rank
@@ -121,7 +126,7 @@ def rrf_fusion(spark, d):
 
 @query(_fused_sql(0.5))
 def weighted_fusion(spark, d):
-    return lexical.fuse(_dense(spark, d), _lexical(spark, d), 10, 0.5, 0.5).select("query_id", "id", F.round("score", 6).alias("score"))
+    return lexical.fuse(_dense(spark, d), _lexical(spark, d), 10, CONFIG.dense_weight, CONFIG.bm25_weight).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(rf"""{_BM25}, c AS (SELECT bm.query_id, bm.k, (SELECT count(DISTINCT x)::DOUBLE FROM unnest(w.words) t(x) WHERE x IN (SELECT term FROM q q2 WHERE q2.query_id = bm.query_id))
@@ -129,6 +134,6 @@ def weighted_fusion(spark, d):
   SELECT query_id::BIGINT AS query_id, k AS id, round(raw, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, k) <= 5""")
 def rerank(spark, d):
     asked = F.broadcast(spark.createDataFrame(QUESTIONS, "query_id bigint, query string"))  # the stated questions
-    texts = _chunks(spark, d).select("id", F.col("content").alias("text"))
+    texts = _chunks(spark, d, "content").withColumnRenamed("content", "text")
     candidates = _lexical(spark, d).select("query_id", "id").join(asked, "query_id").join(texts, "id")
-    return lexical.rerank(candidates, 5).select("query_id", "id", F.round("score", 6).alias("score"))
+    return lexical.rerank(candidates, CONFIG.top_k_reranked).select("query_id", "id", F.round("score", 6).alias("score"))

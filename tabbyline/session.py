@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,13 +71,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that `materialise` has written in this process; returns how many there were.
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialise` writes within are deleted at the end, when what is derived from them has been written."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def release(spark: SparkSession, kept: int = 0) -> int:
+    """Delete the tables that `materialise` has written in this process, but for the first `kept`; how many there were.
 
     To be called when results that were derived from them have been written: until then they are read."""
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    count = len(_written)
-    while _written:
+    count = len(_written) - kept
+    while len(_written) > kept:
         at = jvm.org.apache.hadoop.fs.Path(_written.pop())
         at.getFileSystem(hadoop).delete(at, True)
     return count

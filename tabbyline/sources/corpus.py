@@ -11,19 +11,23 @@ from tabbyline.schema import DATA_SOURCES, DOCUMENT, document_rules
 from tabbyline.session import materialise
 
 
+#: Times are written with all their digits; files with fewer are read as well.
+_TIMES = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]"
+
+
 def read_corpus(spark: SparkSession, path: str, multiline: bool = False, sources: tuple[str, ...] = DATA_SOURCES, quarantine: bool = False):
     """Documents of a corpus file, checked again on reading.
 
     multiline: the file is one JSON array instead of a record a line; such a file can't be split, so it suits
     small corpora only. A record that can't be parsed fails the job. An invalid one fails it too, unless
     `quarantine` is set: then the result is a pair of valid and rejected documents. A missing path raises."""
-    raw = spark.read.schema(DOCUMENT).option("multiLine", multiline).option("mode", "FAILFAST").json(path)
+    raw = spark.read.schema(DOCUMENT).option("multiLine", multiline).option("mode", "FAILFAST").option("timestampFormat", _TIMES).json(path)
     return split_valid(raw, document_rules(sources)) if quarantine else strict(raw, document_rules(sources))
 
 
 def write_documents(df: DataFrame, path: str) -> None:
     """One JSON record a line, nulls kept; replaces what is there, and writes even if there are none."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    df.write.mode("overwrite").option("ignoreNullFields", False).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
 def write_failures(bad: DataFrame, path: str) -> bool:

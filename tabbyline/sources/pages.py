@@ -27,6 +27,9 @@ class PageReader(DataSourceReader):
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
         self.delay = float(options.get("delay", 0))
         self.agent = options.get("useragent", "tabbyline/0.1")
+        self.agents = {o.removeprefix("useragent."): v for o, v in options.items() if o.startswith("useragent.")}
+        self.retries = int(options.get("retries", 0))
+        self.pause = float(options.get("pause", 0))
 
     def partitions(self) -> list[InputPartition]:
         hosts: dict[str, list[str]] = {}
@@ -38,10 +41,17 @@ class PageReader(DataSourceReader):
         for n, url in enumerate(partition.urls):
             if n and self.delay:
                 time.sleep(self.delay)
-            yield (url, *self._fetch(url))
+            for attempt in range(self.retries + 1):
+                final_url, html, error = self._fetch(url)
+                if error is None or error.startswith("HTTP 4"):
+                    break
+                if attempt < self.retries:
+                    time.sleep(self.pause)
+            yield url, final_url, html, error
 
     def _fetch(self, url: str) -> tuple[str | None, str | None, str | None]:
-        request = urllib.request.Request(url, headers={"User-Agent": self.agent, "Accept": "text/html"})
+        agent = self.agents.get(urllib.parse.urlsplit(url).netloc, self.agent)
+        request = urllib.request.Request(url, headers={"User-Agent": agent, "Accept": "text/html"})
         try:
             with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:
                 charset = answer.headers.get_content_charset() or "utf-8"
@@ -53,7 +63,8 @@ class PageReader(DataSourceReader):
 
 
 class PageSource(DataSource):
-    """Options: urls (one a line), delay (seconds between pages of a host), useragent. Redirects are followed."""
+    """Options: urls (one a line), delay (seconds between pages of a host), useragent, useragent.<host> for one host,
+    retries (after failures other than a 4xx answer) and pause (seconds before each). Redirects are followed."""
 
     @classmethod
     def name(cls) -> str:

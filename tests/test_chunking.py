@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tabbyline.config import ChunkingConfig
-from tabbyline.operators.chunk import chunk_documents, pretokens, split_text
+from tabbyline.operators.chunk import chunk_documents, pretokens, split_text, tokenizer_counter
 
 PART = st.sampled_from(["word ", "cat. ", "\n", "\n\n", "a" * 9, "é!", "  ", "x y z ", "猫", "12345 "])
 
@@ -48,3 +48,15 @@ def test_documents(spark):
     assert {r["document_id"] for r in rows} == {"d"}
     assert [r["chunk_index"] for r in rows] == list(range(len(rows))) and len({r["id"] for r in rows}) == len(rows)
     assert all(0 < r["token_count"] <= 64 and r["metadata"]["total_chunks"] == len(rows) and r["metadata"]["word_count"] == 300 for r in rows)
+
+
+def test_sizes_are_counted_in_tokens_and_texts_are_cut_once(spark):
+    count = tokenizer_counter(ChunkingConfig().rank_file)()
+    text = "Antidisestablishmentarianism, 12345678901234567890 and hyperthyroidism! " * 60
+    df = spark.createDataFrame([("d", text, "s", "u", "t", "article")], "id string, content string, source string, url string, title string, content_type string")
+    cut = chunk_documents(df, ChunkingConfig(chunk_size=64, chunk_overlap=8))
+    rows = cut.collect()
+    assert len(rows) > 5 and all(r["token_count"] == count(r["content"]) <= 64 for r in rows)
+    plan = cut.select("chunk_index", "metadata.total_chunks", "content")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert max(pretokens(r["content"]) for r in chunk_documents(df, ChunkingConfig(chunk_size=64, chunk_overlap=8, rank_file=None)).collect()) <= 64

@@ -74,7 +74,7 @@ def test_split_and_strict(spark):
 def test_configuration():
     c = config.EngineConfig()
     assert (c.chunking.chunk_size, c.retrieval.top_k_initial, c.retrieval.top_k_reranked, c.generation.temperature) == (512, 30, 5, 0.1)
-    assert c.embedding_model == "all-MiniLM-L6-v2"
+    assert c.embedding_model == "all-MiniLM-L6-v2" and '"top_k_initial": 30' in c.snapshot()
     changed = config.EngineConfig(chunking=config.ChunkingConfig(chunk_size=256, chunk_overlap=25), embedding_model="other")
     assert (changed.chunking.chunk_size, changed.embedding_model) == (256, "other")
     for bad in (lambda: config.ChunkingConfig(chunk_size=10), lambda: config.ChunkingConfig(chunk_overlap=-1), lambda: config.RetrievalConfig(bm25_weight=2), lambda: config.GenerationConfig(temperature=3)):

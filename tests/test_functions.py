@@ -62,6 +62,23 @@ def test_pages(spark):
     assert values(spark, ["<body><article><p>only this</p></article>rest</body>", "<body></body>", "", None], H.main_text(F.col("x"))) == ["only this", None, None, None]
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><aside><form>a</form> junk</aside><p>kept</p></body>", "kept"),
+        ("<body><nav>a<nav>b</nav>c</nav><p>kept</p><footer>d</footer></body>", "kept"),
+        ("<article><p>one</p><article>two</article><p>three</p></article><p>out</p>", "one\ntwo\nthree"),
+        ("<article><header>by x</header><p>one</p><nav>menu</nav></article>", "one"),
+        ("<main><p>one</p></main><p>out</p>", "one"),
+        ("<body><header>never closed<p>kept</p></body>", "never closed\nkept"),
+        ("<script>var a = '</style>';</script><p>kept</p>", "kept"),
+        ("<body><nav>" + "<a href='x'>y</a> " * 50000 + "</nav><p>kept</p></body>", "kept"),
+    ],
+)
+def test_main_text(spark, page, text):
+    assert values(spark, [page], H.main_text(F.col("x"))) == [text]
+
+
 def test_links_and_headings(spark):
     found = values(spark, ["<a href='/x'> T <b>u</b></a><a name=q>no</a><A HREF=\"y?a=1&amp;b=2\">v</A>"], H.links(F.col("x")))[0]
     assert [tuple(r) for r in found] == [("/x", "T u"), ("y?a=1&b=2", "v")]

@@ -57,11 +57,24 @@ def test_search(spark):
     assert [r["point_id"] for r in search.search(df, [2.0, 0.0], 3, F.col("label") == 1).collect()] == ["a", "c", "f"]
     rows = search.search_batch(df, [(1, [1.0, 0.0]), (2, [0.0, 1.0])], 2).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["point_id"], r["rank"]) for r in rows] == [(1, "a", 1), (1, "b", 2), (2, "c", 1), (2, "a", 2)]
-    with pytest.raises(ValueError):
-        search.search_batch(df, [(1, [1.0, 0.0])] * (search.MAX_QUERIES + 1))
     assert search.search(df.limit(0), [1.0, 0.0]).count() == 0
 
 
+def test_queries_in_blocks_give_the_same(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    vector = lambda: [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]
+    df = spark.createDataFrame([(f"p{n:03d}", vector()) for n in range(90)] + [("n", None), ("s", [1.0])], "point_id string, vector array<float>")
+    asked = spark.createDataFrame([(n, vector()) for n in range(40)] + [(90, None), (91, [0.0] * 4), (92, [1.0])], "q bigint, v array<float>")
+    shipped = sorted(map(tuple, search.search_batch(df, asked, 3).collect()))
+    for name, size in (("SHIPPED_QUERIES", 5), ("QUERY_BLOCK", 7), ("POINT_BLOCK", 20)):
+        monkeypatch.setattr(search, name, size)
+    assert sorted(map(tuple, search.search_batch(df, asked, 3).collect())) == shipped
+    assert sorted(map(tuple, search.search_batch(df, [(r["q"], r["v"] or []) for r in asked.collect()], 3).collect())) == shipped
+    assert {r[0] for r in shipped} >= {92} and not {r[0] for r in shipped} & {90, 91}
+
+
 def chunk_rows(spark, rows):
     full = [(i, "doc", "s", "text of the chunk", "article", 0, 3, v, "m", "0.1.0", t, None) for i, v, t in rows]
     return spark.createDataFrame(full, "id string, document_id string, source string, content string, content_type string, chunk_index int, token_count int, embedding array<float>, embedding_model string, pipeline_version string, created_at timestamp, metadata struct<title:string,url:string>")
@@ -76,15 +89,48 @@ def test_collection(spark, tmp_path):
         c.points()
     c.create(dim=2)
     rows = chunk_rows(spark, [("x", [1.0, 0.0], t[0]), ("x", [0.0, 1.0], t[1]), ("y", [1.0, 1.0], None), ("z", None, t[0]), ("w", [0.0, 0.0], t[0])])
-    assert c.upsert(rows) == {"sent": 3, "distinct": 2, "skipped": 2}
+    assert c.upsert(rows, 2) == {"sent": 3, "distinct": 2, "skipped": 2, "batches": 2, "last_batch": 1}
     first = c.points().orderBy("chunk_id").collect()
     assert [(r["chunk_id"], r["vector"], r["title"]) for r in first] == [("x", [0.0, 1.0], ""), ("y", [1.0, 1.0], "")]
     c.upsert(rows)
     assert c.points().orderBy("chunk_id").collect() == first
     c.create(dim=2)
     assert c.points().count() == 2
+    old = c.points()
     c.create(dim=2, recreate=True)
-    assert c.points().count() == 0
+    assert c.points().count() == 0 and old.count() == 2  # who reads the old state goes on
+    assert c.upsert(rows.limit(0)) == {"sent": 0, "distinct": 0, "skipped": 0, "batches": 0, "last_batch": 0}
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    import os
+
+    c = store.Collection(spark, f"file://{tmp_path}/c")
+    c.create(dim=2, buckets=16)
+    c.upsert(chunk_rows(spark, [(f"k{n}", [1.0, float(n)], None) for n in range(60)]))
+    before = c._state()["versions"]
+    c.upsert(chunk_rows(spark, [("k7", [5.0, 5.0], None)]))
+    after = c._state()["versions"]
+    assert sum(before[b] != after[b] for b in before) == 1 and c.points().count() == 60
+    assert [r["vector"] for r in c.points().filter("chunk_id = 'k7'").collect()] == [[5.0, 5.0]]
+    folders = lambda: {f for f in os.listdir(f"{tmp_path}/c") if not f.startswith(("states", "."))}
+    assert len(folders()) == 2 and c.expire() == 0  # the first is still read
+    c.replace(chunk_rows(spark, [("new", [1.0, 0.0], None)]), 2)
+    assert [r["chunk_id"] for r in c.points().collect()] == ["new"]
+    assert c.expire() == 2 and len(folders()) == 1 and c.points().count() == 1
+
+
+def test_of_two_writers_one_tries_again(spark, tmp_path, monkeypatch):
+    c, other = (store.Collection(spark, f"file://{tmp_path}/c") for _ in range(2))
+    c.create(dim=2)
+    stale = c._state()
+    other.upsert(chunk_rows(spark, [("a", [1.0, 0.0], None)]))
+    with pytest.raises(store.ConflictError):
+        c._publish(stale, stale["number"] + 1)
+    states = iter([stale, c._state()])
+    monkeypatch.setattr(c, "_state", lambda: next(states))
+    c.upsert(chunk_rows(spark, [("b", [0.0, 1.0], None)]))
+    assert sorted(r["chunk_id"] for r in other.points().collect()) == ["a", "b"]
 
 
 def test_embedding(spark):
@@ -129,6 +175,19 @@ def test_pipeline(spark, tmp_path):
     docs = corpus.read_corpus(spark, done["output"])
     counts = index_corpus(docs, f"file://{tmp_path}/points", dim=64)
     assert counts["sent"] == counts["distinct"] == 5 and counts["rejected"] == 0
+    odd = docs.withColumn("source", F.when(F.col("id").endswith("t1"), "elsewhere").otherwise(F.col("source")))
+    counts = index_corpus(odd, f"file://{tmp_path}/points", dim=64)
+    assert counts["distinct"] == 4 and counts["rejected"] == 1 and store.Collection(spark, f"file://{tmp_path}/points").points().count() == 4
+    assert spark.read.json(f"file://{tmp_path}/points-rejected").first()["violations"] == ["source"]
+
+
+def test_pages_are_extracted_once(spark):
+    df = page_rows(spark, [("a", "f", BODY % "One", None), ("b", "f", BODY % "Two", None), ("c", "g", BODY % "Three", None), ("d", None, BODY % "Four", None), ("e", None, BODY % "Five", None)])
+    assert [(r["url"], r["final_url"]) for r in ingest.first_per_final_url(df).orderBy("url").collect()] == [("a", "f"), ("c", "g"), ("d", None)]
+    good, _ = ingest.ingest_pages(df, "aspca_toxicology", "p_")
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</\\1") == 4 and plan.count("<title") <= 2  # scripts once, furniture in three rounds; nullif names its argument twice
+    assert good.count() == 3
 
 
 def test_metrics(spark, tmp_path):
@@ -138,16 +197,26 @@ def test_metrics(spark, tmp_path):
     assert {(r["key"], r["value"]) for r in spark.read.parquet(str(tmp_path / "m")).collect()} == {("n", "3"), ("m", "2")}
 
 
+def test_run_record(spark):
+    rows = metrics.run_rows(spark.range(3).agg(F.count("*").alias("n")), "r", {"size": 5}, {"stage": "x"})
+    assert sorted((r["kind"], r["key"], r["value"]) for r in rows.collect()) == [("metric", "n", "3"), ("param", "size", "5"), ("tag", "stage", "x")]
+
+
 def test_page_source(spark):
     import functools
     import http.server
     import threading
 
+    seen = []
+
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
+            seen.append((self.path, self.headers["User-Agent"]))
             if self.path == "/moved":
                 self.send_response(302)
                 self.send_header("Location", "/there")
+            elif self.path == "/weak":
+                self.send_response(200 if sum(p == "/weak" for p, _ in seen) > 2 else 503)
             else:
                 self.send_response(200 if self.path == "/there" else 404)
                 self.send_header("Content-Type", "text/html; charset=utf-8")
@@ -162,7 +231,10 @@ def test_page_source(spark):
     base = f"http://127.0.0.1:{server.server_port}"
     pages.register(spark)
     rows = spark.read.format("pages").option("urls", f"{base}/moved\n{base}/none\nhttp://127.0.0.1:1/x").load().orderBy("url").collect()
+    host = base.removeprefix("http://")
+    weak = spark.read.format("pages").option("urls", f"{base}/weak\n{base}/none").option("retries", 2).option(f"useragent.{host}", "one/1").load().orderBy("url").collect()
     server.shutdown()
+    assert [r["error"] for r in weak] == ["HTTP 404", None] and [p for p, a in seen if a == "one/1"].count("/weak") >= 3  # the sort reads twice
     told = {r["url"]: (r["final_url"], r["html"], r["error"]) for r in rows}
     assert told[f"{base}/moved"] == (f"{base}/there", "<h1>é</h1>", None) and told[f"{base}/none"][2] == "HTTP 404"
     assert told["http://127.0.0.1:1/x"][2]
@@ -199,4 +271,9 @@ def test_materialised_tables(spark):
     df = session.materialise(spark.range(5).withColumn("x", F.lit("a")), "t")
     assert df.count() == 5 and df.schema["x"].dataType.simpleString() == "string"
     path = session._written[-1].removeprefix("file://")
-    assert os.path.exists(path) and session.release(spark) == 1 and not os.path.exists(path)
+    with session.scope(spark):
+        inner = session.materialise(spark.range(2), "inner")
+        assert inner.count() == 2
+        kept = session._written[-1].removeprefix("file://")
+    assert not os.path.exists(kept) and os.path.exists(path)
+    assert session.release(spark) == 1 and not os.path.exists(path)
