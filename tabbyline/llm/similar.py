@@ -27,6 +27,8 @@ SAMPLE_ROWS = 32_768
 #: Aimed-at rows per cell, and the most cells.
 CELL_ROWS, MOST_CELLS = 1_024, 4_096
 QUERY_BLOCK, CODE_BLOCK = 8_192, 32_768
+#: Queries of a block where each keeps its best candidates.
+NEAREST_BLOCK = 2_048
 SUB, CENTERS = 2, 16
 #: Weight of the parallel part of the residual against the part across.
 PARALLEL = 4.0
@@ -161,8 +163,9 @@ class SimilarityIndex:
         sample = unit(np.stack(drawn["v"].to_numpy()))
         self.quantiser = Quantiser(sample, int(np.clip(self.rows // CELL_ROWS, 1, MOST_CELLS)))
 
-    def coded(self, probes: int) -> DataFrame:
-        """`(h, q, code, cells)`: the half-precision unit vector, its code, its `probes` nearest cells."""
+    def coded(self, probes: int, vectors: DataFrame | None = None) -> DataFrame:
+        """`(h, q, code, cells)` of these vectors (default: all): the half-precision unit vector, its code, its `probes`
+        nearest cells."""
         cells, books = self.quantiser.cells, self.quantiser.books
         probes = min(probes, len(cells))
 
@@ -185,41 +188,42 @@ class SimilarityIndex:
                     }
                 )
 
-        return self.vectors.select("h", "v").mapInPandas(code, "h bigint, q binary, code binary, cells array<int>")
+        return (self.vectors if vectors is None else vectors).select("h", "v").mapInPandas(code, "h bigint, q binary, code binary, cells array<int>")
 
-    def _meet(self, queries: DataFrame, codes: DataFrame, find, schema: str) -> DataFrame:
-        """Apply `find(query keys, queries, code keys, codes)` to each cell, block by block.
+    def _meet(self, queries: DataFrame, codes: DataFrame, find, schema: str, query_block: int | None = None) -> DataFrame:
+        """Apply `find(query keys, queries, their cells, code keys, codes, their cells)` to each group, block by block.
 
-        queries: `(h, q, cell)`; codes: `(h, code, cell)`. The table of cell sizes has at most
-        `MOST_CELLS` rows.
+        queries: `(h, q, group, cells)`; codes: `(h, code, group, cell)`. A group is a cell or several; the table of their
+        sizes has at most `MOST_CELLS` rows. Both sides of a hot group are cut into blocks.
         """
         dim = self.quantiser.cells.shape[1]
-        sizes = codes.groupBy("cell").agg(F.count("*").alias("codes"))
-        asked = queries.groupBy("cell").agg(F.count("*").alias("queries"))
-        blocks = asked.join(sizes, "cell").select(
-            "cell", F.ceil(F.col("queries") / QUERY_BLOCK).cast("int").alias("qn"), F.ceil(F.col("codes") / CODE_BLOCK).cast("int").alias("cn")
+        sizes = codes.groupBy("group").agg(F.count("*").alias("codes"))
+        asked = queries.groupBy("group").agg(F.count("*").alias("queries"))
+        blocks = asked.join(sizes, "group").select(
+            "group", F.ceil(F.col("queries") / (query_block or QUERY_BLOCK)).cast("int").alias("qn"), F.ceil(F.col("codes") / CODE_BLOCK).cast("int").alias("cn")
         )
         blocks = F.broadcast(blocks)
 
         def sides(df, own, other, payload):
-            spread = df.join(blocks, "cell").withColumn("own", F.pmod("h", F.col(own)).cast("int"))
+            spread = df.join(blocks, "group").withColumn("own", F.pmod("h", F.col(own)).cast("int"))
             spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             qb, cb = ("own", "other") if own == "qn" else ("other", "own")
-            return spread.select("cell", F.col(qb).alias("qb"), F.col(cb).alias("cb"), "h", *payload)
+            return spread.select("group", F.col(qb).alias("qb"), F.col(cb).alias("cb"), "h", *payload)
 
-        null = F.lit(None).cast("binary")
-        both = sides(queries, "qn", "cn", ["q", null.alias("code")]).unionByName(sides(codes, "cn", "qn", [null.alias("q"), "code"]))
+        null, none = F.lit(None).cast("binary"), F.lit(None).cast("array<int>")
+        both = sides(queries, "qn", "cn", ["q", null.alias("code"), "cells", F.lit(None).cast("int").alias("cell")])
+        both = both.unionByName(sides(codes, "cn", "qn", [null.alias("q"), "code", none.alias("cells"), "cell"]))
 
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
             asks = pdf["q"].notna().to_numpy()
             h = pdf["h"].to_numpy()
             if asks.all() or not asks.any():
-                return find(None, None, None, None)
+                return find(None, None, None, None, None, None)
             q = np.frombuffer(b"".join(pdf["q"][asks]), np.float16).reshape(-1, dim).astype(np.float32)
             c = np.frombuffer(b"".join(pdf["code"][~asks]), np.uint8).reshape(int((~asks).sum()), -1)
-            return find(h[asks], q, h[~asks], c)
+            return find(h[asks], q, pdf["cells"][asks].tolist(), h[~asks], c, pdf["cell"][~asks].to_numpy())
 
-        return both.groupBy("cell", "qb", "cb").applyInPandas(block, schema)
+        return both.groupBy("group", "qb", "cb").applyInPandas(block, schema)
 
     def pairs(self, least: float = 0.9, probes: int = 8, slack: float = 0.2) -> DataFrame:
         """`(k_a, k_b, cosine)`, k_a < k_b, of all keys whose cosine is at least `least`, as far as found.
@@ -232,10 +236,10 @@ class SimilarityIndex:
             return self.members.sparkSession.createDataFrame([], f"k_a {keys}, k_b {keys}, cosine double")
         books = self.quantiser.books
         index = materialise(self.coded(probes), "codes")
-        queries = index.select("h", "q", F.col("cells")[0].alias("cell"))
-        codes = index.select("h", "code", F.explode("cells").alias("cell"))
+        queries = index.select("h", "q", F.col("cells")[0].alias("group"), F.lit(None).cast("array<int>").alias("cells"))
+        codes = index.select("h", "code", F.explode("cells").alias("group"), F.lit(None).cast("int").alias("cell"))
 
-        def find(qh, q, ch, c) -> pd.DataFrame:
+        def find(qh, q, _, ch, c, __) -> pd.DataFrame:
             left, right = [], []
             if qh is not None:
                 for at, scores in scan(q, c, books):
@@ -266,33 +270,52 @@ class SimilarityIndex:
     def nearest(self, queries: Column, k: int = 10, share: float = 0.4, keep: int = 16) -> DataFrame:
         """`(k_a, k_b, rank, cosine)`: the `k` keys most similar to each key for which `queries` (over `k`) holds.
 
-        share: of the cells in which each query is asked. keep: `keep * k` candidates by approximate score
-        of each cell block are reranked. Ties of the cosine are broken by key.
+        share: of the cells in which each query is asked. keep: `keep * k` candidates by approximate score are reranked.
+        Cells are searched in groups of about a block of codes, and a group keeps no more candidates for a query than
+        can matter (all of them where there is one group, four times k at least where there are many), so that little
+        is shuffled. Ties of the cosine are broken by key.
         """
         kinds = self.members.schema["k"].dataType.simpleString()
         if self.quantiser is None:
             return self.members.sparkSession.createDataFrame([], f"k_a {kinds}, k_b {kinds}, rank int, cosine double")
         books, cells = self.quantiser.books, len(self.quantiser.cells)
-        index = materialise(self.coded(max(1, round(share * cells))), "codes")
-        asking = self.members.filter(queries)
-        chosen = index.join(asking.select("h").distinct(), "h", "left_semi")
-        ask = chosen.select("h", "q", F.explode("cells").alias("cell"))
-        codes = index.select("h", "code", F.col("cells")[0].alias("cell"))
+        groups = int(max(1, -(-self.rows // CODE_BLOCK)))
         most = keep * k
-
-        def find(qh, q, ch, c) -> pd.DataFrame:
+        local = max(4 * k, -(-2 * most // groups))
+        asking = self.members.filter(queries)
+        index = materialise(self.coded(1).select("h", "code", F.col("cells")[0].alias("cell")), "codes")
+        chosen = self.vectors.join(asking.select("h").distinct(), "h", "left_semi")
+        # a query goes once to each group, with those of its cells that are in it
+        ask = self.coded(max(1, round(share * cells)), chosen).select("h", "q", "cells")
+        ask = ask.withColumn("group", F.explode(F.array_distinct(F.transform("cells", lambda c: c % groups))))
+        ask = ask.withColumn("cells", F.filter("cells", lambda c: c % groups == F.col("group")))
+        codes = index.withColumn("group", F.col("cell") % groups)
+
+        def find(qh, q, probed, ch, c, own) -> pd.DataFrame:
             a, b, s = [], [], []
             if qh is not None:
-                for at, scores in scan(q, c, books):
-                    n = min(most, len(ch))
-                    best = np.argpartition(-scores, n - 1, axis=0)[:n]
-                    a.append(np.repeat(qh[at : at + scores.shape[1]], n))
-                    b.append(ch[best.T.ravel()])
-                    s.append(np.take_along_axis(scores, best, 0).T.ravel())
-            join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-            return pd.DataFrame({"a": join(a, np.int64), "b": join(b, np.int64), "s": join(s, np.float32)})
-
-        found = self._meet(ask, codes, find, "a bigint, b bigint, s float")
+                asks = pd.DataFrame({"n": np.repeat(np.arange(len(qh)), list(map(len, probed))), "cell": np.concatenate(probed)})
+                asks = {cell: rows.to_numpy() for cell, rows in asks.groupby("cell")["n"]}
+                for cell in np.unique(own):
+                    who, here = asks.get(cell), np.flatnonzero(own == cell)
+                    if who is None:
+                        continue
+                    n = min(local, len(here))
+                    for at, scores in scan(q[who], c[here], books):
+                        best = np.argpartition(-scores, n - 1, axis=0)[:n]
+                        a.append(np.repeat(who[at : at + scores.shape[1]], n))
+                        b.append(here[best.T.ravel()])
+                        s.append(np.take_along_axis(scores, best, 0).T.ravel())
+            if not a:
+                return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "s": np.zeros(0, np.float32)})
+            a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
+            order = np.lexsort((ch[b], -s, a))  # of each query the best of all its cells here
+            a, b, s = a[order], b[order], s[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            kept = place < local
+            return pd.DataFrame({"a": qh[a[kept]], "b": ch[b[kept]], "s": s[kept]})
+
+        found = self._meet(ask, codes, find, "a bigint, b bigint, s float", NEAREST_BLOCK)
         by_score = Window.partitionBy("a").orderBy(F.desc("s"), "b")
         few = found.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= most).select("a", "b")
         one = self.vectors.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("v").alias("va"))
