@@ -118,7 +118,8 @@ def _packed(raw: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     before = Window.partitionBy("class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = in_parts.select("class", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("class", "block").orderBy("place")
-    numbered = filled.join(starts, ["class", "block"]).withColumn("number", F.col("start") + F.row_number().over(inside) - 1)
+    # joined on the window's own keys: one exchange for both, and nothing that grows is broadcast
+    numbered = filled.join(starts.hint("merge"), ["class", "block"]).withColumn("number", F.col("start") + F.row_number().over(inside) - 1)
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
