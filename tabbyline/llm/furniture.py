@@ -16,11 +16,10 @@ every line decide.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,7 +126,11 @@ _ADDRESS = re.compile(r"[^,\d]{3,60}, \d+[a-z]? [^,.\d]{3,40}, [^,.\d]{3,40}$")
 
 def _menu(raw: str, least: int = 4) -> bool:
     """Items of a few words each, divided by one of the usual signs or by gaps."""
-    items = [i for i in _SEPARATOR.split(raw.strip("|·• ")) if i]
+    bare = raw.strip("|·• ")
+    first = _SEPARATOR.search(bare, 0, 30)
+    if first is None or first.start() > 24:
+        return False  # the first item is too long already
+    items = [i for i in _SEPARATOR.split(bare) if i]
     return len(items) >= least and all(len(i) <= 24 and i.count(" ") < 3 and _WORD.search(i) and not _NO_ITEM.search(i) for i in items)
 
 
@@ -203,29 +206,27 @@ def measure(raw: str) -> Line:
     return _remembered(raw) if len(raw) < EDGE else _measure(raw)
 
 
-def blocks(lengths: np.ndarray, width: int = 3) -> np.ndarray:
+def blocks(lengths: Sequence[int], width: int = 3) -> list[int]:
     """For each line the largest sum of lengths of the windows of `width` lines that hold it."""
-    padded = np.concatenate((np.zeros(width - 1, np.int64), lengths, np.zeros(width - 1, np.int64)))
-    sums = np.convolve(padded, np.ones(width, np.int64), "valid")
-    return np.max([sums[k : k + len(lengths)] for k in range(width)], axis=0)
+    padded = [0] * (width - 1) + list(lengths) + [0] * (width - 1)
+    sums = list(map(sum, zip(*(padded[k:] for k in range(width)))))
+    return list(map(max, zip(*(sums[k:] for k in range(width)))))
 
 
-def surge_and_dive(lengths: np.ndarray, forms: np.ndarray, width: int = 3, surge: int = SURGE) -> tuple[int, int]:
+def surge_and_dive(lengths: Sequence[int], forms: Sequence[int], width: int = 3, surge: int = SURGE) -> tuple[int, int]:
     """First and last line of the main text, (0, -1) if there is none: lines of text, or rows and items beside
     others such, whose block reaches `surge`. A row or item counts as a third of a surge at least."""
-    if not len(lengths):
-        return 0, -1
-    rows = (forms == ROW) | (forms == ITEM)
-    beside = blocks(rows.astype(np.int64), width) > 1
-    high = blocks(np.where(rows, np.maximum(lengths, surge // width), lengths), width) >= surge
-    inside = np.flatnonzero(high & ((forms == TEXT) | rows & beside))
-    return (int(inside[0]), int(inside[-1])) if len(inside) else (0, -1)
+    rows = [f == ROW or f == ITEM for f in forms]
+    sums = blocks([max(n, surge // width) if row else n for n, row in zip(lengths, rows)], width)
+    beside = blocks(rows, width) if any(rows) else rows
+    inside = [k for k, (form, row) in enumerate(zip(forms, rows)) if sums[k] >= surge and (form == TEXT or row and beside[k] > 1)]
+    return (inside[0], inside[-1]) if inside else (0, -1)
 
 
 def has_running_text(text: str) -> bool:
     """Whether a text surges anywhere."""
     measured = [measure(line) for line in (raw.strip(_TRIM) for raw in text.split("\n")) if line]
-    return surge_and_dive(np.array([m.length for m in measured]), np.array([m.form for m in measured]))[1] >= 0
+    return surge_and_dive([m.length for m in measured], [m.form for m in measured])[1] >= 0
 
 
 def _heading(lines: list[str], title: str | None) -> tuple[list[bool], list[bool]]:
@@ -251,10 +252,9 @@ def furniture(content: str | None, title: str | None = None) -> list[int]:
     if not lines:
         return []
     measured = list(map(measure, lines))
-    forms = np.array([m.form for m in measured])
     heading, crumb = _heading(lines, title)
     wording, linked = _by_wording(lines, measured, heading, crumb)
-    start, stop = surge_and_dive(np.array([m.length for m in measured]), np.where(wording, OTHER, forms))
+    start, stop = surge_and_dive([m.length for m in measured], [OTHER if w else m.form for w, m in zip(wording, measured)])
     if stop < 0:
         return [k for k, m in zip(filled, _without_surge(lines, heading, crumb)) if m in (PART, HEAD)]
     first, last = _adjoining(lines, measured, wording, heading, start, stop)

@@ -46,7 +46,6 @@ COMMON = frozenset(
     " sie er wir hat haben war waren kann wenn ohne unter dann ils elles leur fait peut quand bien son están está han hay puede si porque".split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_DIGIT = re.compile(r"\d")
 _HIRAGANA = re.compile(r"[ぁ-ゟ]")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 _BULLET = re.compile(r"^(?:[-*+•·–—▪]|\d{1,4}[.)]|\(\d{1,3}\))\s")
@@ -92,13 +91,9 @@ def _is_record(line: str) -> bool:
     )
 
 
-def _capitals(tokens: list[str]) -> float:
-    """Share of tokens that begin with a capital."""
-    return sum(map(str.isupper, [t[0] for t in tokens])) / len(tokens)
-
-
-def _evidence(line: str, words: list[str], damaged: bool) -> int:
-    """1 if the form of a line shows that it is no prose, 0 if it shows prose, -1 if it doesn't tell."""
+def _evidence(line: str, words: list[str], names: float, damaged: bool) -> int:
+    """1 if the form of a line shows that it is no prose, 0 if it shows prose, -1 if it doesn't tell. `names`: the share
+    of its tokens that begin with a capital."""
     closed = line.endswith(_CLOSED)
     if not line.isascii() and 2 * (wide := len(_WIDE.findall(line))) > len(line):
         return 0 if wide >= 8 and (closed or _POLITE.search(line)) else -1
@@ -109,7 +104,6 @@ def _evidence(line: str, words: list[str], damaged: bool) -> int:
         return 1
     if count < 8:
         return -1
-    names = _capitals(line.split())
     if names >= 0.8:
         return 1
     if closed:
@@ -150,17 +144,19 @@ def statistics(body: str) -> list[float]:
     if not lines:
         return [0.0] * len(NAMES)
     text = "\n".join(lines)
-    tokens = text.split()
-    solid = max(1, sum(map(len, tokens)))
+    split = [line.split() for line in lines]
+    capitals = [sum(map(str.isupper, [t[0] for t in tokens])) for tokens in split]
+    count = sum(map(len, split))
+    solid = sum(len("".join(tokens)) for tokens in split)
     damaged = _broken(text) > 0.005 * solid
     words_of = [_WORD.findall(line) for line in text.lower().split("\n")]
     if len(words_of) != len(lines):
         words_of = [_WORD.findall(line.lower()) for line in lines]
     weights = [0, 0, 0]  # of lines of prose, of junk, and those that don't tell
     closed = closed_weight = 0
-    for line, words in zip(lines, words_of):
+    for line, words, tokens, capital in zip(lines, words_of, split, capitals):
         weight = _weight(line)
-        weights[_evidence(line, words, damaged)] += weight
+        weights[_evidence(line, words, capital / len(tokens), damaged)] += weight
         if line.endswith(_CLOSED):
             closed += 1
             closed_weight += weight
@@ -168,7 +164,7 @@ def statistics(body: str) -> list[float]:
     letters = sum(map(len, words))
     kinds = set(words)
     wide = len(_WIDE.findall(text)) if not text.isascii() else 0
-    digits = len(_DIGIT.findall(text))
+    digits = sum(map(text.count, "0123456789")) if text.isascii() else sum(map(str.isdecimal, text))
     n, m, total = max(1, len(words)), len(lines), sum(weights)
     return [
         float(np.log1p(len(words) + wide / 2)),
@@ -178,7 +174,7 @@ def statistics(body: str) -> list[float]:
         closed / m,
         sum(map(COMMON.__contains__, words)) / n,
         (len(words) + wide / 2) / m,
-        _capitals(tokens),
+        sum(capitals) / count,
         sum(n for n in map(len, kinds) if n > 22) / solid if not wide else 0.0,
         len(_HIRAGANA.findall(text)) / max(1, wide) if wide else 0.0,
         letters / solid,

@@ -107,10 +107,8 @@ def test_long_furniture():
 
 
 def test_surge_and_dive():
-    import numpy as np
-
-    text, row, other = furniture.TEXT, furniture.ROW, furniture.OTHER
-    found = lambda lengths, forms: furniture.surge_and_dive(np.array(lengths, int), np.array(forms, int))
+    text, row, other, found = furniture.TEXT, furniture.ROW, furniture.OTHER, furniture.surge_and_dive
+    assert furniture.blocks([1, 2, 3, 4]) == [6, 9, 9, 9] and furniture.blocks([5]) == [5] and furniture.blocks([]) == []
     assert found([60, 50, 200, 300, 0, 150, 40, 90], [other, other, text, text, other, text, other, other]) == (2, 5)
     assert found([60, 20, 20, 20, 60], [other, row, row, row, other]) == (1, 3)
     assert found([60, 20, 60], [other, row, other]) == (0, -1) and found([], []) == (0, -1)
