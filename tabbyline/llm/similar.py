@@ -193,8 +193,8 @@ class SimilarityIndex:
     def _meet(self, queries: DataFrame, codes: DataFrame, find, schema: str, query_block: int | None = None) -> DataFrame:
         """Apply `find(query keys, queries, their cells, code keys, codes, their cells)` to each group, block by block.
 
-        queries: `(h, q, group, cells)`; codes: `(h, code, group, cell)`. A group is a cell or several; the table of their
-        sizes has at most `MOST_CELLS` rows. Both sides of a hot group are cut into blocks.
+        queries: `(h, q, group)`; codes: `(h, code, group)`; with `cells` and `cell` if a group is several cells. The table of
+        their sizes has at most `MOST_CELLS` rows. Both sides of a hot group are cut into blocks.
         """
         dim = self.quantiser.cells.shape[1]
         sizes = codes.groupBy("group").agg(F.count("*").alias("codes"))
@@ -210,9 +210,13 @@ class SimilarityIndex:
             qb, cb = ("own", "other") if own == "qn" else ("other", "own")
             return spread.select("group", F.col(qb).alias("qb"), F.col(cb).alias("cb"), "h", *payload)
 
-        null, none = F.lit(None).cast("binary"), F.lit(None).cast("array<int>")
-        both = sides(queries, "qn", "cn", ["q", null.alias("code"), "cells", F.lit(None).cast("int").alias("cell")])
-        both = both.unionByName(sides(codes, "cn", "qn", [null.alias("q"), "code", none.alias("cells"), "cell"]))
+        null = F.lit(None).cast("binary")
+        several = "cells" in queries.columns  # of a group that is one cell nobody needs to know it
+        ask, held = ["q", null.alias("code")], [null.alias("q"), "code"]
+        if several:
+            ask += ["cells", F.lit(None).cast("int").alias("cell")]
+            held += [F.lit(None).cast("array<int>").alias("cells"), "cell"]
+        both = sides(queries, "qn", "cn", ask).unionByName(sides(codes, "cn", "qn", held))
 
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
             asks = pdf["q"].notna().to_numpy()
@@ -221,7 +225,7 @@ class SimilarityIndex:
                 return find(None, None, None, None, None, None)
             q = np.frombuffer(b"".join(pdf["q"][asks]), np.float16).reshape(-1, dim).astype(np.float32)
             c = np.frombuffer(b"".join(pdf["code"][~asks]), np.uint8).reshape(int((~asks).sum()), -1)
-            return find(h[asks], q, pdf["cells"][asks].tolist(), h[~asks], c, pdf["cell"][~asks].to_numpy())
+            return find(h[asks], q, pdf["cells"][asks].tolist() if several else None, h[~asks], c, pdf["cell"][~asks].to_numpy() if several else None)
 
         return both.groupBy("group", "qb", "cb").applyInPandas(block, schema)
 
@@ -236,8 +240,8 @@ class SimilarityIndex:
             return self.members.sparkSession.createDataFrame([], f"k_a {keys}, k_b {keys}, cosine double")
         books = self.quantiser.books
         index = materialise(self.coded(probes), "codes")
-        queries = index.select("h", "q", F.col("cells")[0].alias("group"), F.lit(None).cast("array<int>").alias("cells"))
-        codes = index.select("h", "code", F.explode("cells").alias("group"), F.lit(None).cast("int").alias("cell"))
+        queries = index.select("h", "q", F.col("cells")[0].alias("group"))
+        codes = index.select("h", "code", F.explode("cells").alias("group"))
 
         def find(qh, q, _, ch, c, __) -> pd.DataFrame:
             left, right = [], []
