@@ -141,6 +141,8 @@ def _glued(line: str) -> bool:
 
 def _plain(raw: str) -> str:
     """The line without markup, with single blanks."""
+    if raw.isascii() and raw.isprintable() and "  " not in raw and "<" not in raw:
+        return raw.strip()
     return " ".join((_MARKUP.sub(" ", raw) if "<" in raw else raw).split())
 
 

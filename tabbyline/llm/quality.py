@@ -46,6 +46,7 @@ COMMON = frozenset(
     " sie er wir hat haben war waren kann wenn ohne unter dann ils elles leur fait peut quand bien son están está han hay puede si porque".split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
+_NO_LETTERS = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalpha()})
 _HIRAGANA = re.compile(r"[ぁ-ゟ]")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 _BULLET = re.compile(r"^(?:[-*+•·–—▪]|\d{1,4}[.)]|\(\d{1,3}\))\s")
@@ -73,6 +74,11 @@ NAMES = (
 SEEN = [n for n, name in enumerate(NAMES) if name not in ("capital_words", "distinct_words", "prose_evidence", "junk_evidence", "lines")]
 
 
+def _words(line: str) -> list[str]:
+    """Runs of letters in lower case."""
+    return line.lower().translate(_NO_LETTERS).split() if line.isascii() else _WORD.findall(line.lower())
+
+
 def _broken(text: str) -> int:
     """How many signs and digits stand inside of words."""
     return sum(len(p.findall(text)) for p in _BROKEN)
@@ -149,9 +155,7 @@ def statistics(body: str) -> list[float]:
     count = sum(map(len, split))
     solid = sum(len("".join(tokens)) for tokens in split)
     damaged = _broken(text) > 0.005 * solid
-    words_of = [_WORD.findall(line) for line in text.lower().split("\n")]
-    if len(words_of) != len(lines):
-        words_of = [_WORD.findall(line.lower()) for line in lines]
+    words_of = list(map(_words, lines))
     weights = [0, 0, 0]  # of lines of prose, of junk, and those that don't tell
     closed = closed_weight = 0
     for line, words, tokens, capital in zip(lines, words_of, split, capitals):
@@ -164,7 +168,7 @@ def statistics(body: str) -> list[float]:
     letters = sum(map(len, words))
     kinds = set(words)
     wide = len(_WIDE.findall(text)) if not text.isascii() else 0
-    digits = sum(map(text.count, "0123456789")) if text.isascii() else sum(map(str.isdecimal, text))
+    digits = sum(map(text.count, "0123456789"))
     n, m, total = max(1, len(words)), len(lines), sum(weights)
     return [
         float(np.log1p(len(words) + wide / 2)),
