@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabbyline.functions.text import uuid5
 from tabbyline.functions.vectors import usable
 from tabbyline.schema import POINT
-from tabbyline.session import materialise
+from tabbyline.session import materialise, scope
 
 #: Buckets of a new collection; each is rewritten as a whole when a point of it comes.
 BUCKETS = 64
@@ -122,11 +122,13 @@ class Collection:
 
         Counts are of rows sent and of the batches of `batch` rows they make, of distinct points, and of rows left out for
         want of a vector; all are observed while writing."""
-        return self._write(chunks, batch, attempts, False)
+        with scope(self.spark):
+            return self._write(chunks, batch, attempts, False)
 
     def replace(self, chunks: DataFrame, dim: int, batch: int = 100) -> dict[str, int]:
         """Put these chunks in the place of all points: until they are written and published, the old ones are read."""
-        return self._write(chunks, batch, 1, True, dim)
+        with scope(self.spark):
+            return self._write(chunks, batch, 1, True, dim)
 
     def _write(self, chunks: DataFrame, batch: int, attempts: int, fresh: bool, dim: int | None = None) -> dict[str, int]:
         state = self._state() or ({"dim": dim, "distance": "cosine", "buckets": BUCKETS, "versions": {}, "number": 0} if fresh else self._current())

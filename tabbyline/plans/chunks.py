@@ -66,9 +66,15 @@ def chunks_per_document(spark, d):
     return table(spark, d, "chunks").groupBy("document_id").agg(F.count("*").alias("total_chunks"), F.count_distinct("chunk_index").alias("places"))
 
 
-@query("SELECT id, metadata.title AS title, metadata.url AS url, metadata.total_chunks AS total_chunks, metadata.word_count AS word_count FROM chunks")
+@query(
+    f"""SELECT DISTINCT id AS document_id, title, url, metadata.word_count AS word_count, metadata.registry AS registry FROM source_documents
+        WHERE regexp_matches(content, '[^{WS}]')"""
+)
 def chunk_metadata(spark, d):
-    return table(spark, d, "chunks").select("id", "metadata.title", "metadata.url", "metadata.total_chunks", "metadata.word_count")
+    """What the chunks of each document carry of it: title and url first, then its own metadata."""
+    docs = table(spark, d, "source_documents").filter(F.col("content").isNotNull())
+    own = chunk.chunk_documents(docs).select("document_id", "metadata.title", "metadata.url", "metadata.word_count", "metadata.registry")
+    return own.distinct()
 
 
 @query(f"""SELECT DISTINCT {uuid5_sql('id')} AS point_id, id AS chunk_id, document_id, source, content, content_type, chunk_index, token_count,
@@ -199,12 +205,6 @@ def upsert_batches(spark, d):
     return spark.createDataFrame([(told["batches"], told["last_batch"])], "batches bigint, last_batch bigint")
 
 
-@query("SELECT id, metadata.title AS title, source, content_type FROM chunks WHERE token_count BETWEEN 1 AND 2048 AND source = 'merck_vet_manual' AND content_type = 'disease'")
-def search_payload(spark, d):
-    chosen = table(spark, d, "chunks").filter(F.col("token_count").between(1, 2048) & (F.col("source") == "merck_vet_manual") & (F.col("content_type") == "disease"))
-    return chosen.select("id", "metadata.title", "source", "content_type")
-
-
 @query(
     """SELECT s.id, count(c.id) AS chunks FROM (SELECT DISTINCT id FROM source_documents) s LEFT JOIN (SELECT DISTINCT id, document_id FROM chunks) c ON c.document_id = s.id GROUP BY s.id"""
 )

@@ -46,7 +46,8 @@ def page_title(spark, d):
 
 @query(f"SELECT page_id, {_MAIN} AS content FROM pages")
 def page_main_text(spark, d):
-    return table(spark, d, "pages").select("page_id", H.main_text(F.col("html")).alias("content"))
+    stripped = table(spark, d, "pages").select("page_id", F.inline(F.array(F.struct(H.bare(F.col("html")).alias("bare")))))
+    return stripped.select("page_id", H.main_text_of(F.col("bare")).alias("content"))
 
 
 @query("SELECT count(*) AS pages, count(error) AS failed, count_if(error IS NULL AND html IS NULL) AS empty, count(DISTINCT final_url) AS final_urls FROM pages")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from tabbyline.config import EngineConfig
 from tabbyline.operators import chunk, embed, ingest, store, validate
 from tabbyline.schema import DATA_SOURCES, chunk_rules
-from tabbyline.session import materialise
+from tabbyline.session import materialise, scope
 from tabbyline.sources.corpus import save_corpus, write_failures
 
 
@@ -27,9 +27,9 @@ def index_corpus(documents: DataFrame, path: str, config: EngineConfig | None =
     """Documents to a fresh collection: chunk, validate, embed, replace. The old points are read until the new ones are
     published. Chunks that break a rule go to `<path>-rejected` with the rules they break."""
     config = config or EngineConfig()
-    cut = chunk.chunk_documents(documents, config.chunking)
-    good, bad = validate.split_valid(materialise(cut, "chunks"), chunk_rules(sources))
-    points = store.Collection(documents.sparkSession, path)
-    counts = points.replace(embed.embed_chunks(good, model or embed.hash_model(dim)), dim)
-    write_failures(bad.select("id", "document_id", "chunk_index", "content", "violations"), f"{path.rstrip('/')}-rejected")
-    return {**counts, "rejected": bad.count()}
+    with scope(documents.sparkSession):
+        good, bad = validate.split_valid(materialise(chunk.chunk_documents(documents, config.chunking), "chunks"), chunk_rules(sources))
+        points = store.Collection(documents.sparkSession, path)
+        counts = points.replace(embed.embed_chunks(good, model or embed.hash_model(dim)), dim)
+        write_failures(bad.select("id", "document_id", "chunk_index", "content", "violations"), f"{path.rstrip('/')}-rejected")
+        return {**counts, "rejected": bad.count()}

@@ -76,6 +76,20 @@ def search_report(spark, d):
     return search.hits(found).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+_PAYLOAD = f"""(SELECT id, any_value(source) AS source, any_value(content_type) AS content_type, any_value(metadata.title) AS title, any_value(embedding) AS embedding FROM chunks
+  WHERE {_GOOD} AND source = 'merck_vet_manual' AND content_type = 'disease' GROUP BY id)"""
+
+
+@query(f"""SELECT id, title, source, content_type, round({_COS.format(a='embedding', b=_ASK)}, 6) AS score FROM {_PAYLOAD} ORDER BY round({_COS.format(a='embedding', b=_ASK)}, 9) DESC, id LIMIT 5""")
+def search_payload(spark, d):
+    """The chunks most similar to the first one, among those of one source and kind."""
+    chunks = _chunks(spark, d, "source", "content_type", "title", "embedding")
+    asked = chunks.orderBy("id").select("embedding").first()
+    wanted = (F.col("source") == "merck_vet_manual") & (F.col("content_type") == "disease")
+    found = search.search(chunks, asked["embedding"] if asked else [0.0] * 64, 5, wanted, "id", "embedding")
+    return found.select("id", "title", "source", "content_type", F.round("score", 6).alias("score"))
+
+
 #: The stated questions, by number.
 QUESTIONS = ((1, "kidney disease in older cats"), (2, "chronic vomiting after meals"), (3, "toxic lily leaves"))
 _TERMS = ", ".join(f"({q}, '{t}')" for q, words in QUESTIONS for t in sorted(set(words.split())))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabbyline.operators.quality import quality_report
 from tabbyline.operators.validate import split_valid, strict
 from tabbyline.schema import DATA_SOURCES, DOCUMENT, document_rules
-from tabbyline.session import materialise
+from tabbyline.session import materialise, scope
 
 
 #: Times are written with all their digits; files with fewer are read as well.
@@ -42,14 +42,16 @@ def save_corpus(df: DataFrame, path: str, **bounds) -> dict:
     """Write corpus and quality report, whatever the report says. Returns a summary.
 
     The documents are materialised first, as both writes and the counts read them."""
-    docs = materialise(df, "corpus")
-    report = materialise(quality_report(docs, **bounds), "report")
-    write_documents(docs, f"{path}/corpus")
-    report.write.mode("overwrite").json(f"{path}/report")
-    counts = docs.groupBy("source").count().collect()  # one row a source
+    with scope(df.sparkSession):
+        docs = materialise(df, "corpus")
+        report = materialise(quality_report(docs, **bounds), "report")
+        write_documents(docs, f"{path}/corpus")
+        report.write.mode("overwrite").json(f"{path}/report")
+        counts = docs.groupBy("source").count().collect()  # one row a source
+        passed = report.filter(~F.col("passed")).isEmpty()
     return {
         "total_documents": sum(r["count"] for r in counts),
         "source_breakdown": {r["source"]: r["count"] for r in counts},
-        "quality_passed": report.filter(~F.col("passed")).isEmpty(),
+        "quality_passed": passed,
         "output": f"{path}/corpus",
     }
