@@ -271,10 +271,10 @@ class SimilarityIndex:
         met = met.filter(F.col("k_a") != F.col("k_b"))
         return met.groupBy(F.least("k_a", "k_b").alias("k_a"), F.greatest("k_a", "k_b").alias("k_b")).agg(F.max("cosine").alias("cosine"))
 
-    def nearest(self, queries: Column, k: int = 10, share: float = 0.4, keep: int = 16) -> DataFrame:
+    def nearest(self, queries: Column, k: int = 10, share: float = 0.1, least: int = 10, keep: int = 16) -> DataFrame:
         """`(k_a, k_b, rank, cosine)`: the `k` keys most similar to each key for which `queries` (over `k`) holds.
 
-        share: of the cells in which each query is asked. keep: `keep * k` candidates by approximate score are reranked.
+        share: of the cells in which each query is asked, `least` of them at least. keep: `keep * k` candidates by approximate score are reranked.
         Cells are searched in groups of about a block of codes, and a group keeps no more candidates for a query than
         can matter (all of them where there is one group, four times k at least where there are many), so that little
         is shuffled. Ties of the cosine are broken by key.
@@ -290,7 +290,7 @@ class SimilarityIndex:
         index = materialise(self.coded(1).select("h", "code", F.col("cells")[0].alias("cell")), "codes")
         chosen = self.vectors.join(asking.select("h").distinct(), "h", "left_semi")
         # a query goes once to each group, with those of its cells that are in it
-        ask = self.coded(max(1, round(share * cells)), chosen).select("h", "q", "cells")
+        ask = self.coded(max(least, round(share * cells)), chosen).select("h", "q", "cells")
         ask = ask.withColumn("group", F.explode(F.array_distinct(F.transform("cells", lambda c: c % groups))))
         ask = ask.withColumn("cells", F.filter("cells", lambda c: c % groups == F.col("group")))
         codes = index.withColumn("group", F.col("cell") % groups)
