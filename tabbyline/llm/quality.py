@@ -29,7 +29,7 @@ from tabbyline.llm.residue import is_filler, residue_messages
 from tabbyline.llm.trees import BoostedTrees
 from tabbyline.session import ensure_shipped, materialise
 
-SAMPLE_ROWS = 8_192
+SAMPLE_ROWS = 16_384
 #: So many rows each seed counts as, against the sampled ones.
 SEED_WEIGHT = 16
 #: Share of a body that must show one kind for a weak label.
@@ -214,7 +214,11 @@ SEEDS = (
         "Nach der Untersuchung war klar, dass die Niere krank ist und die Katze eine Diät braucht.",
         "die tierärztin hat gesagt dass wir noch eine woche warten sollen bevor wir wieder kommen",
         "Врач сказал, что это не опасно и что через неделю кошка будет есть как раньше.",
+        "кошка пришла домой только вечером и не стала есть хотя была очень голодна",
+        "врач посмотрел её зубы и сказал что всё хорошо но корм надо сменить",
         "この猫は年をとってから水を多く飲むようになりました。早めに病院へ行きましょう。",
+        "この猫は年をとってから水を多く飲むようになりました早めに病院へ行きましょう",
+        "子猫は一日に何度も少しずつ食べるのがよいですが太りすぎには気をつけてください夜はよく眠ります",
         "Luna (Leeds), asthma",
         "Oscar, home of York: a cold",
     ),
