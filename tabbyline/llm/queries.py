@@ -56,6 +56,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "chunks"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SimilarityIndex(table(spark, sf_dir, "chunks")).classes().withColumnRenamed("k", "id")
+
+
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every hundredth chunk (by the hash of its id, ids being strings), against all."""
     found = SimilarityIndex(table(spark, sf_dir, "chunks")).nearest(F.pmod(F.xxhash64("k"), 100) == 0)
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_totals": p4_totals,
     "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
     "p6_kept": p6_kept,

@@ -229,15 +229,14 @@ class SimilarityIndex:
 
         return both.groupBy("group", "qb", "cb").applyInPandas(block, schema)
 
-    def pairs(self, least: float = 0.9, probes: int = 8, slack: float = 0.2) -> DataFrame:
-        """`(k_a, k_b, cosine)`, k_a < k_b, of all keys whose cosine is at least `least`, as far as found.
+    def close(self, least: float = 0.9, probes: int = 8, slack: float = 0.2) -> DataFrame:
+        """`(a, a2, b, b2, cosine)`: fingerprints of different vectors whose cosine is at least `least`, as far as found.
 
         Each vector asks in its nearest cell and is found in its `probes` nearest ones, so that a pair
         has two chances to meet. `slack`: how far under `least` an approximate score is still reranked.
         """
         if self.quantiser is None:
-            keys = self.members.schema["k"].dataType.simpleString()
-            return self.members.sparkSession.createDataFrame([], f"k_a {keys}, k_b {keys}, cosine double")
+            return self.members.sparkSession.createDataFrame([], "a bigint, a2 bigint, b bigint, b2 bigint, cosine double")
         books = self.quantiser.books
         index = materialise(self.coded(probes), "codes")
         queries = index.select("h", "q", F.col("cells")[0].alias("group"))
@@ -261,7 +260,24 @@ class SimilarityIndex:
         one = exact.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("v").alias("va"))
         two = exact.select(F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("v").alias("vb"))
         close = near.join(one, "a").join(two, "b").withColumn("cosine", cosine("va", "vb")).filter(F.col("cosine") >= least)
-        close = close.select("a", "a2", "b", "b2", "cosine")
+        return close.select("a", "a2", "b", "b2", "cosine")
+
+    def classes(self, least: float = 0.9) -> DataFrame:
+        """`(k, class_id, copies, links)`: one row a key, however many copies its vector has. Keys of one vector are a class,
+        named by the least of them; links are the other classes whose cosine is at least `least`."""
+        close = self.close(least)
+        ends = close.select(F.col("a").alias("h"), F.col("a2").alias("h2")).unionAll(close.select(F.col("b").alias("h"), F.col("b2").alias("h2")))
+        links = ends.groupBy("h", "h2").agg(F.count("*").alias("links"))
+        named = self.members.groupBy("h", "h2").agg(F.min("k").alias("class_id"), F.count("*").alias("copies"))
+        named = named.join(links, ["h", "h2"], "left").withColumn("links", F.coalesce("links", F.lit(0).cast("bigint")))
+        # a key with several vectors is told by the first of their classes
+        told = self.members.join(named, ["h", "h2"]).groupBy("k").agg(F.min(F.struct("class_id", "copies", "links")).alias("c"))
+        return told.select("k", "c.*")
+
+    def pairs(self, least: float = 0.9, probes: int = 8, slack: float = 0.2) -> DataFrame:
+        """`(k_a, k_b, cosine)`, k_a < k_b, of all keys whose cosine is at least `least`, as far as found; `classes` gives the
+        same without pairs of copies."""
+        close = self.close(least, probes, slack)
         # copies of one vector meet too
         copied = self.members.groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1")
         copies = copied.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("h").alias("b"), F.col("h2").alias("b2"), F.lit(1.0).alias("cosine"))

@@ -38,6 +38,17 @@ def test_pairs(spark):
     assert ("copy", "v0001") in got
 
 
+def test_classes(spark):
+    x = vectors(6, 400)
+    df = frame(spark, x, [*BAD, ("a_copy", x[3].tolist()), ("z_copy", x[3].tolist()), ("v0003", x[3].tolist())])
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    close = u @ u.T >= 0.9
+    rows = {r["k"]: (r["class_id"], r["copies"], r["links"]) for r in similar.SimilarityIndex(df).classes().collect()}
+    assert len(rows) == len(x) + 2 and rows["a_copy"] == rows["z_copy"] == rows["v0003"] == ("a_copy", 3, int(close[3].sum()) - 1)
+    wrong = [n for n in range(len(x)) if n != 3 and rows[f"v{n:04d}"] != (f"v{n:04d}", 1, int(close[n].sum()) - 1)]
+    assert len(wrong) <= 0.01 * len(x)
+
+
 def test_nearest(spark):
     x = vectors(2, 800)
     df = frame(spark, x, BAD)
@@ -62,6 +73,7 @@ def test_empty(spark):
     assert similar.similar_pairs(df).count() == 0 and similar.SimilarityIndex(df).nearest(F.lit(True)).count() == 0
     one = frame(spark, vectors(3, 8)[:1])
     assert similar.similar_pairs(one).count() == 0
+    assert similar.SimilarityIndex(df).classes().count() == 0 and similar.SimilarityIndex(one).classes().count() == 1
     with pytest.raises(ValueError):
         similar.SimilarityIndex(df, dim=63)
 
