@@ -352,7 +352,6 @@ def _without_surge(lines: list[str], heading: list[bool], crumb: list[bool]) ->
     return marks
 
 
-@lru_cache(maxsize=100_000)
 def _mark(raw: str) -> int:
     """The mark of a line of a page without running text."""
     low = _plain(raw).lower()

@@ -125,8 +125,12 @@ def _ranges(codes) -> str:
     return "".join(re.escape(chr(a)) + (f"-{re.escape(chr(b))}" if a < b else "") for a, b in spans)
 
 
-@lru_cache(maxsize=50_000)
 def _segment(segment: str) -> str:
+    return _remembered(segment) if len(segment) <= 8 else unicodedata.normalize("NFC", segment)
+
+
+@lru_cache(maxsize=50_000)
+def _remembered(segment: str) -> str:
     return unicodedata.normalize("NFC", segment)
 
 

@@ -110,9 +110,12 @@ def is_filler(message: str) -> bool:
     return telling >= 3 and 2 * (telling + sum(map(FILLER_SHORT.__contains__, words))) > len(words)
 
 
-@lru_cache(maxsize=50_000)
 def judge(message: str) -> int:
-    """SURE, PHRASE, WEAK or 0 for a message by itself."""
+    """SURE, PHRASE, WEAK or 0 for a message by itself; short ones, which recur, are remembered."""
+    return _remembered(message) if len(message) <= 200 else _judge(message)
+
+
+def _judge(message: str) -> int:
     if not _hinted(_single(message)):
         return 0
     if _PLACEHOLDER.search(message) or is_filler(message):
@@ -121,6 +124,9 @@ def judge(message: str) -> int:
     return PHRASE if _PHRASE.search(single) else WEAK if _WEAK.search(single) else 0
 
 
+_remembered = lru_cache(maxsize=50_000)(_judge)
+
+
 def is_residue(message: str) -> bool:
     """Whether a line or message has a placeholder, filler text or an unmistakable wording."""
     return judge(message) >= PHRASE
