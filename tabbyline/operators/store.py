@@ -13,8 +13,9 @@ from tabbyline.functions.vectors import usable
 from tabbyline.schema import POINT
 from tabbyline.session import materialise, scope
 
-#: Buckets of a new collection; each is rewritten as a whole when a point of it comes.
-BUCKETS = 64
+#: Points of a bucket at the first write, which sets the number of buckets unless `create` did; and the fewest buckets.
+#: A bucket is rewritten as a whole when a point of it comes.
+BUCKET_POINTS, LEAST_BUCKETS = 1_000_000, 8
 
 
 def payload(chunks: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -95,9 +96,9 @@ class Collection:
             self._fs.delete(staged, False)
             raise ConflictError(f"state {number} of {self.path} was published by another writer")
 
-    def create(self, dim: int = 384, recreate: bool = False, buckets: int = BUCKETS) -> None:
+    def create(self, dim: int = 384, recreate: bool = False, buckets: int | None = None) -> None:
         """Make an empty collection for vectors of `dim` values. An existing one is kept unless `recreate`, which
-        publishes an empty state beside the old ones."""
+        publishes an empty state beside the old ones. buckets: how many (None: by the points of the first write)."""
         state = self._state()
         if state is None or recreate:
             self._publish({"dim": dim, "distance": "cosine", "buckets": buckets, "versions": {}}, (state["number"] if state else 0) + 1)
@@ -131,7 +132,7 @@ class Collection:
             return self._write(chunks, batch, 1, True, dim)
 
     def _write(self, chunks: DataFrame, batch: int, attempts: int, fresh: bool, dim: int | None = None) -> dict[str, int]:
-        state = self._state() or ({"dim": dim, "distance": "cosine", "buckets": BUCKETS, "versions": {}, "number": 0} if fresh else self._current())
+        state = self._state() or ({"dim": dim, "distance": "cosine", "buckets": None, "versions": {}, "number": 0} if fresh else self._current())
         dim = dim or state["dim"]
         told = Observation()
         extra = ("created_at",) if "created_at" in chunks.columns else ()
@@ -139,20 +140,22 @@ class Collection:
         new = new if extra else new.withColumn("created_at", F.lit(None).cast("timestamp"))
         good = usable(F.col("vector"), dim)
         seen = new.observe(told, F.count_if(good).alias("sent"), F.count_if(~good).alias("skipped"))
-        bucket = F.pmod(F.xxhash64("point_id"), F.lit(state["buckets"])).cast("int").alias("bucket")
-        staged = materialise(latest(seen.filter(good), "point_id", "created_at").select("*", bucket), "upsert")
-        touched = {str(r["bucket"]): r["count"] for r in staged.groupBy("bucket").count().collect()}  # at most one row a bucket
+        staged = materialise(latest(seen.filter(good), "point_id", "created_at"), "upsert")
+        distinct = staged.count()
         for attempt in range(attempts):
-            version = uuid.uuid4().hex
-            points = staged.select(*POINT.fieldNames()).withColumn("__new", F.lit(1))
-            if not fresh:
-                points = self._read(state, list(touched)).withColumn("__new", F.lit(0)).unionByName(points)
-                points = latest(points, "point_id", "__new")
+            held = {} if fresh else state["versions"]
+            buckets = state["buckets"] if state["buckets"] and (held or not fresh) else max(LEAST_BUCKETS, -(-distinct // BUCKET_POINTS))
+            bucket = F.pmod(F.xxhash64("point_id"), F.lit(buckets)).cast("int").alias("bucket")
+            points, version = staged.select(*POINT.fieldNames(), bucket), uuid.uuid4().hex
+            touched = [str(r["bucket"]) for r in points.select("bucket").distinct().collect()]  # one row a bucket
+            old = [b for b in touched if b in held]
+            if old:
+                both = self._read(state, old).withColumns({"bucket": bucket, "__new": F.lit(0)}).unionByName(points.withColumn("__new", F.lit(1)))
+                points = latest(both, "point_id", "__new").drop("__new")
             if touched:
-                points.select(*POINT.fieldNames(), bucket).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
-            versions = {} if fresh else state["versions"]
+                points.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
             try:
-                self._publish({**state, "dim": dim, "versions": {**versions, **dict.fromkeys(touched, version)}}, state["number"] + 1)
+                self._publish({**state, "dim": dim, "buckets": buckets, "versions": {**held, **dict.fromkeys(touched, version)}}, state["number"] + 1)
                 break
             except ConflictError:
                 self._fs.delete(self._at(version), True)
@@ -160,7 +163,7 @@ class Collection:
                     raise
                 state = self._current()
         sent = told.get["sent"]
-        return {"sent": sent, "distinct": sum(touched.values()), "skipped": told.get["skipped"], "batches": -(-sent // batch), "last_batch": (sent - 1) % batch + 1 if sent else 0}
+        return {"sent": sent, "distinct": distinct, "skipped": told.get["skipped"], "batches": -(-sent // batch), "last_batch": (sent - 1) % batch + 1 if sent else 0}
 
     def expire(self, keep: int = 1) -> int:
         """Delete all states but the last `keep`, and versions that none of those reads; how many versions went. To be

@@ -214,10 +214,18 @@ def catalog_content_types(spark, d):
     return table(spark, d, "source_catalog").select(F.explode("content_types").alias("content_type")).groupBy("content_type").agg(F.count("*").alias("sources"))
 
 
-@query()
+@query(
+    """SELECT id, 'id,source,url,title,content,content_type,scraped_at,metadata' AS fields, title, md5(content) AS content, metadata.word_count::VARCHAR AS word_count,
+       strftime(scraped_at, '%Y-%m-%dT%H:%M:%S') AS second FROM source_documents"""
+)
 def record_json(spark, d):
-    """Each document as one JSON record, nulls kept, times in ISO form."""
-    return _docs(spark, d).select("id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+    """Each document as one JSON record, nulls kept, times in ISO form; read field by field."""
+    records = _docs(spark, d).select("id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r"))
+    told = lambda path: F.get_json_object("r", path)
+    return records.select(
+        "id", F.array_join(F.json_object_keys("r"), ",").alias("fields"), told("$.title").alias("title"), F.md5(told("$.content")).alias("content"),
+        told("$.metadata.word_count").alias("word_count"), F.left(told("$.scraped_at"), F.lit(19)).alias("second"),
+    )
 
 
 _JSON_OK = f"""id IS NOT NULL AND source IN ({_SOURCES}) AND url IS NOT NULL AND length(title) BETWEEN 1 AND 500 AND length(content) >= 50 AND content_type IN ({_TYPES})"""

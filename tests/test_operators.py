@@ -197,6 +197,27 @@ def test_metrics(spark, tmp_path):
     assert {(r["key"], r["value"]) for r in spark.read.parquet(str(tmp_path / "m")).collect()} == {("n", "3"), ("m", "2")}
 
 
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    import sys
+
+    from tabbyline.__main__ import main
+
+    rows = [(f"https://a.example/t{n}", f"https://a.example/t{n}", BODY % f"Cat page {n}", None) for n in range(7)]
+    page_rows(spark, rows).write.parquet(str(tmp_path / "pages"))
+
+    def run(*args):
+        monkeypatch.setattr(sys, "argv", ["tabbyline", "--master", "local[4]", *map(str, args)])
+        main()
+        return capsys.readouterr().out
+
+    done = json.loads(run("ingest", tmp_path / "pages", f"file://{tmp_path}/out", "--source", "merck_vet_manual", "--prefix", "m_", "--test"))
+    assert done["total_documents"] == 5
+    counts = json.loads(run("index", done["output"], f"file://{tmp_path}/points", "--dim", "64"))
+    assert counts["distinct"] == 5 and counts["rejected"] == 0 and counts["seconds"] >= 0
+    assert "merck_vet_manual" in run("search", f"file://{tmp_path}/points", "cat that sleeps", "--dim", "64", "-k", "2")
+    assert "5" in run("stats", done["output"])
+
+
 def test_run_record(spark):
     rows = metrics.run_rows(spark.range(3).agg(F.count("*").alias("n")), "r", {"size": 5}, {"stage": "x"})
     assert sorted((r["kind"], r["key"], r["value"]) for r in rows.collect()) == [("metric", "n", "3"), ("param", "size", "5"), ("tag", "stage", "x")]
