@@ -8,8 +8,8 @@ documents that have a newly crossed line need to be built again.
 
 Everything runs inside the JVM. Lines travel as 128-bit fingerprints, counts are combined before the
 shuffle, and no task ever holds a whole line group: a line that stands in a third of all documents is
-one count. When places are looked up again, lines with at least a ten-thousandth of all places, of
-which there are at most ten thousand, are broadcast; all others are joined by key.
+one count. When places are looked up again, lines with at least a ten-thousandth of the places of
+all wanted ones, at most ten thousand of them, are broadcast; all others are joined by key.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tabbyline.session import materialise
 
 _KEYS = ["source", "h1", "h2"]
-#: Lines with at least this share of all places are broadcast; there are at most 1 / share of them.
+#: Lines with at least this share of the places of all wanted lines are broadcast; there are at most 1 / share of them.
 HOT_SHARE = 1e-4
 
 
@@ -60,32 +60,31 @@ class LineCounts:
     """The incremental state: merge batches, ask for crossed lines, their places, and cleaned documents.
 
     path: a folder that keeps the state between sessions; what it holds is taken up again. It has a table a batch of
-    each kind: lines of its documents, ids it had of earlier batches, what it added to the counts, and crossings, the
-    last to be written, so that a merge that broke off is written over. Without a path the state lives in the shared
-    folder of the session."""
-
-    KINDS = ("lines", "again", "deltas", "crossed")
+    each kind: lines of its documents, ids it had of earlier batches (none of the first), and what it added to the
+    counts with the crossings, the last to be written, so that a merge that broke off is written over. Without a path
+    the state lives in the shared folder of the session."""
 
     def __init__(self, spark: SparkSession, threshold: int = 5, path: str | None = None):
         self.spark = spark
         self.threshold = threshold
         self.path = path and path.rstrip("/")
-        self.kept: dict[str, list[DataFrame]] = {kind: [] for kind in self.KINDS}
+        self.kept: dict[str, list[DataFrame]] = {"lines": [], "again": [], "deltas": []}
         if self.path:
             self._take_up()
 
     @property
     def batches(self) -> int:
-        return len(self.kept["crossed"])
+        return len(self.kept["deltas"])
 
     def _take_up(self) -> None:
         jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        at = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.path}/crossed/{n}/_SUCCESS")
+        at = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.path}/deltas/{n}/_SUCCESS")
         files = at(1).getFileSystem(hadoop)
         while files.exists(at(self.batches + 1)):
             n = self.batches + 1
-            for kind in self.KINDS:
-                self.kept[kind].append(self.spark.read.parquet(f"{self.path}/{kind}/{n}"))
+            for kind, tables in self.kept.items():
+                if kind != "again" or n > 1:
+                    tables.append(self.spark.read.parquet(f"{self.path}/{kind}/{n}"))
 
     def _keep(self, df: DataFrame, kind: str) -> DataFrame:
         if self.path:
@@ -100,7 +99,7 @@ class LineCounts:
         """The lines of the last version of each document: those of a batch but for ids that came again later."""
         parts = []
         for n, lines in enumerate(self.kept["lines"]):
-            later = self.kept["again"][n + 1 :]
+            later = self.kept["again"][n:]
             parts.append(lines.join(_union(later).distinct(), "id", "left_anti").select(*lines.columns) if later else lines)
         return _union(parts) if parts else None
 
@@ -109,38 +108,38 @@ class LineCounts:
 
         A document seen before is taken back first, so that only its new version counts."""
         new = self._keep(line_places(batch, key, source, text), "lines")
-        ids = batch.filter(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct()
-        old = self.lines()
+        old, again = self.lines(), None
+        changes = new.select(*_KEYS, F.lit(1).alias("d"))
+        if old is not None:
+            ids = batch.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"))
+            again = self._keep(old.select("id").distinct().join(ids, "id", "left_semi"), "again")
+            changes = changes.unionByName(old.join(again, "id", "left_semi").select(*_KEYS, F.lit(-1).alias("d")))
+        delta = changes.groupBy(*_KEYS).agg(F.sum("d").alias("d")).filter("d <> 0")
         if old is None:
-            again = self._keep(ids.limit(0), "again")
-            changes = new.select(*_KEYS, F.lit(1).alias("d"))
+            both = delta.withColumn("was", F.lit(0).cast("bigint"))
         else:
-            again = self._keep(old.select("id").distinct().join(ids, "id", "left_semi"), "again")
-            changes = new.select(*_KEYS, F.lit(1).alias("d")).unionByName(old.join(again, "id", "left_semi").select(*_KEYS, F.lit(-1).alias("d")))
-        delta = self._keep(changes.groupBy(*_KEYS).agg(F.sum("d").alias("d")).filter("d <> 0"), "deltas")
-        if self.kept["deltas"]:
             # earlier counts of the keys of this delta only
             was = _union(self.kept["deltas"]).join(delta.select(*_KEYS), _KEYS, "left_semi").groupBy(*_KEYS).agg(F.sum("d").alias("was"))
             both = delta.join(was, _KEYS, "left").withColumn("was", F.coalesce("was", F.lit(0)))
-        else:
-            both = delta.withColumn("was", F.lit(0).cast("bigint"))
         over, now = F.col("was") >= self.threshold, F.col("was") + F.col("d") >= self.threshold
-        crossed = both.filter(over != now).select(*_KEYS, now.alias("up"), F.lit(self.batches + 1).alias("batch"))
-        crossed = self._keep(crossed, "crossed")
-        for kind, table in zip(self.KINDS, (new, again, delta, crossed)):
-            self.kept[kind].append(table)
-        return crossed.filter("up").select(*_KEYS)
+        told = both.select(*_KEYS, "d", F.when(over != now, now).alias("up"), F.lit(self.batches + 1).alias("batch"))
+        told = self._keep(told, "deltas")
+        self.kept["lines"].append(new)
+        self.kept["deltas"].append(told)
+        if again is not None:
+            self.kept["again"].append(again)
+        return told.filter("up").select(*_KEYS)
 
     def crossed(self) -> DataFrame:
         """All lines at or over the threshold, with their counts of documents: those whose last crossing is upwards."""
-        last = _union(self.kept["crossed"]).groupBy(*_KEYS).agg(F.max_by("up", "batch").alias("up")).filter("up").select(*_KEYS)
-        return _union(self.kept["deltas"]).join(last, _KEYS, "left_semi").groupBy(*_KEYS).agg(F.sum("d").alias("n"))
+        counts = _union(self.kept["deltas"]).groupBy(*_KEYS).agg(F.sum("d").alias("n"), F.max_by("up", F.when(F.col("up").isNotNull(), F.col("batch"))).alias("up"))
+        return counts.filter("up").select(*_KEYS, "n")
 
     def places(self, wanted: DataFrame | None = None) -> DataFrame:
         """`(id, h1, h2, places)` of the `wanted` lines (default: all crossed ones)."""
         crossed = self.crossed() if wanted is None else self.crossed().join(wanted, _KEYS, "left_semi")
         crossed = materialise(crossed, "line-wanted")
-        total = _union(self.kept["deltas"]).agg(F.sum("d")).first()[0] or 0
+        total = crossed.agg(F.sum("n")).first()[0] or 0
         hot = F.col("n") >= max(self.threshold, total * HOT_SHARE)
         frequent = crossed.filter(hot).select(*_KEYS)  # at most 1 / HOT_SHARE rows
         rest = crossed.filter(~hot).select(*_KEYS)
