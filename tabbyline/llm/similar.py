@@ -151,7 +151,8 @@ class SimilarityIndex:
         rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v")).filter(F.col("k").isNotNull() & usable("v", dim))
         rows = rows.withColumns({"h": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(7))})
         #: keys of each distinct vector
-        self.members = rows.select("h", "h2", "k").distinct()
+        self.keyed = rows.select("h", "h2", "k")
+        self.members = self.keyed.distinct()
         self.vectors = materialise(rows.groupBy("h", "h2").agg(F.first("v").alias("v")), "vectors")
         # the fingerprint draws rows at random, and alike on every run; no more leave the executors than wanted
         self.rows = self.vectors.count()
@@ -268,11 +269,11 @@ class SimilarityIndex:
         close = self.close(least)
         ends = close.select(F.col("a").alias("h"), F.col("a2").alias("h2")).unionAll(close.select(F.col("b").alias("h"), F.col("b2").alias("h2")))
         links = ends.groupBy("h", "h2").agg(F.count("*").alias("links"))
-        named = self.members.groupBy("h", "h2").agg(F.min("k").alias("class_id"), F.count("*").alias("copies"))
+        # a key with several vectors is told by one of them
+        own = self.keyed.groupBy("k").agg(F.min(F.struct("h", "h2")).alias("v")).select("k", "v.h", "v.h2")
+        named = own.groupBy("h", "h2").agg(F.min("k").alias("class_id"), F.count("*").alias("copies"))
         named = named.join(links, ["h", "h2"], "left").withColumn("links", F.coalesce("links", F.lit(0).cast("bigint")))
-        # a key with several vectors is told by the first of their classes
-        told = self.members.join(named, ["h", "h2"]).groupBy("k").agg(F.min(F.struct("class_id", "copies", "links")).alias("c"))
-        return told.select("k", "c.*")
+        return own.join(named, ["h", "h2"]).select("k", "class_id", "copies", "links")
 
     def pairs(self, least: float = 0.9, probes: int = 8, slack: float = 0.2) -> DataFrame:
         """`(k_a, k_b, cosine)`, k_a < k_b, of all keys whose cosine is at least `least`, as far as found; `classes` gives the
