@@ -347,7 +347,7 @@ def fit(measured: DataFrame, sample_rows: int = SAMPLE_ROWS) -> BoostedTrees:
             rows.append(np.stack(drawn["stats"].to_numpy()))
             labels.append(drawn["label"].to_numpy(float))
     held, checked = _examples(HOLDOUT)
-    return BoostedTrees().fit(np.concatenate(rows).astype(np.float32)[:, SEEN], np.concatenate(labels)).calibrate(held[:, SEEN], checked)
+    return BoostedTrees(rounds=120).fit(np.concatenate(rows).astype(np.float32)[:, SEEN], np.concatenate(labels)).calibrate(held[:, SEEN], checked)
 
 
 def scored(df: DataFrame, key: str = "id", text: str = "content", title: str = "title", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
